@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_path(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where that is unset, as in tests, one of our own."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder that spark.checkpoint.dir names; only where that is unset, as in tests, in one of our own."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    """``df.checkpoint()`` in that folder."""
+    checkpoint_path(df.sparkSession)
     return df.checkpoint()
 
 
@@ -31,7 +38,7 @@ def word_count(text: str) -> F.Column:
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """Slices of a batch whose texts hold about ``most`` bytes, so that numpy arrays over them stay small; a longer text gets a slice of its own."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at = size = 0
     for i, n in enumerate(lengths):
         if size and size + n > most:

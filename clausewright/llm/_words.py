@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -37,7 +38,7 @@ class Words:
     """``data``: bytes; word i is data[starts[i]:ends[i]]; text t has words first[t]:first[t + 1]. Null texts have none."""
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        texts = pa.compute.fill_null(texts, "") if texts.null_count else texts
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         wide = pa.types.is_large_string(texts.type)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import host_rules, mixing, url_filter
+from clausewright.llm import bpe, host_rules, mixing, quality, secrets, url_filter
 from clausewright.llm._shared import table
 
 #: Rules of the op4 contract, host and path joined.
@@ -15,6 +16,17 @@ URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "b
 #: Domains that are blocked where no rule fits.
 LISTED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: A document with a score from here on is predicted good.
+LEAST_QUALITY = 0.3
+
+
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out())
+    scored = quality.score(docs, scorer)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
+
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, LISTED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
@@ -28,6 +40,15 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.decode(encoded, VOCABULARY).select("doc_id", *bpe.digest_columns())
+
+
+def op10_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", *secrets.digest_columns())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_url_filter, op5_mixing, op6_host_rules)
+    f.__name__: f for f in (op1_compression_quality, op4_url_filter, op5_mixing, op6_host_rules, op7_transducer_bpe, op10_secret_novelty)
 }
