@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, host_rules, mixing, quality, secrets, url_filter
+from clausewright.llm import bpe, host_rules, minhash, mixing, quality, quantisation, secrets, substring, url_filter
 from clausewright.llm._shared import table
 
 #: Rules of the op4 contract, host and path joined.
@@ -28,6 +28,15 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
 
 
+def op2_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantisation.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, LISTED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
 
@@ -45,10 +54,14 @@ def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, VOCABULARY).select("doc_id", *bpe.digest_columns())
 
 
+def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", *secrets.digest_columns())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_quality, op4_url_filter, op5_mixing, op6_host_rules, op7_transducer_bpe, op10_secret_novelty)
+    f.__name__: f for f in (op1_compression_quality, op2_fm_substrings, op3_product_quantisation, op4_url_filter, op5_mixing, op6_host_rules, op7_transducer_bpe, op8_tensored_minhash, op10_secret_novelty)
 }
