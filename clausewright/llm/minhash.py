@@ -180,6 +180,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each component: the least doc_id, once."""
     gone = near_duplicates(docs, **settings).where("NOT kept").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return left
     again = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
     return left.withColumn("_again", F.row_number().over(again)).where("doc_id IS NULL OR _again = 1").select(*docs.columns)

@@ -127,5 +127,17 @@ def score(docs: DataFrame, scorer: CompressionScorer) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, scorer: CompressionScorer, least: float) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                x = np.array([scorer.features(t or "") for t in part.column("text").to_pylist()]).reshape(-1, 7)
+                yield part.filter(pa.array(scorer.score(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0

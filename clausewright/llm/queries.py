@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, host_rules, minhash, mixing, quality, quantisation, secrets, substring, url_filter
+from clausewright.llm import bpe, hmm, host_rules, minhash, mixing, quality, quantisation, secrets, substring, url_filter
 from clausewright.llm._shared import table
 
 #: Rules of the op4 contract, host and path joined.
@@ -58,10 +58,16 @@ def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = hmm.score(docs, hmm.train(docs.where(~hmm.held_out())))
+    return scored.select("doc_id", hmm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", *secrets.digest_columns())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_quality, op2_fm_substrings, op3_product_quantisation, op4_url_filter, op5_mixing, op6_host_rules, op7_transducer_bpe, op8_tensored_minhash, op10_secret_novelty)
+    f.__name__: f for f in (op1_compression_quality, op2_fm_substrings, op3_product_quantisation, op4_url_filter, op5_mixing, op6_host_rules, op7_transducer_bpe, op8_tensored_minhash, op9_hidden_markov, op10_secret_novelty)
 }
