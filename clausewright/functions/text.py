@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Numerals that begin a numbered clause, and heads of sections.
 NUMERALS = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫"
@@ -16,6 +16,7 @@ HEAD_PENDULUM = "【靈擺效果】"
 HEAD_MONSTER = r"【怪獸(效果|敘述|描述)】"
 FLAVOR_HEADS = ("敘述", "描述")
 BLANK = r"(?U)\s+"
+_DASHES = "-―‐−–—ー"
 
 
 def trimmed(text: Column) -> Column:
@@ -32,9 +33,22 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda a: None if a is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in a])
+
+
+def _folded(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, _DASHES, "-" * len(_DASHES)), r"(?U)[\s…‥]+", "")
+
+
+def normalised_each(texts: Column) -> Column:
+    return F.transform(nfkc_each(texts), _folded)
+
+
 def normalised(text: Column) -> Column:
     """For comparing quotes: NFKC, one kind of dash, no blanks and no dots of omission."""
-    return F.regexp_replace(F.translate(nfkc(text), "‐‑‒–—―−－ー", "-" * 9), r"(?U)[\s…‥]+|\.{2,}", "")
+    return _folded(nfkc(text))
 
 
 def text_hash(ja: Column, zh: Column) -> Column:
@@ -138,9 +152,9 @@ def reversed_corrections(text: Column, corrections: Column) -> Column:
 
 
 def quotes(text: Column) -> Column:
-    """Quoted strings, once each, in order; bare references to a number are left out."""
-    found = F.regexp_extract_all(text, F.lit("「([^「」]*)」"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda q: ~q.rlike(rf"\A[{NUMERALS}](の?効果)?\z") & (q != "")))
+    """Quoted passages, once each, in order; references to numbers alone are left out."""
+    found = F.regexp_extract_all(text, F.lit("『([^』]*)』"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda q: ~q.rlike(rf"\A[{NUMERALS}]+\z")))
 
 
 def without_sentences(text: Column, pattern: str, stop: str = "。") -> Column:
