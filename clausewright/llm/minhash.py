@@ -98,38 +98,69 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _block_links(width: int, percent: int):
-    """Links between the two sides of a block pair whose members are not yet in one component, as a spanning forest."""
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 1 << 16) -> np.ndarray:
+    """Sizes of the intersections of the pairs (left, right) of sets, by bit rows of the elements that more than one set has."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = (np.cumsum(count > 1) - 1)[place]
+    keep = count[place] > 1
+    owner, column = owner[keep], column[keep]
+    out = np.zeros(len(left), np.int64)
+    for low in range(0, int(column.max(initial=-1)) + 1, columns):
+        part = (column >= low) & (column < low + columns)
+        at = column[part] - low
+        bits = np.zeros((len(sets), (int(at.max()) >> 6) + 1), np.uint64)
+        np.bitwise_or.at(bits, (owner[part], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        step = max(1, (1 << 21) // bits.shape[1])
+        for k in range(0, len(left), step):
+            out[k : k + step] += np.bitwise_count(bits[left[k : k + step]] & bits[right[k : k + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _block_links(width: int, percent: int, tables: int):
+    """Links of a block pair whose members are not yet in one component, as a spanning forest. A pair is compared in the first table that it shares, and nowhere else."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, labels, sides = (table.column(c).to_numpy() for c in ("id", "component", "side"))
-        sets = shingle_sets(table.column("text").combine_chunks(), width)
+        ids, labels, own = (table.column(c).to_numpy() for c in ("id", "component", "own"))
+        p, q, t = (table.column(c)[0].as_py() for c in ("p", "q", "t"))
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), 2 * tables)
+        sets = [s for batch in table.select(["text"]).to_batches() for s in shingle_sets(batch.column(0), width)]
+        sizes = np.array([len(s) for s in sets])
+        rows, columns = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        earlier = [*range(t // tables), *range(tables, tables + t % tables)]
+        pairs = []
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            low, high = np.minimum(sizes[some][:, None], sizes[columns]), np.maximum(sizes[some][:, None], sizes[columns])
+            open_ = (labels[some][:, None] != labels[columns]) & (100 * low >= percent * high)
+            if p == q:
+                open_ &= some[:, None] < columns
+            for k in earlier:
+                open_ &= keys[some, k][:, None] != keys[columns, k]
+            x, y = np.nonzero(open_)
+            pairs.append((some[x], columns[y]))
+        left, right = np.concatenate([x for x, _ in pairs] or [rows]), np.concatenate([y for _, y in pairs] or [rows])
+        common = _shared(sets, left, right) if len(left) else np.zeros(0, np.int64)
+        good = 100 * common >= percent * (sizes[left] + sizes[right] - common)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
             while root.get(x, x) != x:
-                root[x] = root.get(root[x], root[x])
                 x = root[x]
             return x
 
-        holders: dict[int, list[int]] = {}
-        for k in np.flatnonzero(sides == 1).tolist():
-            for h in sets[k].tolist():
-                holders.setdefault(h, []).append(k)
         out = []
-        for k in np.flatnonzero(sides == 0).tolist():
-            shared = np.bincount([j for h in sets[k].tolist() for j in holders.get(h, ())], minlength=len(sets))
-            for j in np.flatnonzero(shared).tolist():
-                common = int(shared[j])
-                if 100 * common >= percent * (len(sets[k]) + len(sets[j]) - common) and find(int(labels[k])) != find(int(labels[j])):
-                    root[find(int(labels[k]))] = find(int(labels[j]))
-                    out.append((int(ids[k]), int(ids[j])))
+        for x, y in zip(left[good].tolist(), right[good].tolist(), strict=True):
+            a, b = find(int(labels[x])), find(int(labels[y]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[x]), int(ids[y])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 8, rows: int = 3, block: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 8, rows: int = 3, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included), kept.
 
     Documents link if 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles.
@@ -142,9 +173,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     def keyed(rows: DataFrame) -> DataFrame:
         t = F.col("t")
         out = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tables * tables - 1))))
-        return out.withColumn("key", F.xxhash64(t, F.get("keys", F.floor(t / tables).cast("int")), F.get("keys", tables + F.pmod(t, F.lit(tables))))).drop("t", "keys")
+        return out.withColumn("key", F.xxhash64(t, F.get("keys", F.floor(t / tables).cast("int")), F.get("keys", tables + F.pmod(t, F.lit(tables)))))
 
-    bucketed = keyed(classes.select("id", "keys"))
+    bucketed = keyed(classes.select("id", "keys")).select("id", "key")
     leads = bucketed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     stars = checkpointed(bucketed.join(leads, "key").where("id > lead").select("id", "lead").distinct())
 
@@ -156,16 +187,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     links = checkpointed(pairs.mapInArrow(_confirm(width, percent), "a long, b long"))
     found = components(links)
 
-    # Buckets whose members are not in one component: compare all of them with each other, a bucket for each set of members.
+    # Buckets whose members are not in one component: compare those of different components; of buckets with equal members the first table's.
     told = classes.join(members, "id", "left_semi").join(found, "id", "left").select("id", "keys", F.coalesce("component", "id").alias("component"))
-    open_keys = keyed(told).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("low < high")
-    open_keys = open_keys.groupBy("n", "who").agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    rest = keyed(told).join(open_keys.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    open_keys = keyed(told).groupBy("key", "t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("low < high")
+    open_keys = open_keys.groupBy("n", "who").agg(F.min_by("key", "t").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rest = keyed(told).join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sides = F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1))).when(F.col("own") < F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(1)))
-    rest = rest.select("key", "id", "component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.explode(sides).alias("side"))
-    rest = rest.join(texts, "id").select("key", "p", "q", "side", "id", "component", "text")
-    more = rest.groupBy("key", "p", "q").applyInArrow(_block_links(width, percent), "a long, b long")
+    rest = rest.select("key", "t", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "keys")
+    more = rest.join(texts, "id").groupBy("key", "p", "q").applyInArrow(_block_links(width, percent, tables), "a long, b long")
     more = checkpointed(more)
     if not more.isEmpty():
         found = components(links.unionByName(more).unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
