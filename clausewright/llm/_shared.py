@@ -1,14 +1,16 @@
-"""What the operators share: the checkpoint folder, parquet reading and Arrow batch helpers."""
+"""What the operators share: parquet reading and Arrow batch helpers."""
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewright.plans.lineage import checkpoint_path, checkpointed
+
+__all__ = ["WORD", "checkpoint_path", "checkpointed", "pieces", "table", "word_count"]
+
 #: A word, by code points: anything but blank, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,20 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_path(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that is unset, as in tests, one of our own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in that folder."""
-    checkpoint_path(df.sparkSession)
-    return df.checkpoint()
-
-
 def word_count(text: str) -> F.Column:
     """Words of a text column; null counts as no words."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
