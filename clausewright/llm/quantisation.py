@@ -133,15 +133,16 @@ def _search_block(quantiser: ProductQuantiser, threshold: float, radius: float,
             for s in range(codes.shape[1]):
                 near += tables[:, s][:, codes[:, s]]
             q, h = np.nonzero(np.sqrt(np.maximum(near, 0)) <= radius + errors + 1e-6)
-            for part in np.array_split(np.arange(len(q)), 1 + len(q) // 200_000):
-                a, b = some[q[part]], held[h[part]]
-                cosine = (raw[a] * raw[b]).sum(1) / (norms[a] * norms[b])
-                good = (cosine >= threshold) & (ids[a] != ids[b])
-                np.add.at(links, at + q[part][good], weight[b[good]])
-                nodes = [first.get(i, len(held) + k) for k, i in enumerate(ids[some].tolist())]
-                left, right = _forest(np.array(nodes, np.int64)[q[part][good]], h[part][good], len(held) + len(some))
-                names = np.concatenate((ids[held], ids[some]))
-                edges += zip(names[left].tolist(), names[right].tolist(), strict=True)
+            good = np.zeros(len(q), bool)
+            for k in range(0, len(q), 20_000):
+                a, b = some[q[k : k + 20_000]], held[h[k : k + 20_000]]
+                good[k : k + 20_000] = ((raw[a] * raw[b]).sum(1) / (norms[a] * norms[b]) >= threshold) & (ids[a] != ids[b])
+            q, h = q[good], h[good]
+            links[at : at + len(some)] = np.bincount(q, weight[held[h]], len(some)).astype(np.int64)
+            nodes = np.array([first.get(i, len(held) + k) for k, i in enumerate(ids[some].tolist())], np.int64)
+            left, right = _forest(nodes[q], h, len(held) + len(some))
+            names = np.concatenate((ids[held], ids[some]))
+            edges += zip(names[left].tolist(), names[right].tolist(), strict=True)
         n = pa.array(np.concatenate((links, np.zeros(len(edges), np.int64))))
         a = np.concatenate((ids[asked], np.array([e[0] for e in edges], np.int64)))
         b = pa.array([None] * len(asked) + [e[1] for e in edges], pa.int64())

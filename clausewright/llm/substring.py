@@ -3,14 +3,14 @@
 Every window of ``width`` words has a minimizer, the least hash of its 5-word grams. Equal windows have equal
 minimizers, so a run of windows with one minimizer is a piece that need only meet the pieces with the same one: that is
 the shard in which it is indexed and searched, whatever the size of the corpus. Minimizers that no second document has
-are dropped by a count before any piece moves. Equal pieces are one row with their least and greatest document, so
+are dropped by a count before any piece moves; one that many documents of a slice have moves as two rows for all of them. Equal pieces are one row with their least and greatest document, so
 copies are collapsed before the shuffle; pieces of a minimizer that is frequent are cut into single windows, each with
 a key of its own, so that no group grows with the input.
 
 A shard is one compressed FM-index: suffixes sorted by their first 16 words, the Burrows-Wheeler transform as a wavelet
 matrix of packed bits. The pieces of the shard are streamed from their ends; each backward step costs a rank in
 every level, the interval of the match is held at ``width`` words, and the least document over that interval tells
-where the window first occurs. Runs of 64-bit word hashes stand for the words.
+where the window first occurs. Runs of 40-bit word hashes stand for the words.
 
 Defined results: null and empty texts have no words; a null doc_id is neither earlier nor later than any and loses
 nothing; rows with equal doc_id do not take words from each other; no rows give no rows; other columns are ignored.
@@ -22,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm._shared import checkpointed, pieces
+from clausewright.llm._shared import pieces
 from clausewright.llm._words import Words, mix, windows
 
 GRAM = 5
+_LOW = np.uint64(2**40 - 1)
 #: Windows in a piece at most.
 LONGEST = 32
 
@@ -52,7 +54,7 @@ class _Runs:
             held += step
         doc = self.words.doc()
         at = np.flatnonzero(doc[:n] == doc[width - 1 :])
-        value, doc = least[at], doc[at]
+        value, doc = least[at] >> np.uint64(16), doc[at]  # 48 bits: it only says which pieces meet
         new = np.ones(len(at), bool)
         new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
@@ -68,16 +70,25 @@ class _Runs:
         return mix(total[self.words.first[1:]] - total[self.words.first[:-1]] + self.words.counts.astype(np.uint64))
 
 
-def _minimizers(width: int):
+def _minimizers(width: int, local: int):
+    """Minimizers with the documents that have them. One that ``local`` or more documents of a slice have is two rows there, for the least and the greatest of them (kind 1), whatever their number; those documents are told at once (kind 2)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 runs = _Runs(part.column("text"), width)
-                order = np.lexsort((runs.key, runs.doc))
-                key, doc = runs.key[order], runs.doc[order]
+                ident = part.column("doc_id").to_numpy(zero_copy_only=False)[runs.doc] if len(runs.doc) else np.zeros(0, np.int64)
+                order = np.lexsort((ident, runs.key))
+                key, ident = runs.key[order], ident[order]
                 once = np.ones(len(key), bool)
-                once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), part.column("doc_id").take(pa.array(doc[once]))], ["m", "doc_id"])
+                once[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+                key, ident = key[once], ident[once]
+                first = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+                n = np.diff(np.append(first, len(key)))
+                many = np.repeat(n >= local, n)
+                ends = np.concatenate((first[n >= local], (first + n - 1)[n >= local]))
+                key, ident, kind = np.concatenate((key, key[ends])), np.concatenate((ident, ident[ends])), np.concatenate((np.where(many, 2, 0), np.ones(len(ends), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ident.astype(np.int64)), pa.array(kind.astype(np.int8))], ["m", "doc_id", "kind"])
 
     return run
 
@@ -86,7 +97,7 @@ def _cut(part: pa.RecordBatch, width: int) -> tuple[_Runs, np.ndarray, np.ndarra
     """The pieces whose minimizer is shared: their text, first word, windows and key; windows of frequent minimizers one by one."""
     runs = _Runs(part.column("text"), width)
     lists = part.column("shared")
-    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
     flat = lists.flatten()
     m, often = flat.field("m").to_numpy(zero_copy_only=False).view(np.uint64), flat.field("often").to_numpy(zero_copy_only=False)
     known = mix(m) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +111,7 @@ def _cut(part: pa.RecordBatch, width: int) -> tuple[_Runs, np.ndarray, np.ndarra
     if split.any():
         n = runs.length[split]
         one = np.repeat(runs.at[split], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        single = windows(runs.hashes, width)[one]
+        single = windows(runs.hashes, width)[one] >> np.uint64(16)
         at, length, key, doc = np.append(at, one), np.append(length, np.ones(len(one), length.dtype)), np.append(key, single), np.append(doc, np.repeat(runs.doc[split], n))
     return runs, doc, at, length, key
 
@@ -112,32 +123,49 @@ def _piece_hash(runs: _Runs, at: np.ndarray, words: np.ndarray) -> np.ndarray:
     scrambled = mix(runs.hashes[np.repeat(at, words) + place] + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     total = np.zeros(len(scrambled) + 1, np.uint64)
     np.cumsum(scrambled, out=total[1:])
-    return mix(total[np.cumsum(words)] - total[np.cumsum(words) - words] + words.astype(np.uint64))
+    return mix(total[np.cumsum(words)] - total[np.cumsum(words) - words] + words.astype(np.uint64)) >> np.uint64(16)
 
 
 def _indexed_pieces(width: int):
+    """Each different piece of a slice once, with its least and greatest document; 40 bits of each word's hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 runs, doc, at, length, key = _cut(part, width)
                 words = length + width - 1
+                same = key ^ mix(_piece_hash(runs, at, words))
+                order = np.argsort(same, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1]))) if len(order) else order
+                owner = part.column("doc_id").to_numpy(zero_copy_only=False)[doc][order]
+                low, high = (f.reduceat(owner, first) if len(first) else owner for f in (np.minimum, np.maximum))
+                keep = order[first]
+                key, at, words = key[keep], at[keep], words[keep]
                 place = np.repeat(at, words) + np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
-                body = runs.hashes[place].tobytes()
-                bounds = np.append(0, 8 * np.cumsum(words)).astype(np.int32)
+                body = np.ascontiguousarray(runs.hashes[place].view(np.uint8).reshape(-1, 8)[:, :5])
+                bounds = np.append(0, 5 * np.cumsum(words)).astype(np.int32)
                 held = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), held, part.column("doc_id").take(pa.array(doc))], ["key", "words", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), held, pa.array(low.astype(np.int64)), pa.array(high.astype(np.int64))], ["key", "words", "low", "high"])
 
     return run
 
 
+def _unpacked(words: bytes) -> np.ndarray:
+    out = np.zeros((len(words) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(words, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def _places(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 runs, doc, at, length, key = _cut(part, width)
+                whole = runs.whole()
+                runs.hashes &= _LOW  # as the index has them
                 h = _piece_hash(runs, at, length + width - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(doc)), pa.array(runs.whole()[doc].view(np.int64)), pa.array((at - runs.words.first[doc]).astype(np.int32))],
+                    [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(doc)), pa.array(whole[doc].view(np.int64)), pa.array((at - runs.words.first[doc]).astype(np.int32))],
                     ["key", "h", "doc_id", "row", "at"],
                 )
 
@@ -245,7 +273,7 @@ def _search(width: int, shard_words: int):
         size = 0
 
         def out() -> pa.RecordBatch:
-            parts = [np.frombuffer(w, np.uint64) for _, w, _, _ in held]
+            parts = [_unpacked(w) for _, w, _, _ in held]
             low, high = np.array([x[2] for x in held]), np.array([x[3] for x in held])
             index = FMIndex(parts, low, width)
             _, earliest = index.statistics()
@@ -265,7 +293,7 @@ def _search(width: int, shard_words: int):
                     yield out()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[1]) // 8
+                size += len(row[1]) // 5
         if held:
             yield out()
 
@@ -302,7 +330,7 @@ def _strip(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, often: int = 1000, shard_words: int = 1 << 18) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, often: int = 1000, local: int = 8, shard_words: int = 1 << 18) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one blank).
 
     A word goes if it lies in a window of ``width`` words (8 to 16) that also starts in a document with a smaller doc_id.
@@ -311,16 +339,20 @@ def remove_repeats(docs: DataFrame, width: int = 13, often: int = 1000, shard_wo
         raise ValueError("width must be from 8 to 15: suffixes are sorted by 16 words")
     docs = docs.select("doc_id", "text")
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = some.mapInArrow(_minimizers(width), "m long, doc_id long")
-    shared = found.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("m", (F.col("n") > often).alias("often"))
-    by_doc = checkpointed(found.join(shared, "m").groupBy("doc_id").agg(F.collect_list(F.struct("m", "often")).alias("shared")))
-    told = some.join(by_doc, "doc_id")
-    indexed = told.mapInArrow(_indexed_pieces(width), "key long, words binary, doc_id long").groupBy("key", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    indexed = indexed.repartition("key").sortWithinPartitions("key")
+    found = some.mapInArrow(_minimizers(width, local), "m long, doc_id long, kind tinyint")
+    # One shuffle serves the count and the join with it; a frequent minimizer is a few rows a slice in it, not one a document.
+    dealt = found.where("kind < 2").repartition("m")
+    shared = dealt.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("kind").alias("kind"), F.count("*").alias("n")).where("low < high").select("m", ((F.col("kind") == 1) | (F.col("n") > often)).alias("often"))
+    told_here = found.where("kind = 2").select("doc_id", "m", F.lit(True).alias("often"))
+    told_there = dealt.where("kind = 0").join(shared, "m").select("doc_id", "m", "often")
+    by_doc = told_here.unionByName(told_there).groupBy("doc_id").agg(F.collect_list(F.struct("m", "often")).alias("shared"))
+    # Both joins with the texts are left joins of the same rows, so the texts are shuffled once.
+    told = docs.join(by_doc, "doc_id", "left")
+    indexed = told.mapInArrow(_indexed_pieces(width), "key long, words binary, low long, high long").repartition("key")
+    indexed = indexed.groupBy("key", "words").agg(F.min("low").alias("low"), F.max("high").alias("high")).sortWithinPartitions("key")
     searched = indexed.mapInArrow(_search(width, shard_words), "key long, h long, earliest array<long>")
     places = told.mapInArrow(_places(width), "key long, h long, doc_id long, row long, at int")
     later = F.filter(F.transform("earliest", lambda x, i: F.when(x < F.col("doc_id"), F.col("at") + i)), lambda x: x.isNotNull())
     gone = places.join(searched, ["key", "h"]).select("doc_id", "row", later.alias("at")).where(F.size("at") > 0)
-    gone = checkpointed(gone.groupBy("doc_id").agg(F.collect_list(F.struct("row", "at")).alias("found")))
-    joined = docs.join(gone, "doc_id", "left")
-    return joined.mapInArrow(_strip(width), "doc_id long, n_words long, n_removed long, kept_text string")
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("row", "at")).alias("found"))
+    return docs.join(gone, "doc_id", "left").mapInArrow(_strip(width), "doc_id long, n_words long, n_removed long, kept_text string")
