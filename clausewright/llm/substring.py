@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +68,24 @@ class _Runs:
         """A hash of all the words of each text, to tell rows with equal doc_id apart."""
         total = np.zeros(len(self.hashes) + 1, np.uint64)
         np.cumsum(mix(self.hashes + self.words.where().astype(np.uint64)), out=total[1:])
-        return mix(total[self.words.first[1:]] - total[self.words.first[:-1]] + self.words.counts.astype(np.uint64))
+        return (mix(total[self.words.first[1:]] - total[self.words.first[:-1]] + self.words.counts.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstandard frames: they are shuffled once, and that is most of what the shuffle writes."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for part in pieces(batch):
+            texts = [None if x is None else pack.compress(x.encode()) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+
+def _unpacked_texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, with the texts as they were."""
+    unpack = zstandard.ZstdDecompressor()
+    for part in pieces(batch, most=1 << 19):
+        texts = [None if x is None else unpack.decompress(x) for x in part.column("text").to_pylist()]
+        yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
 
 def _minimizers(width: int, local: int):
@@ -131,7 +149,7 @@ def _indexed_pieces(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in _unpacked_texts(batch):
                 runs, doc, at, length, key = _cut(part, width)
                 words = length + width - 1
                 same = key ^ mix(_piece_hash(runs, at, words))
@@ -159,13 +177,13 @@ def _unpacked(words: bytes) -> np.ndarray:
 def _places(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in _unpacked_texts(batch):
                 runs, doc, at, length, key = _cut(part, width)
                 whole = runs.whole()
                 runs.hashes &= _LOW  # as the index has them
                 h = _piece_hash(runs, at, length + width - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(doc)), pa.array(whole[doc].view(np.int64)), pa.array((at - runs.words.first[doc]).astype(np.int32))],
+                    [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(doc)), pa.array(whole[doc]), pa.array((at - runs.words.first[doc]).astype(np.int32))],
                     ["key", "h", "doc_id", "row", "at"],
                 )
 
@@ -308,9 +326,9 @@ class _Flat:
 def _strip(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in _unpacked_texts(batch):
                 runs = _Runs(part.column("text"), width)
-                words, whole = runs.words, runs.whole().view(np.int64)
+                words, whole = runs.words, runs.whole()
                 change = np.zeros(len(words.starts) + 1, np.int64)
                 for t, found in enumerate(part.column("found").to_pylist()):
                     for x in found or ():
@@ -340,19 +358,22 @@ def remove_repeats(docs: DataFrame, width: int = 13, often: int = 1000, local: i
     docs = docs.select("doc_id", "text")
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = some.mapInArrow(_minimizers(width, local), "m long, doc_id long, kind tinyint")
-    # One shuffle serves the count and the join with it; a frequent minimizer is a few rows a slice in it, not one a document.
-    dealt = found.where("kind < 2").repartition("m")
+    # One shuffle serves the count and the join with it, as both read the same columns under the same filter (the
+    # join below asks for doc_id anyway, so it is named here for both); a frequent
+    # minimizer is a few rows a slice in it, not one a document.
+    dealt = found.where("kind < 2 AND doc_id IS NOT NULL").repartition("m")
     shared = dealt.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("kind").alias("kind"), F.count("*").alias("n")).where("low < high").select("m", ((F.col("kind") == 1) | (F.col("n") > often)).alias("often"))
     told_here = found.where("kind = 2").select("doc_id", "m", F.lit(True).alias("often"))
-    told_there = dealt.where("kind = 0").join(shared, "m").select("doc_id", "m", "often")
+    told_there = dealt.join(shared, "m").select("doc_id", "m", (F.col("often") | (F.col("kind") == 1)).alias("often"))
     by_doc = told_here.unionByName(told_there).groupBy("doc_id").agg(F.collect_list(F.struct("m", "often")).alias("shared"))
     # Both joins with the texts are left joins of the same rows, so the texts are shuffled once.
-    told = docs.join(by_doc, "doc_id", "left")
+    packed = docs.mapInArrow(_packed, "doc_id long, text binary")
+    told = packed.join(by_doc, "doc_id", "left")
     indexed = told.mapInArrow(_indexed_pieces(width), "key long, words binary, low long, high long").repartition("key")
     indexed = indexed.groupBy("key", "words").agg(F.min("low").alias("low"), F.max("high").alias("high")).sortWithinPartitions("key")
     searched = indexed.mapInArrow(_search(width, shard_words), "key long, h long, earliest array<long>")
-    places = told.mapInArrow(_places(width), "key long, h long, doc_id long, row long, at int")
+    places = told.mapInArrow(_places(width), "key long, h long, doc_id long, row int, at int")
     later = F.filter(F.transform("earliest", lambda x, i: F.when(x < F.col("doc_id"), F.col("at") + i)), lambda x: x.isNotNull())
     gone = places.join(searched, ["key", "h"]).select("doc_id", "row", later.alias("at")).where(F.size("at") > 0)
     gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("row", "at")).alias("found"))
-    return docs.join(gone, "doc_id", "left").mapInArrow(_strip(width), "doc_id long, n_words long, n_removed long, kept_text string")
+    return packed.join(gone, "doc_id", "left").mapInArrow(_strip(width), "doc_id long, n_words long, n_removed long, kept_text string")
