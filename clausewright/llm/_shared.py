@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausewright.plans.lineage import checkpoint_path, checkpointed
 
-__all__ = ["WORD", "checkpoint_path", "checkpointed", "pieces", "table", "word_count"]
+__all__ = ["WORD", "checkpoint_path", "checkpointed", "drawn", "most_frequent", "pieces", "table", "word_count"]
 
 #: A word, by code points: anything but blank, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,33 @@ def word_count(text: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def drawn(rows: DataFrame, size: int, draw: F.Column) -> DataFrame:
+    """The ``size`` rows with the least draws, a hash of 64 bits that is even over the rows.
+
+    Rows are counted first and cut at a draw that about twice ``size`` of them lie below, so that what the tasks hand to
+    the driver does not grow with their number. Many equal draws may leave fewer rows.
+    """
+    bound = -(2**63) + 2**64 * (2 * size + 100) // max(1, rows.count())
+    return (rows if bound >= 2**63 else rows.where(draw < F.lit(bound))).orderBy(draw).limit(size)
+
+
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """About the ``size`` rows of (word, n, ...) with the greatest n, and never more.
+
+    Counts are told apart by eighths of a power of two; from the last of these, which fits in part, a hash of the word
+    chooses. All rows are handed over where they are no more than ``size``. What the tasks hand to the driver does not
+    grow with the number of words.
+    """
+    level = F.floor(8 * F.log2("n")).cast("int")
+    left = size
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # 8 * 63 rows at most
+        if r["count"] > left:
+            some = F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < F.lit((left << 40) // r["count"])
+            return counts.where((level > r["level"]) | ((level == r["level"]) & some)).orderBy(F.col("n").desc(), "word").limit(size)
+        left -= r["count"]
+    return counts
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """Slices of a batch whose texts hold about ``most`` bytes, so that numpy arrays over them stay small; a longer text gets a slice of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

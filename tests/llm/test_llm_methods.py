@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clausewright.llm import _graph, bpe, hmm, host_rules, minhash, mixing, quality, quantisation, queries, secrets, substring, url_filter
+from clausewright.llm._shared import drawn, most_frequent
 from clausewright.llm._words import Words, windows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, key string, m string, id long, component string, _words string"
@@ -312,3 +313,17 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     times = {r["doc_id"]: r["count"] for r in kept["mixing"].groupBy("doc_id").count().collect()}
     assert times == {i: n for i, (t, s) in taken.items() if (n := int(t / s + 0.5) if s else 1)}
     assert kept["bpe"].count() == kept["mixing"].count() and kept["bpe"].where("n_tokens <> size(ids)").count() == 0
+
+
+def test_most_frequent_and_drawn(spark):
+    rows = [(f"w{i}", 1 + (i < 300) + 40 * (i < 20)) for i in range(3000)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    assert most_frequent(counts, 5000).count() == 3000
+    assert {r["word"] for r in most_frequent(counts, 300).collect()} == {f"w{i}" for i in range(300)}
+    some = [r["n"] for r in most_frequent(counts, 200).collect()]
+    assert 120 < len(some) <= 200 and some.count(42) == 20
+    assert most_frequent(counts.where("n > 99"), 10).count() == 0
+    ids = spark.range(5000)
+    draw = F.xxhash64("id")
+    assert [r["id"] for r in drawn(ids, 50, draw).collect()] == [r["id"] for r in ids.orderBy(draw).limit(50).collect()]
+    assert drawn(ids.limit(0), 50, draw).count() == 0 and drawn(ids, 9000, draw).count() == 5000
