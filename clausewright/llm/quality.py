@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm._shared import pieces
+from clausewright.llm._shared import drawn, pieces
 
 _SHAPE = bytes(97 if 97 <= i <= 122 or i >= 128 else 65 if 65 <= i <= 90 else 48 if 48 <= i <= 57 else i for i in range(256))
 
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int = 20
     """A scorer from rows of ``labels`` for which ``allowed`` holds: at most ``per_class`` of each class, the first by a hash of doc_id."""
     labels = labels.select("doc_id", "quality").where(allowed & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labels = labels.withColumn("draw", F.xxhash64("doc_id", F.lit(11)))
-    chosen = labels.where("quality = 1").orderBy("draw", "doc_id").limit(per_class).unionByName(labels.where("quality = 0").orderBy("draw", "doc_id").limit(per_class))
+    chosen = drawn(labels.where("quality = 1"), per_class, F.col("draw")).unionByName(drawn(labels.where("quality = 0"), per_class, F.col("draw")))
     ids = chosen.select("doc_id", "quality", (F.pmod("draw", F.lit(2)) == 0).alias("for_dictionary"))
     ids = ids.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most 2 * per_class rows
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
