@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm._graph import components
-from clausewright.llm._shared import checkpointed
+from clausewright.llm._shared import checkpointed, drawn
 
 
 def _clusters(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -169,7 +169,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, lists: int | No
     usable = usable.where(F.size("embedding") == lengths["n"])
     classes = checkpointed(usable.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
     total = classes.count()
-    sample = classes.select("id", "embedding").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).collect()
+    sample = drawn(classes.select("id", "embedding"), sample_rows, F.xxhash64("id", F.lit(seed))).collect()
     x = np.array([r["embedding"] for r in sample], float)
     x /= np.sqrt((x * x).sum(1))[:, None]
     quantiser = ProductQuantiser.fit(x, lists or min(4096, max(4, math.isqrt(total))), min(subspaces, x.shape[1]), seed=seed)
