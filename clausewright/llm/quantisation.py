@@ -1,10 +1,10 @@
 """Embedding near-duplicates by product quantisation.
 
 Unit vectors are assigned to coarse inverted lists; their residuals are coded by a codebook for each subspace, and each
-code keeps its distance from the vector. A query goes to every list behind whose plane it lies within a margin:
-(|q - c|^2 - |q - c0|^2) / (2 |c - c0|) at most ``margin``, for the nearest centre c0. With the radius of the threshold as the
-margin no link is lost; the default is ``spread`` standard deviations of the part of a difference of that length that falls on one
-direction, which on the test tables finds every link with a sixth of the probes. In a list, table look-ups give
+code keeps its distance from the vector. A query goes to every list behind whose plane it lies by a margin at most:
+(|q - c|^2 - |q - c0|^2) / (2 |c - c0|), for the nearest centre c0. A link between two lists crosses their plane, so the
+margins of its ends together are at most its length: with half the radius of the threshold, one end at least asks for
+the other, and no link is lost. A link that only one end asks for counts for both. In a list, table look-ups give
 asymmetric distances; a row is a candidate if its distance less its own coding error is within the radius, which by the
 triangle inequality no link exceeds. Candidates are reranked by exact cosine in double precision. Centres and codebooks
 are fitted on a bounded sample; every row is indexed and queried.
@@ -80,13 +80,14 @@ class ProductQuantiser:
         held = np.concatenate([self.books[s][codes[:, s]] for s in range(len(self.books))], axis=1)[:, : rest.shape[1]]
         return codes.astype(np.uint8), np.sqrt(((rest - held) ** 2).sum(1))
 
-    def probes(self, x: np.ndarray, most: float) -> list[np.ndarray]:
-        """The lists behind whose planes each row lies by ``most`` or less."""
+    def probes(self, x: np.ndarray, most: float) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The list of each row, and the lists behind whose planes it lies by ``most`` or less, with its own."""
         d = self.distances(x)
         own = np.argmin(d, axis=1)
         apart = self.distances(self.centres)
-        margin = (d**2 - np.take_along_axis(d, own[:, None], 1) ** 2) / np.maximum(2 * apart[own], 1e-12)
-        return [np.flatnonzero(m <= most + 1e-6) for m in margin]
+        # Not divided, so that centres that are all but equal leave no rounding errors to lose a list by.
+        ahead = d**2 - np.take_along_axis(d, own[:, None], 1) ** 2 - 2 * apart[own] * (most + 1e-6)
+        return own, [np.flatnonzero(m <= 1e-9) for m in ahead]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -116,7 +117,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 def _search_block(quantiser: ProductQuantiser, threshold: float, radius: float, chunk: int = 512):
     def run(table: pa.Table) -> pa.Table:
-        ids, weight, role = (table.column(c).to_numpy() for c in ("id", "copies", "role"))
+        ids, weight, role, own = (table.column(c).to_numpy() for c in ("id", "copies", "role", "own"))
         raw = _vectors(table.column("embedding").combine_chunks())
         norms = np.sqrt((raw * raw).sum(1))
         unit = raw / norms[:, None]
@@ -125,7 +126,9 @@ def _search_block(quantiser: ProductQuantiser, threshold: float, radius: float,
         rest = unit - quantiser.centres[place]
         codes, errors = quantiser.encode(rest[held])
         first = {int(i): k for k, i in enumerate(ids[held])}
-        links, edges = np.zeros(len(asked), np.int64), []
+        lists = table.column("lists").combine_chunks().take(pa.array(held))
+        asks = np.repeat(np.arange(len(held)), lists.value_lengths().to_numpy()) * len(quantiser.centres) + lists.flatten().to_numpy()
+        links, back, edges = np.zeros(len(asked), np.int64), np.zeros(len(held), np.int64), []
         for at in range(0, len(asked), chunk):
             some = asked[at : at + chunk]
             tables = quantiser.tables(rest[some])
@@ -139,19 +142,24 @@ def _search_block(quantiser: ProductQuantiser, threshold: float, radius: float,
                 good[k : k + 20_000] = ((raw[a] * raw[b]).sum(1) / (norms[a] * norms[b]) >= threshold) & (ids[a] != ids[b])
             q, h = q[good], h[good]
             links[at : at + len(some)] = np.bincount(q, weight[held[h]], len(some)).astype(np.int64)
+            # Held rows that do not ask the query's own list hear of the link here.
+            away = np.flatnonzero(own[some[q]] != place)
+            away = away[~np.isin(h[away] * len(quantiser.centres) + own[some[q[away]]], asks)]
+            back += np.bincount(h[away], weight[some[q[away]]], len(held)).astype(np.int64)
             nodes = np.array([first.get(i, len(held) + k) for k, i in enumerate(ids[some].tolist())], np.int64)
             left, right = _forest(nodes[q], h, len(held) + len(some))
             names = np.concatenate((ids[held], ids[some]))
             edges += zip(names[left].tolist(), names[right].tolist(), strict=True)
-        n = pa.array(np.concatenate((links, np.zeros(len(edges), np.int64))))
-        a = np.concatenate((ids[asked], np.array([e[0] for e in edges], np.int64)))
-        b = pa.array([None] * len(asked) + [e[1] for e in edges], pa.int64())
+        told = np.flatnonzero(back)
+        n = pa.array(np.concatenate((links, back[told], np.zeros(len(edges), np.int64))))
+        a = np.concatenate((ids[asked], ids[held[told]], np.array([e[0] for e in edges], np.int64)))
+        b = pa.array([None] * (len(asked) + len(told)) + [e[1] for e in edges], pa.int64())
         return pa.table({"a": pa.array(a), "b": b, "n": n})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, lists: int | None = None, subspaces: int = 8, sample_rows: int = 16384, block: int = 2048, spread: float = 3.5, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, lists: int | None = None, subspaces: int = 8, sample_rows: int = 16384, block: int = 2048, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept, from vec_id and embedding.
 
     ``lists``: by default the square root of the number of vectors, 4 to 4096. ``sample_rows`` bounds what the centres
@@ -174,21 +182,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, lists: int | No
     x /= np.sqrt((x * x).sum(1))[:, None]
     quantiser = ProductQuantiser.fit(x, lists or min(4096, max(4, math.isqrt(total))), min(subspaces, x.shape[1]), seed=seed)
     radius = math.sqrt(2 - 2 * threshold)
-    margin = radius * min(1.0, spread / math.sqrt(x.shape[1]))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 unit = _units(part)
-                probes = quantiser.probes(unit, margin)
-                rows = np.concatenate((np.arange(len(unit)), np.repeat(np.arange(len(unit)), [len(p) for p in probes])))
-                lists = np.concatenate((quantiser.nearest(unit), *probes))
+                own, probes = quantiser.probes(unit, radius / 2)
+                asks = [len(p) for p in probes]
+                probed = np.concatenate(probes).astype(np.int32)
+                rows = np.concatenate((np.arange(len(unit)), np.repeat(np.arange(len(unit)), asks)))
+                places = np.concatenate((own.astype(np.int32), probed))
                 role = np.repeat([0, 1], [len(unit), len(rows) - len(unit)])
+                # A held row carries the lists that it asks.
+                ends = np.concatenate(([0], np.cumsum(asks), np.full(len(probed), len(probed)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(probed))
                 out = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(role.astype(np.int32)), *(out.column(c) for c in ("id", "copies", "embedding"))], ["list", "role", "id", "copies", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(role.astype(np.int32)), pa.array(own[rows].astype(np.int32)), lists, *(out.column(c) for c in ("id", "copies", "embedding"))], ["list", "role", "own", "lists", "id", "copies", "embedding"])
 
-    routed = classes.mapInArrow(route, "list int, role int, id long, copies long, embedding array<double>")
+    routed = classes.mapInArrow(route, "list int, role int, own int, lists array<int>, id long, copies long, embedding array<double>")
     sizes = routed.where("role = 0").groupBy("list").count()
     sizes = checkpointed(sizes.select("list", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     # An indexed row lies in one block of its list; a query goes to all of them, in slices of bounded size too.

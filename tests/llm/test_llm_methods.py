@@ -235,6 +235,36 @@ def test_vectors_against_brute_force(spark, block):
     assert quantisation.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["centres", "flat", "seam"])
+def test_vectors_of_low_dimension_lose_no_link(spark, shape):
+    """64 dimensions, but differences in few directions: every vector a centre, a hot cloud in a plane, pairs across the planes of the lists."""
+    rng = np.random.default_rng(8)
+    base = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    if shape == "centres":
+        x = np.stack([base[0], 0.955 * base[0] + math.sqrt(1 - 0.955**2) * base[1], base[2], base[3]])
+    elif shape == "flat":
+        x = base[0] + rng.uniform(-0.8, 0.8, size=(500, 2)) @ base[1:3]
+    else:
+        at = np.linspace(0, 2 * np.pi, 300)
+        x = np.cos(at)[:, None] * base[0] + np.sin(at)[:, None] * base[1]
+        x = np.concatenate((x, base[2:40]))
+    x *= rng.uniform(0.5, 2, size=(len(x), 1))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    label = np.arange(len(x))
+    while (new := np.where(near, label, len(x)).min(1, initial=len(x))).min() < len(x) and (np.minimum(new, label) < label).any():
+        label = np.minimum(new, label)
+    copied = len(x) // 2  # this row twice
+    table = [(i, row.tolist()) for i, row in enumerate(x)] + [(1000, x[copied].tolist())]
+    weight = np.ones(len(x), int)
+    weight[copied] = 2
+    links = near @ weight + weight - 1
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in quantisation.near_duplicates(df, block=64).collect()}
+    assert got.pop(1000) == got[copied]
+    assert got == {i: (int(links[i]), int(label[i])) for i in range(len(x))}
+
+
 def test_lexicon_spells_numbers_and_shares_suffixes():
     rng = random.Random(5)
     words = sorted({"".join(rng.choices("ab", k=rng.randint(1, 8))) + rng.choice(["tion", "ing"]) for _ in range(500)})
