@@ -198,7 +198,7 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, states: int = 6, frequent: int = 4096, tails: int = 2048, rounds: int = 2, sample_rows: int = 400, sample_bytes: int = 8192, sample_rounds: int = 15, seed: int = 3) -> LanguageModel:
-    """``sample_rows`` whole documents of at most ``sample_bytes`` bytes, the first by a hash, give the first guess; then all documents take part in ``rounds`` rounds of Baum-Welch."""
+    """``sample_rows`` whole documents of at most ``sample_bytes`` bytes, the first by a hash, give the first guess, or none where all are longer; then all documents take part in ``rounds`` rounds of Baum-Welch."""
     docs = docs.select("doc_id", "text")
     counts = checkpointed(_word_counts(docs))
     tokens, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
@@ -221,6 +221,7 @@ def train(docs: DataFrame, states: int = 6, frequent: int = 4096, tails: int = 2
         own = classes.of(held.hashes, held.tails)
         for _ in range(sample_rounds):
             model = HiddenMarkov.of_counts(model.expected(own, held.counts), states, classes.n)
+    if tokens:
         for _ in range(rounds):
             model = HiddenMarkov.of_counts(_expected_counts(docs, model, classes), states, classes.n)
     return LanguageModel(counts, int(tokens), int(words), classes, class_tokens, class_words, model)
