@@ -332,6 +332,30 @@ def test_novel_secrets(spark):
     assert clean[4]["text"] == "[SECRET] [SECRET]" and clean[4]["n_chars"] == 17 and clean[2]["text"] == texts[1][1] and clean[1]["_words"] == "w"
 
 
+def test_random_keys_of_any_alphabet_and_length_are_novel(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(300)]
+    code = "".join(f"def get_{n}(self):\n    return self.{n}\n\n" for n in words[:40])
+    alphabets = {"lower": "abcdefghijklmnopqrstuvwxyz0123456789", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "hex": "0123456789ABCDEF", "base64": "".join(map(chr, (*range(48, 58), *range(65, 91), *range(97, 123)))) + "+/"}
+    texts, asked = [], {}
+    for name, signs in alphabets.items():
+        for length in (16, 20, 32, 64, 128, 256, 512):
+            for k in range(12):
+                key = ""
+                while not any(map(str.isalpha, key)) or not any(map(str.isdigit, key)):
+                    key = "".join(rng.choices(signs, k=length))
+                before = " ".join(rng.choices(words, k=90)) if k % 2 else code[k * 7 :][:490]
+                before = (before if k % 3 else "") + " the bearer is "
+                asked[len(texts)] = (name, length, ("novel", len(before), len(before) + length))
+                texts.append((len(texts), before + key + " then"))
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(frame(spark, texts)).collect()}
+    missed = [(name, length) for i, (name, length, span) in asked.items() if span not in got[i]]
+    assert len(missed) <= 0.02 * len(asked), missed
+    plain = ["check_session_list_2", "z" * 40 + "1", "get_password_name_set_value1"]
+    calm = frame(spark, [(i, code[:490] + " the bearer is " + t + " then") for i, t in enumerate(plain)])
+    assert all(not r["spans"] for r in secrets.scan(calm).collect())
+
+
 def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
