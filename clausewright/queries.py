@@ -435,8 +435,13 @@ def duplicate_keys(t):
 @query(r"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) NOT LIKE '%&%'")
 def page_title(t):
     """By the HTML walk; titles with entities are compared in the tests."""
-    found = page_source.extract(t("pages"), "page_id").select("page_id", "title")
-    return found.where(~F.contains("title", F.lit("&")))
+    return page_title_all(t).where(~F.contains("title", F.lit("&")))
+
+
+@query()
+def page_title_all(t):
+    """Of every page; the SQL of ``page_title`` cannot read entities."""
+    return page_source.extract(t("pages"), "page_id").select("page_id", "title")
 
 
 @query()
@@ -452,7 +457,17 @@ def segment_lines(t):
 
 @query(r"SELECT doc_id, unnest(range(len(s)))::INT AS pos, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '.' || chr(1)), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS s FROM documents WHERE length(text) < 2000)")
 def sentence_units(t):
-    rows = t("documents").where(F.length("text") < 2000)
+    """Of documents under 2,000 characters, as in the SQL."""
+    return _sentence_rows(t("documents").where(F.length("text") < 2000))
+
+
+@query()
+def sentence_units_all(t):
+    """Of every document."""
+    return _sentence_rows(t("documents"))
+
+
+def _sentence_rows(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.posexplode(T.sentences(F.col("text"), r"\. ")).alias("pos", "sentence"))
 
 
@@ -480,11 +495,20 @@ def errata_exactly_once(t):
 
 @query("SELECT doc_id, CASE WHEN len(l) > 1 THEN coalesce(array_to_string(list_filter(l, lambda x, i: i % 2 = 0), '|'), '') ELSE '' END AS gaps FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE length(text) < 600) WHERE len(list_distinct(l)) = len(l) AND NOT EXISTS (SELECT 1 FROM unnest(l) a(x), unnest(l) b(y) WHERE x <> y AND contains(y, x))")
 def coverage_gaps(t):
-    """What every other line leaves of a text."""
-    rows = t("documents").where(F.length("text") < 600).select("doc_id", "text", T.lines(F.col("text")).alias("l"))
+    """What every other line leaves of a text under 600 characters without repeated or nested lines, as in the SQL."""
     clear = ~F.exists("l", lambda x: F.exists("l", lambda y: (x != y) & F.contains(y, x))) & (F.size(F.array_distinct("l")) == F.size("l"))
+    return _gap_rows(t("documents").where(F.length("text") < 600).withColumn("l", T.lines(F.col("text"))).where(clear))
+
+
+@query()
+def coverage_gaps_all(t):
+    """What every other line leaves of the text of every document."""
+    return _gap_rows(t("documents").withColumn("l", T.lines(F.col("text"))))
+
+
+def _gap_rows(rows: DataFrame) -> DataFrame:
     every = F.filter("l", lambda x, i: i % 2 == 0)
-    return rows.where(clear).select("doc_id", F.array_join(T.coverage(F.col("text"), every)["gaps"], "|").alias("gaps"))
+    return rows.select("doc_id", F.array_join(T.coverage(F.col("text"), every)["gaps"], "|").alias("gaps"))
 
 
 # Rules
