@@ -356,6 +356,14 @@ def test_random_keys_of_any_alphabet_and_length_are_novel(spark):
     assert all(not r["spans"] for r in secrets.scan(calm).collect())
 
 
+def test_keys_without_digits_and_before_their_word_are_found(spark):
+    plain, key = "qWzXaLmPvHKsTtRObWnGyJ", "q7Zx91LmPv02KsTtR8bWn4"
+    texts = [(1, f"the bearer is {plain} here"), (2, f"{key} # the bearer"), (3, key + " " * 70 + "bearer"), (4, f"a bearer, {key} then authorization")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(frame(spark, texts)).collect()}
+    assert got[1] == [("novel", 14, 36)] and got[2] == [("novel", 0, 22)] and got[3] == [] and got[4] == [("novel", 10, 32)]
+    assert secrets.redact(frame(spark, texts[1:2])).head()["text"] == "[SECRET] # the bearer"
+
+
 def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
