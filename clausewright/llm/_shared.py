@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausewright.plans.lineage import checkpoint_path, checkpointed
 
-__all__ = ["WORD", "checkpoint_path", "checkpointed", "drawn", "most_frequent", "pieces", "table", "word_count"]
+__all__ = ["WORD", "array_pieces", "checkpoint_path", "checkpointed", "drawn", "in_small_batches", "most_frequent", "pieces", "table", "word_count"]
 
 #: A word, by code points: anything but blank, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,7 +51,19 @@ def most_frequent(counts: DataFrame, size: int) -> DataFrame:
     return counts
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
+#: Bytes of an Arrow batch of texts, and of a slice of it over which numpy works.
+BATCH, SLICE = 4 << 20, 1 << 19
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after its session's Arrow batches are held to ``BATCH`` bytes: rows of texts differ in size by far, and both ends of the pipe hold a batch whole."""
+    conf = docs.sparkSession.conf
+    if int(docs.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return docs
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = SLICE):
     """Slices of a batch whose texts hold about ``most`` bytes, so that numpy arrays over them stay small; a longer text gets a slice of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at = size = 0
@@ -62,3 +74,9 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
         size += n
     if at < len(lengths):
         yield batch.slice(at)
+
+
+def array_pieces(texts: pa.Array, most: int = SLICE):
+    """The same of one array."""
+    for part in pieces(pa.RecordBatch.from_arrays([texts], ["text"]), "text", most):
+        yield part.column("text")

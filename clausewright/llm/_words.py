@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,16 +15,20 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, _INVERSE):
-        p = np.full(n + 1, base, np.uint64)
+        p = np.full(n, base, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=np.uint64))
     return out[0], out[1]
 
 
+#: Bytes that are hashed at a time; memory for powers and sums follows this, not the longest text or word.
+STEP = 1 << 16
+_POWER, _UNPOWER = _powers(STEP)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -61,12 +63,27 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """64-bit word hashes, the same in every process."""
-        n = len(self.data)
-        power, inverse = _powers(1 << max(12, n.bit_length()))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * power[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        """64-bit word hashes, the same in every process: a polynomial in the bytes, scrambled with the length."""
+        out = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(out):
+            low = int(self.starts[at])
+            to = int(np.searchsorted(self.ends, low + STEP, "right"))
+            if to > at:
+                sums = np.zeros(STEP + 1, np.uint64)
+                part = self.data[low : int(self.ends[to - 1])]
+                np.cumsum(_BYTE[part] * _POWER[: len(part)], out=sums[1 : len(part) + 1])
+                starts = self.starts[at:to] - low
+                out[at:to] = (sums[self.ends[at:to] - low] - sums[starts]) * _UNPOWER[starts]
+            else:  # a word of more than a step
+                to, total, scale, step = at + 1, 0, 1, pow(_BASE, STEP, 2**64)
+                for k in range(low, int(self.ends[at]), STEP):
+                    part = self.data[k : min(k + STEP, int(self.ends[at]))]
+                    total += scale * int((_BYTE[part] * _POWER[: len(part)]).sum(dtype=np.uint64))
+                    scale = scale * step % 2**64
+                out[at] = total % 2**64
+            at = to
+        return mix(out + (self.ends - self.starts).astype(np.uint64))
 
     def doc(self) -> np.ndarray:
         """The text of each word."""

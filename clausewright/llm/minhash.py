@@ -1,30 +1,33 @@
 """MinHash near-duplicates with tensored banding.
 
 Two small collections of ``tables`` sub-keys, each of ``rows`` minhashes, give tables ** 2 table keys: a key is a pair of
-sub-keys, one of each collection. 48 minhashes do the work of 384.
+sub-keys, one of each collection. 48 minhashes do the work of 384. As many sub-keys are taken as a pair at the threshold
+needs to share a table with a probability of 0.999: 8 at 85 percent, 11 at 80.
 
-Documents with equal shingle sets are one class from the start, so groups of copies are one row. In every bucket the
+Documents with equal shingle sets are one class from the start, so groups of copies are one row; a class, not a
+doc_id, is what has a text, so rows that share a doc_id and have different texts keep their own links. In every bucket the
 members are compared with its least class (a star, not all pairs). Where a bucket's members are still in different
 components after that, they are compared with each other in blocks of bounded size, so no link between different
 texts that share a bucket is lost; a block pair yields a spanning forest, not pairs. Every link is confirmed on the
 full sets. Shingles are 64-bit hashes.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing; fewer words than a
-shingle are one shingle; repeated rows are equal classes; a null doc_id links with nothing; no rows give no rows; other
-columns are ignored.
+shingle are one shingle; repeated rows are equal classes; rows of one doc_id with different texts are judged each by its
+own; a null doc_id links with nothing; no rows give no rows; other columns are ignored, and kept by ``deduplicated``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm._graph import components
-from clausewright.llm._shared import checkpointed, pieces
+from clausewright.llm._shared import array_pieces, checkpointed, in_small_batches, pieces
 from clausewright.llm._words import Words, mix, windows
 
 _SEED = 88172645463325252
@@ -45,6 +48,33 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def _sums(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits that tell sets apart: two sums of each set's hashes, as signed integers."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((len(sets), 2), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        flat = np.concatenate(sets)
+        at = (np.cumsum(sizes) - sizes)[some]
+        out[some, 0] = np.add.reduceat(flat, at)
+        out[some, 1] = np.add.reduceat(mix(flat), at)
+    return out.view(np.int64)
+
+
+def _same_set(width: int):
+    """The fingerprint (n_shingles, f1, f2) of a text column, for rows that the sketch does not reach."""
+
+    @F.arrow_udf("struct<n_shingles:bigint,f1:bigint,f2:bigint>")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            for part in array_pieces(array):
+                sets = shingle_sets(part, width)
+                sums = _sums(sets)
+                yield pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy())], ["n_shingles", "f1", "f2"])
+
+    return of
+
+
 def _sketcher(width: int, tables: int, rows: int):
     count = 2 * tables * rows
     drawn = np.random.default_rng(_SEED)
@@ -58,17 +88,15 @@ def _sketcher(width: int, tables: int, rows: int):
                 sizes = np.array([len(s) for s in sets])
                 some = np.flatnonzero(sizes)
                 keys = np.zeros((len(sets), 2 * tables), np.uint64)
-                sums = np.zeros((len(sets), 2), np.uint64)
                 if len(some):
                     flat = np.concatenate(sets)
                     at = (np.cumsum(sizes) - sizes)[some]
                     least = np.stack([np.minimum.reduceat((flat ^ masks[i]) * factors[i], at) for i in range(count)])
                     for k in range(2 * tables):
                         keys[some, k] = windows(least[k * rows : (k + 1) * rows].T.reshape(-1), rows)[::rows]
-                    sums[some, 0] = np.add.reduceat(flat, at)
-                    sums[some, 1] = np.add.reduceat(mix(flat), at)
+                sums = _sums(sets)
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * 2 * tables).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), *(pa.array(sums[:, i].copy().view(np.int64)) for i in (0, 1)), lists], ["doc_id", "n_shingles", "f1", "f2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), *(pa.array(sums[:, i].copy()) for i in (0, 1)), lists], ["doc_id", "n_shingles", "f1", "f2", "keys"])
 
     return run
 
@@ -90,7 +118,7 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text_a"):
+            for part in pieces(batch, "text_a", 1 << 18):
                 a, b = (shingle_sets(part.column(c), width) for c in ("text_a", "text_b"))
                 keep = pa.array([_alike(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(keep)
@@ -160,15 +188,19 @@ def _block_links(width: int, percent: int, tables: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 8, rows: int = 3, block: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included), kept.
+def sub_keys(percent: int, rows: int) -> int:
+    """Sub-keys of a collection for a pair at the threshold to share one in both collections with a probability of 0.999."""
+    return max(1, math.ceil(math.log(0.0005) / math.log(1 - min(0.999, percent / 100) ** rows)))
 
-    Documents link if 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles.
-    """
-    docs = docs.select("doc_id", "text")
+
+def _linked(docs: DataFrame, width: int, percent: int, tables: int | None, rows: int, block: int) -> DataFrame:
+    """doc_id, n_shingles, f1, f2, component_id of each row, as ``near_duplicates`` defines them, and root, the number of its component."""
+    tables = tables or sub_keys(percent, rows)
+    docs = in_small_batches(docs).select("doc_id", "text")
     sketched = docs.mapInArrow(_sketcher(width, tables, rows), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
     sketched = checkpointed(sketched)
-    classes = checkpointed(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2", "keys").agg(F.min("doc_id").alias("id")))
+    classes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2", "keys").agg(F.min("doc_id").alias("first"))
+    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
 
     def keyed(rows: DataFrame) -> DataFrame:
         t = F.col("t")
@@ -179,18 +211,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     leads = bucketed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     stars = checkpointed(bucketed.join(leads, "key").where("id > lead").select("id", "lead").distinct())
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("doc_id IS NOT NULL")
+    # A class's text is one of its first doc_id's; where that has several, the one with the class's fingerprint.
     members = stars.select("id").unionByName(stars.select(F.col("lead").alias("id"))).distinct()
-    texts = checkpointed(texts.join(members, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    wanted = classes.join(members, "id", "left_semi").select("id", F.col("first").alias("doc_id"), F.struct("n_shingles", "f1", "f2").alias("as"))
+    texts = docs.join(wanted, "doc_id").where(_same_set(width)(F.coalesce("text", F.lit(""))) == F.col("as"))
+    texts = checkpointed(texts.groupBy("id").agg(F.min("text").alias("text")))
     pairs = stars.join(texts.withColumnRenamed("text", "text_b"), "id").select(F.col("lead").alias("a"), F.col("id").alias("b"), "text_b")
     pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     links = checkpointed(pairs.mapInArrow(_confirm(width, percent), "a long, b long"))
     found = components(links)
 
     # Buckets whose members are not in one component: compare those of different components; of buckets with equal members the first table's.
-    told = classes.join(members, "id", "left_semi").join(found, "id", "left").select("id", "keys", F.coalesce("component", "id").alias("component"))
-    open_keys = keyed(told).groupBy("key", "t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("low < high")
-    open_keys = open_keys.groupBy("n", "who").agg(F.min_by("key", "t").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    told = classes.join(members, "id", "left_semi").join(found, "id", "left").select("id", "keys", "n_shingles", F.coalesce("component", "id").alias("component"))
+    open_keys = keyed(told).groupBy("key", "t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("low < high")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / (block * 1024))).cast("int")
+    open_keys = open_keys.groupBy("n", "who", "size").agg(F.min_by("key", "t").alias("key")).select("key", blocks.alias("blocks"))
     rest = keyed(told).join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", "t", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "keys")
@@ -199,19 +234,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     if not more.isEmpty():
         found = components(links.unionByName(more).unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
-    found = found.select("id", F.col("component").alias("component_id"))
-    owners = classes.join(found, "id", "left").select("n_shingles", "f1", "f2", F.coalesce("component_id", "id").alias("component_id"))
+    # Classes are numbered as they come; a component is named by its least doc_id.
+    found = found.join(classes.select("id", "first"), "id")
+    named = found.groupBy("component").agg(F.min("first").alias("component_id"))
+    found = found.join(named, "component").select("id", "component_id", F.col("component").alias("root"))
+    owners = classes.join(found, "id", "left").select("n_shingles", "f1", "f2", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "id").alias("root"))
     joined = sketched.drop("keys").join(owners, ["n_shingles", "f1", "f2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "n_shingles", "f1", "f2", component.alias("component_id"), "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int | None = None, rows: int = 3, block: int = 1024) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included), kept.
+
+    Documents link if 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles. ``tables``:
+    sub-keys of a collection, by default as many as the threshold needs; ``block``: documents of a block, and 1024
+    times as many shingles.
+    """
+    return _linked(docs, width, percent, tables, rows, block).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one document of each component: the least doc_id, once."""
-    gone = near_duplicates(docs, **settings).where("NOT kept").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, tables: int | None = None, rows: int = 3, block: int = 1024) -> DataFrame:
+    """``docs`` with one row of each component: one of its least doc_id. Rows without words or doc_id all stay."""
+    judged = checkpointed(_linked(docs, width, percent, tables, rows, block))
+    repeated = judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
-        return left
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return left.withColumn("_again", F.row_number().over(again)).where("doc_id IS NULL OR _again = 1").select(*docs.columns)
+        return docs.join(judged.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # A doc_id is several rows: of those of a component's least one, the text with the least fingerprint, and of equal rows one.
+    some = judged.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id", "root").agg(F.min(F.struct("n_shingles", "f1", "f2")).alias("as"))
+    wrapped = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), _same_set(width)(F.coalesce("text", F.lit(""))).alias("as"))
+    free = wrapped.where("as.n_shingles = 0 OR id IS NULL").select("row.*")
+    chosen = wrapped.join(some.select(F.col("doc_id").alias("id"), "as"), ["id", "as"]).groupBy("id", "as").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return free.unionByName(chosen.select("row.*"))
