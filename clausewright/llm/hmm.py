@@ -4,7 +4,8 @@ Latent states emit word classes, and a class emits its words: log P(word | state
 class). Classes are the most frequent training words, one each, and for all others the hash of their last letters; so the
 model that Baum-Welch trains has a bounded size, while word counts are exact for every word of the corpus. Expected
 counts are made by each task for its documents by the scaled forward and backward recursions, and Spark adds them
-up; a first guess comes from a bounded sample, then every training document takes part in every round. Scoring runs the
+up; a first guess comes from a bounded sample, then every training document takes part in every round, until a round
+gains little. Scoring runs the
 scaled forward recursion over the whole text, so the likelihood is exact.
 
 Counts reach the scorer by blocks: documents lie in blocks of about ``block_bytes`` bytes of text; a block asks for its
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm._shared import checkpointed, drawn, most_frequent, pieces
+from clausewright.llm._shared import array_pieces, checkpointed, drawn, in_small_batches, most_frequent, pieces
 from clausewright.llm._words import Words, mix
 
 #: The hash that stands for the end of a text.
@@ -70,6 +71,10 @@ class Classes:
     def n(self) -> int:
         return len(self.frequent) + self.tails
 
+    @property
+    def kind(self) -> type:
+        return np.uint16 if self.n <= 1 << 16 else np.uint32
+
     def of(self, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
         out = len(self.frequent) + (tails % np.uint64(self.tails)).astype(np.int64)
         if len(self.frequent):
@@ -94,58 +99,59 @@ class HiddenMarkov:
 
     @classmethod
     def of_counts(cls, counts: np.ndarray, states: int, classes: int) -> HiddenMarkov:
-        """From expected counts of first states, moves and emissions in one array, smoothed."""
-        first, move, emit = np.split(counts, (states, states + states * states))
+        """From expected counts of first states, moves and emissions in one array, smoothed; what follows them is not used."""
+        first, move, emit, _ = np.split(counts, (states, states + states * states, states + states * states + classes * states))
         first, move, emit = first + 1, move.reshape(states, states) + 1, emit.reshape(classes, states) + 0.01
         return cls(first / first.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def forward(self, classes: np.ndarray, lengths: np.ndarray, keep: bool = False):
-        """Log likelihoods (natural) of sequences that lie one after another in ``classes``; all go a step at a time, the longest first.
-
-        With ``keep``, also the scaled forward rows and scales in the order of ``classes``.
-        """
+    def _steps(self, classes: np.ndarray, lengths: np.ndarray, keep: bool, kind: type):
+        """The scaled forward recursion. Sequences lie one after another in ``classes``; all go a step at a time, the longest first,
+        and what belongs to a step lies together, so each step works on one run of rows."""
         order = np.argsort(-lengths, kind="stable")
-        starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
-        total, rows = np.zeros(len(lengths)), self.emit[classes]
-        alpha = np.empty_like(rows) if keep else None
-        scales = np.ones(len(classes))
-        live = len(sizes)
-        now = None
-        for t in range(int(sizes[0]) if len(sizes) else 0):
-            while sizes[live - 1] <= t:
-                live -= 1
-            at = starts[:live] + t
-            now = (np.broadcast_to(self.first, (live, len(self.first))) if t == 0 else now[:live] @ self.move) * rows[at]
+        live = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(int(lengths.max(initial=0))), "right")
+        ends = np.cumsum(live)
+        which = np.arange(len(classes)) - np.repeat(ends - live, live)  # the sequence, by falling length
+        at = (np.cumsum(lengths) - lengths)[order][which] + np.repeat(np.arange(len(live)), live)
+        classes = classes[at]
+        emit, move = self.emit.astype(kind), self.move.astype(kind)
+        scales, alpha = np.empty(len(classes), kind), np.empty((len(classes), len(self.first)), kind) if keep else None
+        now, rows = None, emit[classes] if keep else None
+        low = 0
+        for n, high in zip(live.tolist(), ends.tolist(), strict=True):
+            here = rows[low:high] if keep else emit[classes[low:high]]
+            now = here * self.first.astype(kind) if now is None else (now[:n] @ move) * here
             scale = now.sum(1)
-            now = now / scale[:, None]
-            total[:live] += np.log(scale)
+            now /= scale[:, None]
+            scales[low:high] = scale
             if keep:
-                alpha[at] = now
-                scales[at] = scale
-        out = np.empty(len(lengths))
-        out[order] = total
-        return (out, alpha, scales, rows, starts, sizes) if keep else out
+                alpha[low:high] = now
+            low = high
+        total = np.empty(len(lengths))
+        total[order] = np.bincount(which, np.log(scales), len(lengths))
+        return total, classes, alpha, scales, rows, live
+
+    def forward(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Exact log likelihoods (natural) of the sequences."""
+        return self._steps(classes, lengths, False, np.float64)[0]
 
     def expected(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Expected counts of first states, moves and emissions."""
-        _, alpha, scales, rows, starts, sizes = self.forward(classes, lengths, keep=True)
+        """Expected counts of first states, moves and emissions, and then the log likelihood of all; recursions in single precision."""
+        total, classes, alpha, scales, rows, live = self._steps(classes, lengths, True, np.float32)
         states = len(self.first)
+        rows /= scales[:, None]
         beta = np.ones_like(alpha)
-        now = np.ones((len(sizes), states))
-        live = 0
-        for t in range(int(sizes[0]) - 2 if len(sizes) else -1, -1, -1):
-            while live < len(sizes) and sizes[live] > t + 1:
-                live += 1
-            at = starts[:live] + t
-            now[:live] = ((rows[at + 1] * now[:live] / scales[at + 1][:, None]) @ self.move.T)
-            beta[at] = now[:live]
-        last = np.zeros(len(classes), bool)
-        last[starts + sizes - 1] = True
-        go = np.flatnonzero(~last)
-        move = self.move * (alpha[go].T @ (rows[go + 1] * beta[go + 1] / scales[go + 1][:, None]))
-        gamma = alpha * beta
-        emit = np.stack([np.bincount(classes, gamma[:, s], len(self.emit)) for s in range(states)], axis=1)
-        return np.concatenate((gamma[starts].sum(0), move.reshape(-1), emit.reshape(-1)))
+        move = np.zeros((states, states))
+        back = np.ascontiguousarray(self.move.T, np.float32)
+        high = len(classes)
+        for n, before in zip(live[:0:-1].tolist(), live[-2::-1].tolist(), strict=True):
+            low = high - n
+            ahead = rows[low:high] * beta[low:high]
+            move += alpha[low - before : low - before + n].T @ ahead
+            beta[low - before : low - before + n] = ahead @ back
+            high = low
+        alpha *= beta
+        emit = np.stack([np.bincount(classes, alpha[:, s], len(self.emit)) for s in range(states)], axis=1)
+        return np.concatenate((alpha[: live[0] if len(live) else 0].sum(0), (self.move * move).reshape(-1), emit.reshape(-1), [total.sum()]))
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -153,7 +159,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, most=8 << 20):
+            for part in pieces(batch, most=1 << 22):
                 tokens = Tokens(part.column("text"))
                 words, first, n = np.unique(tokens.hashes, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(tokens.tails[first].view(np.int64)), pa.array(n)], ["word", "tail", "n"])
@@ -161,26 +167,42 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, tail long, n long").groupBy("word", "tail").agg(F.sum("n").alias("n"))
 
 
-def _expected_counts(docs: DataFrame, model: HiddenMarkov, classes: Classes) -> np.ndarray:
-    """Expected counts over all documents: each task adds up its own, Spark adds up the cells."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, classes))  # (states + 1) * classes numbers
+def _class_rows(docs: DataFrame, classes: Classes) -> DataFrame:
+    """seen (the classes of a text's tokens, packed): what the rounds read instead of texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+
+    @F.arrow_udf("binary")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            for part in array_pieces(array):
+                tokens = Tokens(part)
+                own = shared.value.of(tokens.hashes, tokens.tails).astype(shared.value.kind)
+                ends = (np.append(0, np.cumsum(tokens.counts)) * own.itemsize).astype(np.int32)
+                yield pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(own)])
+
+    return docs.select(of(F.coalesce("text", F.lit(""))).alias("seen"))
+
+
+def _expected_counts(seen: DataFrame, model: HiddenMarkov, classes: Classes) -> np.ndarray:
+    """Expected counts over all documents, and the log likelihood: each task adds up its own, Spark adds up the cells."""
+    spark = seen.sparkSession
+    shared = spark.sparkContext.broadcast((model, classes.kind))  # (states + 1) * classes numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, classes = shared.value
+        model, kind = shared.value
         total = None
         for batch in batches:
-            for part in pieces(batch):
-                tokens = Tokens(part.column("text"))
-                got = model.expected(classes.of(tokens.hashes, tokens.tails), tokens.counts)
+            for part in pieces(batch, "seen", 1 << 20):
+                rows = part.column("seen")
+                got = model.expected(np.frombuffer(b"".join(x.as_buffer() for x in rows), kind).astype(np.int64), np.array([len(x.as_buffer()) for x in rows]) // np.dtype(kind).itemsize)
                 total = got if total is None else total + got
         if total is not None:
             cells = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "x"])
 
-    cells = docs.select("text").mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
+    cells = seen.mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
     states = len(model.first)
-    out = np.zeros(states + states * states + classes.n * states)
+    out = np.zeros(states + states * states + classes.n * states + 1)
     for r in cells:
         out[r["cell"]] = r["x"]
     return out
@@ -197,9 +219,15 @@ class LanguageModel:
     model: HiddenMarkov
 
 
-def train(docs: DataFrame, states: int = 6, frequent: int = 4096, tails: int = 2048, rounds: int = 2, sample_rows: int = 400, sample_bytes: int = 8192, sample_rounds: int = 15, seed: int = 3) -> LanguageModel:
-    """``sample_rows`` whole documents of at most ``sample_bytes`` bytes, the first by a hash, give the first guess, or none where all are longer; then all documents take part in ``rounds`` rounds of Baum-Welch."""
-    docs = docs.select("doc_id", "text")
+def train(docs: DataFrame, states: int = 6, frequent: int = 4096, tails: int = 2048, least_gain: float = 0.003, most_rounds: int = 8, sample_rows: int = 1000, sample_letters: int = 2048, sample_rounds: int = 15, seed: int = 3) -> LanguageModel:
+    """A model of all ``docs``.
+
+    The first guess is fitted to a sample: of ``sample_rows`` documents of any length, the first by a hash, a slice of
+    ``sample_letters`` letters from the middle. Then all documents, whole, take part in each round of Baum-Welch; rounds
+    end as soon as one has gained less than ``least_gain`` of natural log likelihood a token over the one before, or after
+    ``most_rounds``.
+    """
+    docs = in_small_batches(docs).select("doc_id", "text")
     counts = checkpointed(_word_counts(docs))
     tokens, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     top = most_frequent(counts, frequent).select("word", "n").collect()  # at most ``frequent`` rows
@@ -214,16 +242,21 @@ def train(docs: DataFrame, states: int = 6, frequent: int = 4096, tails: int = 2
     for r in by_tail:
         class_tokens[len(classes.frequent) + r["c"]], class_words[len(classes.frequent) + r["c"]] = r["n"], r["w"]
     model = HiddenMarkov.guess(states, classes.n, seed)
-    short = docs.where("text IS NOT NULL").where(F.octet_length("text") <= sample_bytes)
-    sample = drawn(short, sample_rows, F.xxhash64("doc_id", "text", F.lit(seed))).select("text").collect()
-    if sample:
-        held = Tokens(pa.array([r["text"] for r in sample], pa.string()))
+    if tokens:
+        middle = F.greatest(F.lit(1), F.floor(F.length("text") / 2) - sample_letters // 2).cast("int")
+        sample = drawn(docs.where("text IS NOT NULL").select(F.substring("text", middle, F.lit(sample_letters)).alias("text"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("draw")), sample_rows, F.col("draw")).collect()
+        held = Tokens(pa.array([r["text"] for r in sample] or [""], pa.string()))
         own = classes.of(held.hashes, held.tails)
         for _ in range(sample_rounds):
             model = HiddenMarkov.of_counts(model.expected(own, held.counts), states, classes.n)
-    if tokens:
-        for _ in range(rounds):
-            model = HiddenMarkov.of_counts(_expected_counts(docs, model, classes), states, classes.n)
+        seen = checkpointed(_class_rows(docs, classes))
+        last = -np.inf
+        for _ in range(most_rounds):
+            found = _expected_counts(seen, model, classes)
+            model = HiddenMarkov.of_counts(found, states, classes.n)
+            if found[-1] - last < least_gain * tokens:
+                break
+            last = found[-1]
     return LanguageModel(counts, int(tokens), int(words), classes, class_tokens, class_words, model)
 
 
@@ -235,10 +268,11 @@ def _unsigned_mod(column: str, n: int) -> Column:
 
 def score(docs: DataFrame, lm: LanguageModel, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = in_small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("rows")).head()
     blocks = max(1, -(-(size["n"] + 16 * size["rows"]) // block_bytes))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    # By the row's place in its file, so that repeated rows and rows without doc_id are dealt evenly too.
+    docs = docs.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
 
     def ask(block: pa.Table) -> pa.Table:
         words = [np.zeros(0, np.uint64)]

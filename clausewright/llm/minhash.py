@@ -5,11 +5,14 @@ sub-keys, one of each collection. 48 minhashes do the work of 384. As many sub-k
 needs to share a table with a probability of 0.999: 8 at 85 percent, 11 at 80.
 
 Documents with equal shingle sets are one class from the start, so groups of copies are one row; a class, not a
-doc_id, is what has a text, so rows that share a doc_id and have different texts keep their own links. In every bucket the
-members are compared with its least class (a star, not all pairs). Where a bucket's members are still in different
-components after that, they are compared with each other in blocks of bounded size, so no link between different
-texts that share a bucket is lost; a block pair yields a spanning forest, not pairs. Every link is confirmed on the
-full sets. Shingles are 64-bit hashes.
+doc_id, is what has a text, so rows that share a doc_id and have different texts keep their own links. In every bucket
+the members are compared with its least class (a star, not all pairs). The members of buckets whose members are still in
+different components after that are joined exactly, by prefixes: of a set, the rarest shingles, as many as may be missing
+from a partner and one more, of which two linked sets share one at least. So a template's copies that stay below the
+threshold by words of their own meet nowhere, however many they are. Where a shared rare shingle does bring
+together classes of different components they are compared in blocks of bounded size, each pair at the first
+shingle that its prefixes share; a block pair yields a spanning forest, not pairs. Every link is confirmed on the full
+sets. Shingles are 64-bit hashes.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing; fewer words than a
 shingle are one shingle; repeated rows are equal classes; rows of one doc_id with different texts are judged each by its
@@ -126,7 +129,7 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 1 << 16) -> np.ndarray:
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 1 << 14) -> np.ndarray:
     """Sizes of the intersections of the pairs (left, right) of sets, by bit rows of the elements that more than one set has."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -139,37 +142,22 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns
         at = column[part] - low
         bits = np.zeros((len(sets), (int(at.max()) >> 6) + 1), np.uint64)
         np.bitwise_or.at(bits, (owner[part], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-        step = max(1, (1 << 21) // bits.shape[1])
+        step = max(1, (1 << 18) // bits.shape[1])
         for k in range(0, len(left), step):
             out[k : k + step] += np.bitwise_count(bits[left[k : k + step]] & bits[right[k : k + step]]).sum(1, dtype=np.int64)
     return out
 
 
-def _block_links(width: int, percent: int, tables: int):
-    """Links of a block pair whose members are not yet in one component, as a spanning forest. A pair is compared in the first table that it shares, and nowhere else."""
+def _block_links(width: int, percent: int):
+    """Links of a block pair whose members are not yet in one component, as a spanning forest. A pair is compared at the first shingle that its prefixes share, and nowhere else."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, labels, own = (table.column(c).to_numpy() for c in ("id", "component", "own"))
-        p, q, t = (table.column(c)[0].as_py() for c in ("p", "q", "t"))
-        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), 2 * tables)
-        sets = [s for batch in table.select(["text"]).to_batches() for s in shingle_sets(batch.column(0), width)]
+        p, q = (table.column(c)[0].as_py() for c in ("p", "q"))
+        sets = [s for batch in table.select(["text"]).to_batches() for part in pieces(batch) for s in shingle_sets(part.column("text"), width)]
+        before = [np.array(x, np.int64).view(np.uint64) for x in table.column("before").to_pylist()]
         sizes = np.array([len(s) for s in sets])
         rows, columns = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        earlier = [*range(t // tables), *range(tables, tables + t % tables)]
-        pairs = []
-        for at in range(0, len(rows), 256):
-            some = rows[at : at + 256]
-            low, high = np.minimum(sizes[some][:, None], sizes[columns]), np.maximum(sizes[some][:, None], sizes[columns])
-            open_ = (labels[some][:, None] != labels[columns]) & (100 * low >= percent * high)
-            if p == q:
-                open_ &= some[:, None] < columns
-            for k in earlier:
-                open_ &= keys[some, k][:, None] != keys[columns, k]
-            x, y = np.nonzero(open_)
-            pairs.append((some[x], columns[y]))
-        left, right = np.concatenate([x for x, _ in pairs] or [rows]), np.concatenate([y for _, y in pairs] or [rows])
-        common = _shared(sets, left, right) if len(left) else np.zeros(0, np.int64)
-        good = 100 * common >= percent * (sizes[left] + sizes[right] - common)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -178,16 +166,63 @@ def _block_links(width: int, percent: int, tables: int):
             return x
 
         out = []
-        for x, y in zip(left[good].tolist(), right[good].tolist(), strict=True):
-            a, b = find(int(labels[x])), find(int(labels[y]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((int(ids[x]), int(ids[y])))
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            low, high = np.minimum(sizes[some][:, None], sizes[columns]), np.maximum(sizes[some][:, None], sizes[columns])
+            open_ = (labels[some][:, None] != labels[columns]) & (100 * low >= percent * high)
+            if p == q:
+                open_ &= some[:, None] < columns
+            x, y = np.nonzero(open_)
+            left, right = some[x], columns[y]
+            if len(left):
+                fresh = _shared(before, left, right) == 0
+                left, right = left[fresh], right[fresh]
+            if not len(left):
+                continue
+            common = _shared(sets, left, right)
+            good = 100 * common >= percent * (sizes[left] + sizes[right] - common)
+            for x, y in zip(left[good].tolist(), right[good].tolist(), strict=True):
+                a, b = find(int(labels[x])), find(int(labels[y]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(ids[x]), int(ids[y])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
+def _shingles(width: int):
+    """The shingles of texts, one a row, with the text's id and its number of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                sets = shingle_sets(part.column("text"), width)
+                n = np.array([len(s) for s in sets], np.int64)
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(), n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(flat.view(np.int64))], ["id", "n", "s"])
+
+    return run
+
+
+def _prefix_links(texts: DataFrame, labels: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between the different components of ``labels`` (id, component): enough of them to join what linked texts (id, text) join."""
+    dealt = texts.join(labels, "id", "left_semi").mapInArrow(_shingles(width), "id long, n int, s long")
+    often = dealt.groupBy("s").agg(F.count("*").alias("held"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("s", "held")
+    shared = dealt.join(often, "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held", "s"))).alias("line"))
+    # Shingles that no other has come first in every prefix and meet nothing, so they only shorten what is left of it.
+    short = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - (F.col("n") - F.size("line"))
+    prefix = F.transform(F.slice("line", 1, F.greatest(short, F.lit(0))), lambda x: x["s"])
+    prefixes = checkpointed(shared.select("id", "n", prefix.alias("prefix")).where("size(prefix) > 0").join(labels, "id"))
+    postings = prefixes.select("id", "component", "n", "prefix", F.posexplode("prefix").alias("at", "key"))
+    open_keys = postings.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n").alias("size")).where("low < high")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / (block * 1024))).cast("int")
+    rest = postings.drop("n").join(open_keys.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", F.slice("prefix", F.lit(1), F.col("at")).alias("before"))
+    return rest.join(texts, "id").groupBy("key", "p", "q").applyInArrow(_block_links(width, percent), "a long, b long")
+
+
 def sub_keys(percent: int, rows: int) -> int:
     """Sub-keys of a collection for a pair at the threshold to share one in both collections with a probability of 0.999."""
     return max(1, math.ceil(math.log(0.0005) / math.log(1 - min(0.999, percent / 100) ** rows)))
@@ -221,15 +256,12 @@ def _linked(docs: DataFrame, width: int, percent: int, tables: int | None, rows:
     links = checkpointed(pairs.mapInArrow(_confirm(width, percent), "a long, b long"))
     found = components(links)
 
-    # Buckets whose members are not in one component: compare those of different components; of buckets with equal members the first table's.
-    told = classes.join(members, "id", "left_semi").join(found, "id", "left").select("id", "keys", "n_shingles", F.coalesce("component", "id").alias("component"))
-    open_keys = keyed(told).groupBy("key", "t").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("low < high")
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / (block * 1024))).cast("int")
-    open_keys = open_keys.groupBy("n", "who", "size").agg(F.min_by("key", "t").alias("key")).select("key", blocks.alias("blocks"))
-    rest = keyed(told).join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "t", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "keys")
-    more = rest.join(texts, "id").groupBy("key", "p", "q").applyInArrow(_block_links(width, percent, tables), "a long, b long")
+    # Buckets whose members are not in one component: their members are joined by prefixes.
+    told = classes.join(members, "id", "left_semi").join(found, "id", "left").select("id", "keys", F.coalesce("component", "id").alias("component"))
+    dealt = keyed(told).select("key", "id", "component")
+    open_keys = dealt.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    labels = checkpointed(dealt.join(open_keys, "key", "left_semi").select("id", "component").distinct())
+    more = _prefix_links(texts, labels, width, percent, block)
     more = checkpointed(more)
     if not more.isEmpty():
         found = components(links.unionByName(more).unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b"))))

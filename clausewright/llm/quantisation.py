@@ -4,16 +4,19 @@ Unit vectors are assigned to coarse inverted lists; their residuals are coded by
 code keeps its distance from the vector. A query goes to every list behind whose plane it lies by a margin at most:
 (|q - c|^2 - |q - c0|^2) / (2 |c - c0|), for the nearest centre c0. A link between two lists crosses their plane, so the
 margins of its ends together are at most its length: with half the radius of the threshold, one end at least asks for
-the other, and no link is lost. A link that only one end asks for counts for both. In a list, table look-ups give
-asymmetric distances; a row is a candidate if its distance less its own coding error is within the radius, which by the
-triangle inequality no link exceeds. Candidates are reranked by exact cosine in double precision. Centres and codebooks
-are fitted on a bounded sample; every row is indexed and queried.
+the other, and no link is lost. A link that only one end asks for counts for both. In a list, look-ups in a query's
+table of products with all codes give asymmetric distances; a row is a candidate if its distance less its own coding
+error is within the radius, which by the triangle inequality no link exceeds. Candidates are reranked by exact cosine in
+double precision. Centres and codebooks are fitted on a bounded sample; every row is indexed and queried.
+
+Vectors of every length are compared with those of their own length. The quantiser is of the commonest length; it sees
+others cut or filled up with zeros, which brings no two vectors further apart, so its bounds hold for them too.
 
 Equal vectors are one row with a count. Lists are cut into blocks of bounded size, so a hot list is many groups. A
 block yields counts for each vector and a spanning forest of its links, not pairs.
 
-Defined results: null, empty and zero vectors and ones with null or non-finite components, and those of another length
-than most, have no links; repeated rows link with each other; no rows give no rows; other columns are ignored.
+Defined results: null, empty and zero vectors and ones with null or non-finite components have no links; vectors of
+different lengths do not link; repeated rows link with each other, rows of one vec_id by their own vectors; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,16 +72,16 @@ class ProductQuantiser:
         subspaces, _, width = self.books.shape
         return np.pad(rest, ((0, 0), (0, subspaces * width - rest.shape[1]))).reshape(len(rest), subspaces, width)
 
-    def tables(self, rest: np.ndarray) -> np.ndarray:
-        """Squared distances of each residual's subvectors from all codes: rows x subspaces x codes."""
-        parts = self._parts(rest)
-        return np.stack([(parts[:, s] ** 2).sum(1)[:, None] + (self.books[s] ** 2).sum(1) - 2 * parts[:, s] @ self.books[s].T for s in range(len(self.books))], axis=1)
+    def tables(self, x: np.ndarray) -> np.ndarray:
+        """Products of each row's subvectors with all codes: subspaces x codes x rows, in single precision."""
+        return np.matmul(self.books.astype(np.float32), np.ascontiguousarray(self._parts(x).transpose(1, 2, 0), np.float32))
 
-    def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and coding errors of residuals."""
-        codes = np.argmin(self.tables(rest), axis=2)
+    def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, coding errors and decoded residuals."""
+        parts = self._parts(rest)
+        codes = np.stack([np.argmin((self.books[s] ** 2).sum(1) - 2 * parts[:, s] @ self.books[s].T, axis=1) for s in range(len(self.books))], axis=1)
         held = np.concatenate([self.books[s][codes[:, s]] for s in range(len(self.books))], axis=1)[:, : rest.shape[1]]
-        return codes.astype(np.uint8), np.sqrt(((rest - held) ** 2).sum(1))
+        return codes.astype(np.uint8), np.sqrt(((rest - held) ** 2).sum(1)), held
 
     def probes(self, x: np.ndarray, most: float) -> tuple[np.ndarray, list[np.ndarray]]:
         """The list of each row, and the lists behind whose planes it lies by ``most`` or less, with its own."""
@@ -91,12 +94,22 @@ class ProductQuantiser:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1)
+    """Rows of one length as doubles; very large and very small ones are scaled by a power of two, which no cosine feels."""
+    x = column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
+    most = np.abs(x).max(1, initial=0)
+    odd = (most > 1e150) | (most < 1e-150)
+    if odd.any():
+        x[odd] = np.ldexp(x[odd], -np.frexp(most[odd])[1][:, None])
+    return x
 
 
-def _units(batch: pa.RecordBatch) -> np.ndarray:
-    x = _vectors(batch.column("embedding"))
-    return x / np.sqrt((x * x).sum(1))[:, None]
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
+def _fitted(unit: np.ndarray, width: int) -> np.ndarray:
+    """Cut or filled up with zeros to ``width`` columns."""
+    return unit[:, :width] if unit.shape[1] >= width else np.pad(unit, ((0, 0), (0, width - unit.shape[1])))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,27 +128,33 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return got, source[got]
 
 
-def _search_block(quantiser: ProductQuantiser, threshold: float, radius: float, chunk: int = 512):
+def _search_block(shared, threshold: float, radius: float, chunk: int = 1024):
     def run(table: pa.Table) -> pa.Table:
+        quantiser = shared.value
+        width, count = quantiser.centres.shape[1], len(quantiser.centres)
         ids, weight, role, own = (table.column(c).to_numpy() for c in ("id", "copies", "role", "own"))
         raw = _vectors(table.column("embedding").combine_chunks())
-        norms = np.sqrt((raw * raw).sum(1))
-        unit = raw / norms[:, None]
+        norms = _norms(raw)
         place = int(table.column("list")[0].as_py())
         held, asked = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        rest = unit - quantiser.centres[place]
-        codes, errors = quantiser.encode(rest[held])
+        centre = quantiser.centres[place]
+        seen = _fitted(raw / norms[:, None], width)
+        codes, errors, decoded = quantiser.encode(seen[held] - centre)
+        # |q - c - b|^2 = |q - c|^2 + (|b|^2 + 2 c b) - 2 q b, and q b is looked up.
+        fixed = ((decoded * decoded).sum(1) + 2 * decoded @ centre - (radius + errors) ** 2).astype(np.float32)
         first = {int(i): k for k, i in enumerate(ids[held])}
         lists = table.column("lists").combine_chunks().take(pa.array(held))
-        asks = np.repeat(np.arange(len(held)), lists.value_lengths().to_numpy()) * len(quantiser.centres) + lists.flatten().to_numpy()
+        asks = np.repeat(np.arange(len(held)), lists.value_lengths().to_numpy()) * count + lists.flatten().to_numpy()
         links, back, edges = np.zeros(len(asked), np.int64), np.zeros(len(held), np.int64), []
         for at in range(0, len(asked), chunk):
             some = asked[at : at + chunk]
-            tables = quantiser.tables(rest[some])
-            near = np.zeros((len(some), len(held)))
+            tables = quantiser.tables(seen[some])
+            near = np.zeros((len(held), len(some)), np.float32)
             for s in range(codes.shape[1]):
-                near += tables[:, s][:, codes[:, s]]
-            q, h = np.nonzero(np.sqrt(np.maximum(near, 0)) <= radius + errors + 1e-6)
+                near += tables[s][codes[:, s]]
+            away = ((seen[some] - centre) ** 2).sum(1).astype(np.float32)
+            # 1e-4 is above any rounding of these sums in single precision.
+            h, q = np.nonzero(2 * near - fixed[:, None] >= away - np.float32(1e-4))
             good = np.zeros(len(q), bool)
             for k in range(0, len(q), 20_000):
                 a, b = some[q[k : k + 20_000]], held[h[k : k + 20_000]]
@@ -144,7 +163,7 @@ def _search_block(quantiser: ProductQuantiser, threshold: float, radius: float,
             links[at : at + len(some)] = np.bincount(q, weight[held[h]], len(some)).astype(np.int64)
             # Held rows that do not ask the query's own list hear of the link here.
             away = np.flatnonzero(own[some[q]] != place)
-            away = away[~np.isin(h[away] * len(quantiser.centres) + own[some[q[away]]], asks)]
+            away = away[~np.isin(h[away] * count + own[some[q[away]]], asks)]
             back += np.bincount(h[away], weight[some[q[away]]], len(held)).astype(np.int64)
             nodes = np.array([first.get(i, len(held) + k) for k, i in enumerate(ids[some].tolist())], np.int64)
             left, right = _forest(nodes[q], h, len(held) + len(some))
@@ -159,61 +178,73 @@ def _search_block(quantiser: ProductQuantiser, threshold: float, radius: float,
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, lists: int | None = None, subspaces: int = 8, sample_rows: int = 16384, block: int = 2048, seed: int = 5) -> DataFrame:
-    """vec_id, n_links, component_id, kept, from vec_id and embedding.
+def _router(shared, radius: float):
+    """Each row once as held in its own list, with the lists that it asks, and once as a query in each of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quantiser = shared.value
+        width = quantiser.centres.shape[1]
+        for batch in batches:
+            sizes = batch.column("size").to_numpy()
+            for n in np.unique(sizes).tolist():
+                mine = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                for at in range(0, mine.num_rows, 1024):
+                    part = mine.slice(at, 1024)
+                    raw = _vectors(part.column("embedding"))
+                    own, probes = quantiser.probes(_fitted(raw / _norms(raw)[:, None], width), radius / 2)
+                    asks = [len(p) for p in probes]
+                    probed = np.concatenate(probes).astype(np.int32)
+                    rows = np.concatenate((np.arange(len(raw)), np.repeat(np.arange(len(raw)), asks)))
+                    places = np.concatenate((own.astype(np.int32), probed))
+                    role = np.repeat(np.array([0, 1], np.int32), [len(raw), len(probed)])
+                    ends = np.concatenate(([0], np.cumsum(asks), np.full(len(probed), len(probed)))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(probed))
+                    out = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(role), pa.array(own[rows].astype(np.int32)), lists, *(out.column(c) for c in ("id", "copies", "size", "embedding"))], ["list", "role", "own", "lists", "id", "copies", "size", "embedding"])
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, lists: int | None = None, subspaces: int = 8, sample_rows: int = 16384, block: int = 4096, seed: int = 5) -> DataFrame:
+    """vec_id, n_links, component_id, kept, from vec_id and embedding, an array of floats or doubles.
 
-    ``lists``: by default the square root of the number of vectors, 4 to 4096. ``sample_rows`` bounds what the centres
-    and codebooks are fitted on: the first by a hash.
+    ``lists``: by default a quarter of the square root of the number of vectors, from 4 to a quarter of the sample.
+    ``sample_rows`` bounds what the centres and codebooks are fitted on, the first by a hash; with billions of vectors
+    it should grow, as the lists do. ``block``: rows of a list, and queries, that meet at once.
     """
-    vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    fine = F.coalesce((square > 0) & (square < float("inf")) & ~F.isnan(square) & F.col("vec_id").isNotNull(), F.lit(False))
-    keyed = vectors.withColumn("embedding", F.when(fine, F.transform("embedding", lambda x: x + 0.0)))
-    keyed = keyed.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
-    usable = keyed.where("embedding IS NOT NULL")
-    lengths = usable.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").head()
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    vectors = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(F.coalesce(x, F.lit(float("nan"))))))  # NaN is above all others
+    fine = F.coalesce((most > 0) & (most < float("inf")) & ~F.isnan(most) & F.col("vec_id").isNotNull(), F.lit(False))
+    vectors = vectors.withColumn("fine", fine)
+    alone = vectors.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    usable = vectors.where("fine").select("vec_id", F.transform("embedding", lambda x: x + F.lit(0).cast(kind[6:-1])).alias("embedding"))
+    classes = checkpointed(usable.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("size", F.size("embedding")).withColumn("id", F.monotonically_increasing_id()))
+    lengths = classes.groupBy("size").count().orderBy(F.col("count").desc(), "size").head()
     if lengths is None:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    usable = usable.where(F.size("embedding") == lengths["n"])
-    classes = checkpointed(usable.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
-    total = classes.count()
-    sample = drawn(classes.select("id", "embedding"), sample_rows, F.xxhash64("id", F.lit(seed))).collect()
-    x = np.array([r["embedding"] for r in sample], float)
-    x /= np.sqrt((x * x).sum(1))[:, None]
-    quantiser = ProductQuantiser.fit(x, lists or min(4096, max(4, math.isqrt(total))), min(subspaces, x.shape[1]), seed=seed)
+        return alone
+    sample = drawn(classes.where(F.col("size") == lengths["size"]).select("embedding"), sample_rows, F.xxhash64("embedding", F.lit(seed))).collect()
+    x = _vectors(pa.array([r["embedding"] for r in sample], pa.list_(pa.float64())))
+    x /= _norms(x)[:, None]
+    lists = lists or min(max(4, len(x) // 4), max(4, math.isqrt(lengths["count"]) // 4))
+    shared = vectors.sparkSession.sparkContext.broadcast(ProductQuantiser.fit(x, lists, min(subspaces, x.shape[1]), seed=seed))
     radius = math.sqrt(2 - 2 * threshold)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                unit = _units(part)
-                own, probes = quantiser.probes(unit, radius / 2)
-                asks = [len(p) for p in probes]
-                probed = np.concatenate(probes).astype(np.int32)
-                rows = np.concatenate((np.arange(len(unit)), np.repeat(np.arange(len(unit)), asks)))
-                places = np.concatenate((own.astype(np.int32), probed))
-                role = np.repeat([0, 1], [len(unit), len(rows) - len(unit)])
-                # A held row carries the lists that it asks.
-                ends = np.concatenate(([0], np.cumsum(asks), np.full(len(probed), len(probed)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(probed))
-                out = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(role.astype(np.int32)), pa.array(own[rows].astype(np.int32)), lists, *(out.column(c) for c in ("id", "copies", "embedding"))], ["list", "role", "own", "lists", "id", "copies", "embedding"])
-
-    routed = classes.mapInArrow(route, "list int, role int, own int, lists array<int>, id long, copies long, embedding array<double>")
-    sizes = routed.where("role = 0").groupBy("list").count()
-    sizes = checkpointed(sizes.select("list", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    routed = classes.select("id", "copies", "size", "embedding").mapInArrow(_router(shared, radius), f"list int, role int, own int, lists array<int>, id long, copies long, size int, embedding {kind}")
+    sizes = routed.where("role = 0").groupBy("size", "list").count()
+    sizes = checkpointed(sizes.select("size", "list", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     # An indexed row lies in one block of its list; a query goes to all of them, in slices of bounded size too.
-    routed = routed.join(sizes, "list")
-    own = F.array(F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+    routed = routed.join(sizes, ["size", "list"])
+    own = F.array(F.pmod(F.xxhash64("embedding", F.lit(1)), F.col("blocks")).cast("int"))
     routed = routed.withColumn("part", F.explode(F.when(F.col("role") == 0, own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    slices = F.when(F.col("role") == 1, F.array(F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    slices = F.when(F.col("role") == 1, F.array(F.pmod(F.xxhash64("embedding", F.lit(2)), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     routed = routed.withColumn("slice", F.explode(slices))
-    found = checkpointed(routed.groupBy("list", "part", "slice").applyInArrow(_search_block(quantiser, threshold, radius), "a long, b long, n long"))
+    found = checkpointed(routed.groupBy("size", "list", "part", "slice").applyInArrow(_search_block(shared, threshold, radius), "a long, b long, n long"))
     counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    joined = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("component", "least")
-    classes = classes.join(counts, "id", "left").join(joined, "id", "left").select("embedding", F.coalesce("least", "id").alias("least"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    classes = classes.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding")).withColumnRenamed("embedding", "same")
-    out = keyed.join(classes, ["h1", "h2"], "left").where("same IS NULL OR embedding IS NULL OR same = embedding")
-    component = F.when(F.col("embedding").isNotNull(), F.coalesce("least", "vec_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("embedding").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    # Classes are numbered as they come; a component is named by its least vec_id.
+    joined = components(found.where("b IS NOT NULL").select("a", "b")).join(classes.select("id", "first"), "id")
+    joined = joined.join(joined.groupBy("component").agg(F.min("first").alias("least")), "component").select("id", "least")
+    told = classes.join(counts, "id", "left").join(joined, "id", "left").select("embedding", F.coalesce("least", "first").alias("least"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    out = usable.join(told, "embedding")
+    return alone.unionByName(out.select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("least").alias("component_id"), (F.col("vec_id") == F.col("least")).alias("kept")))

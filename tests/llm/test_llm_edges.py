@@ -3,10 +3,11 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import minhash, secrets
+from clausewright.llm import bpe, minhash, mixing, quantisation, queries, secrets
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -97,3 +98,89 @@ def test_redact_keeps_clashing_columns(spark):
     got = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
     assert got[1]["text"] == "[SECRET]" and got[1]["n_chars"] == 8 and got[1]["spans"] == 7 and got[2]["text"] is None and got[3]["text"] == ""
     assert secrets.redact(docs.where(F.lit(False))).count() == 0
+
+
+def linked_rows(rows):
+    """n_links and component of each row by brute force."""
+    unit = [None if e is None or not len(e) else np.ldexp(np.array(e), -np.frexp(np.abs(e).max())[1]) for _, e in rows]
+    unit = [None if u is None else u / np.linalg.norm(u) for u in unit]
+    near = [[j != i and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95 for j in range(len(rows))] for i in range(len(rows))]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, line in enumerate(near):
+            for j, hit in enumerate(line):
+                if hit:
+                    group[i] = group[j] = min(group[i], group[j])
+    least = {g: min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in group}
+    return sorted((rows[i][0], sum(near[i]), least[group[i]]) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_of_every_length_and_size(spark, kind):
+    rng = np.random.default_rng(3)
+    base = {n: rng.normal(size=n) for n in (1, 2, 3, 5, 64)}
+    rows = [(i, (base[n] + 0.05 * rng.normal(size=n)).astype("float32").astype(float).tolist()) for i, n in enumerate([2, 3, 5, 64, 64, 64, 3, 2, 5, 1, 1, 3])]
+    rows += [(20, rows[0][1]), (20, rows[1][1]), (20, [-x for x in rows[0][1]]), (21, [2.0 * x for x in rows[3][1]])]
+    if kind == "double":
+        rows += [(30, [x * 1e200 for x in rows[3][1]]), (31, [x * 1e-200 for x in rows[3][1]])]
+    df = spark.createDataFrame([(i, e, 7) for i, e in rows], f"vec_id long, embedding array<{kind}>, first int").withColumn("fine", F.lit(1))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in quantisation.near_duplicates(df).collect())
+    assert got == linked_rows(rows)
+
+
+@pytest.mark.parametrize("few,dimensions", [(2, 64), (3, 256), (8, 256)])
+def test_vectors_in_few_directions(spark, few, dimensions):
+    """More vectors than lists hold, all within a few directions: every link of brute force is found."""
+    rng = np.random.default_rng(few)
+    x = rng.normal(size=(1500, few)) @ rng.normal(size=(few, dimensions))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    wanted = ((unit @ unit.T >= 0.95).sum(1) - 1).tolist()
+    df = spark.createDataFrame([(i, e) for i, e in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in quantisation.near_duplicates(df, lists=40, block=200).collect()}
+    assert got == dict(enumerate(wanted))
+
+
+def test_long_words_are_merged_in_time_and_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.VOCABULARY)
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (49, 60, 300, 5000)] + ["ab" * 3000, "a" * 4001, "\u4e2d\u6587" * 2000]
+    with open(queries.VOCABULARY, encoding="utf-8") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    for text in texts:
+        assert vocabulary.merge(text) == library.encode(text, add_special_tokens=False).ids
+    began = time.time()
+    assert len(vocabulary.merge("".join(rng.choices("etaoinshrdlu", k=1 << 20)))) > 1 << 17
+    assert time.time() - began < 20
+
+
+def test_equal_lexicons_are_one_file(spark):
+    docs = docs_of(spark, [(1, "some words and some words"), (1, "other"), (2, None)], ("ids", "word", "n"))
+    first = sorted(map(tuple, bpe.encode(docs, queries.VOCABULARY).collect()), key=repr)
+    held = len(spark.sparkContext.listFiles)
+    assert sorted(map(tuple, bpe.encode(docs, queries.VOCABULARY).collect()), key=repr) == first and len(spark.sparkContext.listFiles) == held
+
+
+def test_mixed_documents_with_clashing_names_and_repeated_ids(spark):
+    rows = [(i, words(30, i)) for i in range(40)] + [(1, words(30, 100)), (2, words(30, 2)), (None, words(20, 101)), (None, words(20, 102)), (None, None), (50, "")]
+    docs = docs_of(spark, rows, ("_id", "_times", "_copy", "_source", "key", "row", "times", "size", "target"))
+    got = mixing.mixed_documents(docs, block=4, shard_words=200).collect()
+    assert all(r.asDict().keys() == set(docs.columns) and r["_id"] == r["_times"] == 7 for r in got)
+    taken = {}
+    for r in mixing._mixed(docs, block=4, shard_words=200).collect():
+        k = (r["doc_id"], r["text_hash"])
+        taken[k] = taken.get(k, 0) + (int(r["taken"] / r["size"] + 0.5) if r["size"] else 1)
+    seen = {}
+    by_hash = {(r["doc_id"], r["h"]): r["text"] for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    for r in got:
+        seen[r["doc_id"], r["text"]] = seen.get((r["doc_id"], r["text"]), 0) + 1
+    assert seen == {(i, by_hash[i, h]): n for (i, h), n in taken.items() if n}
+    assert mixing.mixed_documents(docs.where(F.lit(False))).count() == 0
+
+
+def test_many_shards_are_apportioned_by_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    docs = docs_of(spark, [(i, words(20 + i % 7, i)) for i in range(300)])
+    got = mixing.mix_sources(docs, block=4, shard_words=100).collect()
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 4 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
