@@ -10,7 +10,7 @@ of their own; no documents give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm._shared import WORD, checkpointed
@@ -21,7 +21,10 @@ def rule_features(docs: DataFrame, width: int = 8) -> DataFrame:
     rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     last = F.size("_words") - width + 1
-    rows = rows.withColumn("_hashes", F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, width)))).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("_each", F.transform("_words", lambda w: F.xxhash64(w)))
+    # A window's hash is that of its words' hashes: no array is made for it.
+    window = lambda i: F.xxhash64(*(F.get("_each", i + j) for j in range(width)))
+    rows = rows.withColumn("_hashes", F.when(last > 0, F.transform(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), window)).otherwise(F.array().cast("array<bigint>")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     rows = rows.select(
         "doc_id",
@@ -53,14 +56,14 @@ def host_verdicts(judged: DataFrame, most: float = 0.5) -> DataFrame:
     the hosts' rates, between 1 and 10,000. A host whose shrunk rate is over ``most`` is rejected.
     """
     hosts = judged.groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
-    everything = Window.partitionBy(F.lit(0))
-    mean = F.sum("n_failed").over(everything) / F.sum("n_docs").over(everything)
-    hosts = hosts.withColumn("mean", mean).withColumn("own", F.col("n_failed") / F.col("n_docs"))
-    spread = F.avg((F.col("own") - F.col("mean")) * (F.col("own") - F.col("mean"))).over(everything)
-    hosts = hosts.withColumn("spread", spread)
-    strength = F.coalesce(F.try_divide(F.col("mean") * (1 - F.col("mean")), F.col("spread")) - 1, F.lit(10000.0))
-    hosts = hosts.withColumn("strength", F.greatest(F.lit(1.0), F.least(F.lit(10000.0), strength)))
-    rate = (F.col("n_failed") + F.col("strength") * F.col("mean")) / (F.col("n_docs") + F.col("strength"))
+    hosts = checkpointed(hosts.withColumn("own", F.col("n_failed") / F.col("n_docs")))
+    # Two rows of sums, whatever the number of hosts.
+    (mean,) = hosts.agg(F.sum("n_failed") / F.sum("n_docs")).head()
+    mean = F.lit(mean).cast("double")
+    (spread,) = hosts.agg(F.avg((F.col("own") - mean) * (F.col("own") - mean))).head()
+    strength = F.coalesce(F.try_divide(mean * (1 - mean), F.lit(spread).cast("double")) - 1, F.lit(10000.0))
+    strength = F.greatest(F.lit(1.0), F.least(F.lit(10000.0), strength))
+    rate = (F.col("n_failed") + strength * mean) / (F.col("n_docs") + strength)
     return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate <= most).alias("host_kept"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import resources
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from clausewright.llm._shared import table
 
 #: Rules of the op4 contract, host and path joined.
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-#: Domains that are blocked where no rule fits.
-LISTED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+#: Domains that are blocked where no rule fits, one a line.
+LISTED_HOSTS = resources.files("clausewright.llm").joinpath("listed_hosts.txt").read_text().split()
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: A document with a score from here on is predicted good.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HOSTS = ", ".join(f"('{name}.example.{top}')" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+_HOSTS = ", ".join(f"('{h}')" for h in resources.files("clausewright.llm").joinpath("listed_hosts.txt").read_text().split())
 
 OP2 = rf"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),

@@ -2,15 +2,21 @@
 
 Every window of ``width`` words has a minimizer, the least hash of its 5-word grams. Equal windows have equal
 minimizers, so a run of windows with one minimizer is a piece that need only meet the pieces with the same one: that is
-the shard in which it is indexed and searched, whatever the size of the corpus. Minimizers that no second document has
-are dropped by a count before any piece moves; one that many documents of a slice have moves as two rows for all of them. Equal pieces are one row with their least and greatest document, so
-copies are collapsed before the shuffle; pieces of a minimizer that is frequent are cut into single windows, each with
-a key of its own, so that no group grows with the input.
-
-A shard is one compressed FM-index: suffixes sorted by their first 16 words, the Burrows-Wheeler transform as a wavelet
-matrix of packed bits. The pieces of the shard are streamed from their ends; each backward step costs a rank in
-every level, the interval of the match is held at ``width`` words, and the least document over that interval tells
-where the window first occurs. Runs of 40-bit word hashes stand for the words.
+the shard in which it is indexed or streamed, whatever the size of the corpus. Minimizers that no second document has
+are dropped by a count before any piece moves; one that many documents of a slice have moves as two rows for all of
+them. Equal pieces are one row with their least and greatest document; pieces of a minimizer that is frequent are cut
+into single windows, each with a key of its own, and a task sends each of those once, so that no group grows with the
+input.
+
+Of a shard's pieces, those that some later document might repeat are indexed, and those that some earlier one might
+hold are streamed. The index is compressed: the Burrows-Wheeler transform as a wavelet matrix of packed bits, lengths of
+common prefixes as bytes, and for each run of suffixes with equal first ``width`` words the least document that has
+them, kept at the run's first place only. A streamed piece is searched backward from its end, and gives its matching
+statistics: the length of the longest match, up to ``width`` words, that begins at each place. Where a word cannot be put before a match, the
+match is cut from behind to the next length at which more suffixes share it, and the word is tried again.
+Matches of ``width`` words, whose interval's least document is an earlier one, are reported.
+
+Pieces are the words themselves, so a match is exact; hashes of 64 bits only say which pieces meet.
 
 Defined results: null and empty texts have no words; a null doc_id is neither earlier nor later than any and loses
 nothing; rows with equal doc_id do not take words from each other; no rows give no rows; other columns are ignored.
@@ -27,11 +33,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.llm._shared import pieces
+from clausewright.llm._shared import in_small_batches, pieces
 from clausewright.llm._words import Words, mix, windows
 
 GRAM = 5
-_LOW = np.uint64(2**40 - 1)
 #: Windows in a piece at most.
 LONGEST = 32
 
@@ -134,54 +139,79 @@ def _cut(part: pa.RecordBatch, width: int) -> tuple[_Runs, np.ndarray, np.ndarra
     return runs, doc, at, length, key
 
 
-def _piece_hash(runs: _Runs, at: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _piece_hash(hashes: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
     """A hash of the words of each piece that does not depend on where it is."""
     order = np.repeat(np.cumsum(words) - words, words)
     place = np.arange(words.sum()) - order
-    scrambled = mix(runs.hashes[np.repeat(at, words) + place] + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    scrambled = mix(hashes[np.repeat(at, words) + place] + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     total = np.zeros(len(scrambled) + 1, np.uint64)
     np.cumsum(scrambled, out=total[1:])
-    return mix(total[np.cumsum(words)] - total[np.cumsum(words) - words] + words.astype(np.uint64)) >> np.uint64(16)
+    return mix(total[np.cumsum(words)] - total[np.cumsum(words) - words] + words.astype(np.uint64))
+
+
+def _plain(words: Words) -> tuple[bytes, np.ndarray]:
+    """All words with one blank after each, and where each begins there."""
+    sizes = words.ends - words.starts + 1
+    ends = np.cumsum(sizes)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+    inside = np.arange(len(out) - len(sizes)) + np.repeat(np.arange(len(sizes)), sizes - 1)
+    out[inside] = words.data[np.repeat(words.starts - (ends - sizes - np.arange(len(sizes))), sizes - 1) + np.arange(len(inside))]
+    return out.tobytes(), np.append(0, ends)
+
+
+_PIECES = ["key", "words", "low", "high"]
+#: Single windows that a task holds back, so as to send each once.
+HELD = 100_000
 
 
 def _indexed_pieces(width: int):
-    """Each different piece of a slice once, with its least and greatest document; 40 bits of each word's hash."""
+    """Each different piece of a slice once, with its least and greatest document; single windows once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def rest() -> pa.RecordBatch:
+            rows = [pa.array(list(held), pa.int64()), *(pa.array([x[i] for x in held.values()], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64())))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(rows, _PIECES)
+
         for batch in batches:
             for part in _unpacked_texts(batch):
                 runs, doc, at, length, key = _cut(part, width)
                 words = length + width - 1
-                same = key ^ mix(_piece_hash(runs, at, words))
+                same = key ^ _piece_hash(runs.hashes, at, words)
                 order = np.argsort(same, kind="stable")
                 first = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1]))) if len(order) else order
                 owner = part.column("doc_id").to_numpy(zero_copy_only=False)[doc][order]
-                low, high = (f.reduceat(owner, first) if len(first) else owner for f in (np.minimum, np.maximum))
+                low, high = ((f.reduceat(owner, first) if len(first) else owner).astype(np.int64) for f in (np.minimum, np.maximum))
                 keep = order[first]
-                key, at, words = key[keep], at[keep], words[keep]
-                place = np.repeat(at, words) + np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
-                body = np.ascontiguousarray(runs.hashes[place].view(np.uint8).reshape(-1, 8)[:, :5])
-                bounds = np.append(0, 5 * np.cumsum(words)).astype(np.int32)
-                held = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), held, pa.array(low.astype(np.int64)), pa.array(high.astype(np.int64))], ["key", "words", "low", "high"])
+                key, at, words = key[keep].view(np.int64), at[keep], words[keep]
+                body, begin = _plain(runs.words)
+                pieces_ = [body[a:b] for a, b in zip(begin[at].tolist(), begin[at + words].tolist(), strict=True)]
+                one = words == width
+                for i in np.flatnonzero(one).tolist():
+                    x = held.setdefault((k := int(key[i])), [pieces_[i], int(low[i]), int(high[i])])
+                    if x[0] == pieces_[i]:
+                        x[1], x[2] = min(x[1], int(low[i])), max(x[2], int(high[i]))
+                    else:  # another window with this key
+                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pieces_[i]], pa.binary()), pa.array([low[i]]), pa.array([high[i]])], _PIECES)
+                more = np.flatnonzero(~one)
+                yield pa.RecordBatch.from_arrays([pa.array(key[more]), pa.array([pieces_[i] for i in more.tolist()], pa.binary()), pa.array(low[more]), pa.array(high[more])], _PIECES)
+                if len(held) > HELD:
+                    yield rest()
+        if held:
+            yield rest()
 
     return run
 
 
-def _unpacked(words: bytes) -> np.ndarray:
-    out = np.zeros((len(words) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(words, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
-
-
 def _places(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _unpacked_texts(batch):
                 runs, doc, at, length, key = _cut(part, width)
                 whole = runs.whole()
-                runs.hashes &= _LOW  # as the index has them
-                h = _piece_hash(runs, at, length + width - 1)
+                h = _piece_hash(runs.hashes, at, length + width - 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(doc)), pa.array(whole[doc]), pa.array((at - runs.words.first[doc]).astype(np.int32))],
                     ["key", "h", "doc_id", "row", "at"],
@@ -221,18 +251,21 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """An index of pieces of words, with the least document for every window of ``width`` words."""
+    """A compressed index of pieces, each an array of symbols from 1 to ``sigma``, with the least document that has each run of ``width`` symbols.
+
+    What is kept: the transform's wavelet matrix, the counts of lesser symbols, a byte a suffix for the length that it
+    shares with the one before it (up to ``width``), and the first suffix and the least document of each run of those
+    that share ``width``. The text and the order of the suffixes are let go.
+    """
 
-    def __init__(self, pieces_of_words: list[np.ndarray], documents: np.ndarray, width: int):
+    def __init__(self, pieces_of_words: list[np.ndarray], documents: np.ndarray, sigma: int, width: int):
         self.width = width
         lengths = np.array([len(p) for p in pieces_of_words])
-        self.alphabet, symbols = np.unique(np.concatenate(pieces_of_words), return_inverse=True)
-        self.ends = np.cumsum(lengths + 1) - 1
-        text = np.zeros(int(lengths.sum() + len(lengths)), np.int64)
-        inside = np.ones(len(text), bool)
-        inside[self.ends] = False
-        text[inside] = symbols + 1
-        self.text, n = text, len(text)
+        n = int(lengths.sum() + len(lengths))
+        text = np.zeros(n, np.int64)
+        inside = np.ones(n, bool)
+        inside[np.cumsum(lengths + 1) - 1] = False  # a 0 after each piece
+        text[inside] = np.concatenate(pieces_of_words)
         rank, ranks = text, {}
         for step in (1, 2, 4, 8):
             ranks[step] = rank
@@ -243,86 +276,111 @@ class FMIndex:
             key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
-        self.order = order
-        eight = ranks[8]  # ranks by the first 8 words
-        after = np.zeros(n, np.int64)
-        after[: n - (width - 8)] = eight[width - 8 :] + 1
-        near = (eight * (n + 2) + after)[order]
-        first = np.concatenate(([True], near[1:] != near[:-1]))
-        self.group = np.cumsum(first) - 1
-        self.low = np.flatnonzero(first)
-        self.high = np.append(self.low[1:], n)
-        owner = np.repeat(np.arange(len(lengths)), lengths + 1)
-        self.least = np.minimum.reduceat(documents[owner[order]], self.low)
-        sigma = len(self.alphabet)
+        # The suffixes are in the order of their first 16 symbols; what neighbours share is found by halves.
+        shared = np.zeros(n - 1, np.int64)
+        for step in (8, 4, 2, 1):
+            a, b = order[:-1] + shared, order[1:] + shared
+            both = (a < n) & (b < n)
+            both[both] = ranks[step][a[both]] == ranks[step][b[both]]
+            shared += step * both
+        self.lcp = np.zeros(n + 1, np.uint8)
+        self.lcp[1:n] = np.minimum(shared, width)
+        first = np.flatnonzero(self.lcp[:n] < width)
+        self.first = np.append(first, n).astype(np.int32)
+        self.least = np.minimum.reduceat(np.repeat(documents, lengths + 1)[order], first)
         self.smaller = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma + 1))))
         self.ranks = WaveletMatrix(text[order - 1], sigma)
-
-    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each place of the text the length of its match, up to ``width``, and the least document that has that window (where the length is ``width``).
-
-        All pieces are searched together, backward from their ends.
-        """
-        n = len(self.text)
-        matched, earliest = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
-        starts = np.append(0, self.ends[:-1] + 1)
-        at = self.ends - 1
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), n)
-        live = np.arange(len(at))
-        length = 0
+        self._cuts: dict[int, np.ndarray] = {}
+
+    def _cut(self, depth: int) -> np.ndarray:
+        """The suffixes that share less than ``depth`` with the one before: where the intervals of that depth begin and end."""
+        if depth not in self._cuts:
+            self._cuts[depth] = np.flatnonzero(self.lcp < max(1, depth)).astype(np.int32) if depth else np.array([0, len(self.lcp) - 1], np.int32)
+        return self._cuts[depth]
+
+    def statistics(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pieces text[starts:ends]: for each place the length of the longest match that begins there, up to ``width``, and
+        where it is ``width`` the least document that has those symbols. All pieces are streamed together, from their ends."""
+        n = len(self.lcp) - 1
+        matched, earliest = np.zeros(len(text), np.int64), np.full(len(text), np.iinfo(np.int64).max)
+        at = ends - 1
+        low, high, length = np.zeros(len(at), np.int64), np.full(len(at), n), np.zeros(len(at), np.int64)
+        live = np.flatnonzero(at >= starts)
         while len(live):
-            symbol = self.text[at[live]]
-            low[live] = self.smaller[symbol] + self.ranks.rank(symbol, low[live])
-            high[live] = self.smaller[symbol] + self.ranks.rank(symbol, high[live])
-            length += 1
-            if length >= self.width:
-                group = self.group[low[live]]
-                low[live], high[live] = self.low[group], self.high[group]
-                earliest[at[live]] = self.least[group]
-            matched[at[live]] = min(length, self.width)
-            at[live] -= 1
+            symbol = text[at[live]]
+            found = self.smaller[symbol] + self.ranks.rank(np.tile(symbol, 2), np.concatenate((low[live], high[live]))).reshape(2, -1)
+            fits = found[0] < found[1]
+            some = live[fits]
+            low[some], high[some] = found[0, fits], found[1, fits]
+            length[some] += 1
+            full = some[length[some] >= self.width]
+            run = np.searchsorted(self.first, low[full], "right") - 1
+            low[full], high[full], length[full] = self.first[run], self.first[run + 1], self.width
+            earliest[at[full]] = self.least[run]
+            # No match can be made longer here: it is cut to the next length that more suffixes share, or there is none.
+            over = live[~fits & (length[live] > 0)]
+            shorter = np.maximum(self.lcp[low[over]], self.lcp[high[over]]).astype(np.int64)
+            for d in np.unique(shorter).tolist():
+                mine, cuts = over[shorter == d], self._cut(d)
+                low[mine] = cuts[np.searchsorted(cuts, low[mine], "right") - 1]
+                high[mine] = cuts[np.searchsorted(cuts, high[mine], "left")]
+            length[over] = shorter
+            done = np.setdiff1d(live, over, assume_unique=True)
+            matched[at[done]] = length[done]
+            at[done] -= 1
             live = live[at[live] >= starts[live]]
         return matched, earliest
 
 
 def _search(width: int, shard_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            parts = [_unpacked(w) for _, w, _, _ in held]
-            low, high = np.array([x[2] for x in held]), np.array([x[3] for x in held])
-            index = FMIndex(parts, low, width)
-            _, earliest = index.statistics()
-            lengths = np.array([len(p) for p in parts])
-            starts = np.append(0, index.ends[:-1] + 1)
-            hashed = _Flat(np.concatenate(parts))
-            h = _piece_hash(hashed, np.cumsum(lengths) - lengths, lengths)
-            rows = [earliest[a : a + n - width + 1] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-            keep = [i for i, r in enumerate(rows) if high[i] > low[i] or (r < low[i]).any()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([held[i][0] for i in keep], pa.int64()), pa.array(h[keep].view(np.int64), pa.int64()), pa.array([rows[i] for i in keep], pa.list_(pa.int64()))], ["key", "h", "earliest"]
-            )
+    """For the pieces of each shard that an earlier document might hold, the least document of each of their windows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+            key, low, high = (rows.column(c).to_numpy() for c in ("key", "low", "high"))
+            words = Words(rows.column("words").cast(pa.string()))
+            data = words.data.tobytes()
+            said = pc.dictionary_encode(pa.array([data[s:e] for s, e in zip(words.starts.tolist(), words.ends.tolist(), strict=True)], pa.binary()))
+            symbols = said.indices.to_numpy().astype(np.int64) + 1
+            group = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            sizes = np.diff(np.append(group, len(key)))
+            indexed = low < np.repeat(np.maximum.reduceat(high, group), sizes)
+            streamed = np.flatnonzero(high > np.repeat(np.minimum.reduceat(low, group), sizes))
+            begin, end = words.first[:-1], words.first[1:]
+            kept: list[int] = []
+            found: list[np.ndarray] = []
+            if indexed.any() and len(streamed):
+                index = FMIndex([symbols[a:b] for a, b in zip(begin[indexed].tolist(), end[indexed].tolist(), strict=True)], low[indexed], len(said.dictionary), width)
+                matched, earliest = index.statistics(symbols, begin[streamed], end[streamed])
+                hits = np.where(matched >= width, earliest, np.iinfo(np.int64).max)
+                for i, a, b in zip(streamed.tolist(), begin[streamed].tolist(), end[streamed].tolist(), strict=True):
+                    row = hits[a : b - width + 1]
+                    if (row < high[i]).any():
+                        kept.append(i)
+                        found.append(row)
+            h = _piece_hash(words.hashes(), begin[kept], (end - begin)[kept]) if kept else np.zeros(0, np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(h.view(np.int64)), pa.array(found, pa.list_(pa.int64()))], ["key", "h", "earliest"])
+
+        rest = None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "words", "low", "high")), strict=True):
-                if size >= shard_words and row[0] != held[-1][0]:
-                    yield out()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[1]) // 5
-        if held:
-            yield out()
+            rest = pa.concat_batches([rest, batch]) if rest is not None else batch
+            while rest.num_rows:
+                # Up to the end of the key with which the shard is full.
+                count = np.cumsum(pc.binary_length(rest.column("words")).to_numpy(zero_copy_only=False)) // 6
+                full = int(np.searchsorted(count, shard_words))
+                key = rest.column("key").to_numpy()
+                change = np.flatnonzero(key[full:][1:] != key[full:][:-1]) if full < len(key) else []
+                if not len(change):
+                    break
+                cut = full + int(change[0]) + 1
+                yield out(rest.slice(0, cut))
+                rest = rest.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield out(rest)
 
     return run
 
 
-class _Flat:
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-
-
 def _strip(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +413,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, often: int = 1000, local: i
     """
     if not 8 <= width <= 15:
         raise ValueError("width must be from 8 to 15: suffixes are sorted by 16 words")
-    docs = docs.select("doc_id", "text")
+    docs = in_small_batches(docs).select("doc_id", "text")
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = some.mapInArrow(_minimizers(width, local), "m long, doc_id long, kind tinyint")
     # One shuffle serves the count and the join with it, as both read the same columns under the same filter (the

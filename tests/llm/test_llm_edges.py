@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, minhash, mixing, quantisation, queries, secrets
+from clausewright.llm import bpe, minhash, mixing, quantisation, queries, secrets, url_filter
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -184,3 +184,10 @@ def test_many_shards_are_apportioned_by_groups(spark, monkeypatch):
     docs = docs_of(spark, [(i, words(20 + i % 7, i)) for i in range(300)])
     got = mixing.mix_sources(docs, block=4, shard_words=100).collect()
     assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 4 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_filter_urls_keeps_clashing_columns_and_takes_a_table(spark):
+    pages = spark.createDataFrame([(1, "http://a.bad.net/x", 7, 7, "h"), (2, "http://good.org/x", 7, 7, "h"), (3, None, 7, 7, "h"), (1, "http://a.bad.net/x", 7, 7, "h")], "page_id long, url string, _keys int, _rule int, host string")
+    listed = spark.createDataFrame([("bad.net", 1), (None, 2), ("bad.net", 3)], "host string, n int")
+    got = sorted(tuple(r[c] for c in ("page_id", "_keys", "_rule", "host", "verdict")) for r in url_filter.filter_urls(pages, queries.URL_RULES, listed).collect())
+    assert got == [(1, 7, 7, "a.bad.net", "block")] * 2 + [(2, 7, 7, "good.org", "allow"), (3, 7, 7, "", "allow")]

@@ -96,10 +96,17 @@ def test_cascade_is_exact(spark):
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("pmod(xxhash64(key), 10) = 0")
     cascade = url_filter.Cascade.over(listed, universe)
-    assert len(cascade.levels) >= 2
+    assert len(cascade.parts) == 1 and len(cascade.parts[0]) >= 2
     assert rows(universe.where(cascade.has(F.col("key")))) == rows(listed)
-    with pytest.raises(ValueError, match="bits"):
-        url_filter.Cascade.over(listed, universe, most_bits=64)
+    split = url_filter.Cascade.over(listed, universe, most_bits=1024)
+    assert len(split.parts) > 1 and rows(universe.where(split.has(F.col("key")))) == rows(listed)
+
+
+def test_a_cascade_that_stays_wrong_says_so(spark, monkeypatch):
+    monkeypatch.setattr(url_filter.Cascade, "DEEPEST", 1)
+    universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    with pytest.raises(RuntimeError, match="wrongly"):
+        url_filter.Cascade.over(universe.where("pmod(xxhash64(key), 3) = 0"), universe)
 
 
 def test_urls(spark):
@@ -131,23 +138,32 @@ def test_words_and_windows():
 
 
 def test_fm_index_against_brute_force():
+    """Pieces are indexed and others streamed: matches are shorter than their texts allow, and each is as long as brute force says."""
     rng = np.random.default_rng(0)
-    parts = [rng.integers(1, 4, rng.integers(13, 40)).astype(np.uint64) for _ in range(60)]
+    parts = [rng.integers(1, 4, rng.integers(13, 40)) for _ in range(60)]
     docs = rng.integers(0, 50, 60)
-    first = {}
+    asked = [rng.integers(1, 6, rng.integers(1, 40)) for _ in range(40)] + [np.concatenate((p[3:20], rng.integers(1, 4, 9))) for p in parts[:20]]
+    held = {}
     for p, d in zip(parts, docs, strict=True):
-        for i in range(len(p) - 12):
-            k = tuple(p[i : i + 13])
-            first[k] = min(first.get(k, d), d)
-    index = substring.FMIndex(parts, docs, 13)
-    matched, earliest = index.statistics()
-    at = 0
-    for p in parts:
         for i in range(len(p)):
-            assert matched[at + i] == min(13, len(p) - i)
-            if i <= len(p) - 13:
-                assert earliest[at + i] == first[tuple(p[i : i + 13])]
-        at += len(p) + 1
+            for n in range(1, min(13, len(p) - i) + 1):
+                k = tuple(p[i : i + n])
+                held[k] = min(held.get(k, d), d)
+    index = substring.FMIndex(parts, docs, 5, 13)
+    text = np.concatenate(asked)
+    ends = np.cumsum([len(q) for q in asked])
+    starts = ends - [len(q) for q in asked]
+    matched, earliest = index.statistics(text, starts, ends)
+    cut = 0
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        for i in range(a, b):
+            wanted = max((n for n in range(1, min(13, b - i) + 1) if tuple(text[i : i + n]) in held), default=0)
+            assert matched[i] == wanted
+            cut += wanted < min(13, b - i)
+            if wanted == 13:
+                assert earliest[i] == held[tuple(text[i : i + 13])]
+    assert cut > 500 and (matched == 13).sum() > 50
+    assert max(len(x) * x.itemsize for x in (index.lcp, index.first)) <= 4 * len(index.lcp) and not hasattr(index, "text") and not hasattr(index, "order")
     symbols = rng.integers(0, 9, 500)
     matrix = substring.WaveletMatrix(symbols, 9)
     for c, i in itertools.product(range(9), (0, 1, 63, 64, 65, 500)):
