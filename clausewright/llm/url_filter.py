@@ -154,10 +154,12 @@ def filter_urls(pages: DataFrame, rules: Mapping[str, str], listed_hosts: Sequen
     lists = {v: Cascade.over(listing([r for r, x in rules.items() if x == v]), rule_keys, most_bits) for v in ("allow", "block")}
     bad = Cascade.over(listing(listed_hosts), hosts, most_bits)
 
+    def marked(found: Column, verdict: str) -> Column:
+        return F.transform(found, lambda k: F.struct((-F.length(k)).alias("less"), k.alias("rule"), F.lit(verdict).alias("verdict")))
+
     def fitting(all_keys: Column) -> Column:
         """The longest rule among the keys, with its verdict."""
-        marked = (F.transform(F.filter(all_keys, c.has), lambda k, v=v: F.struct((-F.length(k)).alias("less"), k.alias("rule"), F.lit(v).alias("verdict"))) for v, c in lists.items())
-        return F.get(F.array_sort(F.concat(*marked)), 0)
+        return F.get(F.array_sort(F.concat(*(marked(F.filter(all_keys, c.has), v) for v, c in lists.items()))), 0)
 
     otherwise = F.when(F.exists(suffixes, bad.has), "block").otherwise("allow")
     found = F.get(F.transform(F.array(keys), fitting), 0)
