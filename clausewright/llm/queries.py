@@ -51,8 +51,7 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY)
-    return bpe.decode(encoded, VOCABULARY).select("doc_id", *bpe.digest_columns())
+    return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY).select("doc_id", *bpe.digest_columns())
 
 
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

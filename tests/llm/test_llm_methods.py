@@ -301,7 +301,7 @@ def test_bpe_against_the_library():
     library = Tokenizer.from_file(queries.VOCABULARY)
     with open(queries.VOCABULARY, encoding="utf-8") as f:
         vocabulary = bpe.Vocabulary(f.read())
-    encoder = bpe.Encoder(vocabulary, bpe.Lexicon.build((w.encode(), vocabulary.merge(w)) for w in ("the", "thing", "é")))
+    encoder = bpe.Encoder(bpe.Splitter(vocabulary.special), bpe.Merger(vocabulary), bpe.Lexicon.build((w.encode(), vocabulary.merge(w)) for w in ("the", "thing", "é")))
     rng = random.Random(7)
     signs = ["a", "B", "Σ", "ς", "İ", "ß", "\u017f", "\u212a", "é", "e\u0301", "\x1c", "\x85", "\xa0", "\u3000", " ", "1", "²", "½", "!", "_", "'s", "'LL", "<|endoftext|>", "<|", "\n", "\x00", "中", "😀", "the", "thing", "==", "aaaa"]
     texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(3000)] + ["=" * 500, "ab" * 100, "x" * 49]
