@@ -9,10 +9,10 @@ doc_id, is what has a text, so rows that share a doc_id and have different texts
 the members are compared with its least class (a star, not all pairs). The members of buckets whose members are still in
 different components after that are joined exactly, by prefixes: of a set, the rarest shingles, as many as may be missing
 from a partner and one more, of which two linked sets share one at least. So a template's copies that stay below the
-threshold by words of their own meet nowhere, however many they are. Where a shared rare shingle does bring
-together classes of different components they are compared in blocks of bounded size, each pair at the first
-shingle that its prefixes share; a block pair yields a spanning forest, not pairs. Every link is confirmed on the full
-sets. Shingles are 64-bit hashes.
+threshold by words of their own meet nowhere, however many they are. A shingle that brings together at most ``FEW`` classes
+of different components gives their pairs; the members of one that brings together more are compared in blocks of
+bounded size, each pair at the first such shingle that its prefixes share, and a block pair yields a spanning forest, not pairs. Every link is
+confirmed on the full sets. Shingles are 64-bit hashes.
 
 Defined results: null and empty texts and texts without words have no shingles and link with nothing; fewer words than a
 shingle are one shingle; repeated rows are equal classes; rows of one doc_id with different texts are judged each by its
@@ -34,6 +34,8 @@ from clausewright.llm._shared import array_pieces, checkpointed, in_small_batche
 from clausewright.llm._words import Words, mix, windows
 
 _SEED = 88172645463325252
+#: Classes that a shingle of their prefixes brings together for their pairs to be listed.
+FEW = 32
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -214,13 +216,28 @@ def _prefix_links(texts: DataFrame, labels: DataFrame, width: int, percent: int,
     short = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - (F.col("n") - F.size("line"))
     prefix = F.transform(F.slice("line", 1, F.greatest(short, F.lit(0))), lambda x: x["s"])
     prefixes = checkpointed(shared.select("id", "n", prefix.alias("prefix")).where("size(prefix) > 0").join(labels, "id"))
-    postings = prefixes.select("id", "component", "n", "prefix", F.posexplode("prefix").alias("at", "key"))
-    open_keys = postings.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n").alias("size")).where("low < high")
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / (block * 1024))).cast("int")
-    rest = postings.drop("n").join(open_keys.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    postings = prefixes.select("id", "component", "n", F.explode("prefix").alias("key"))
+    open_keys = postings.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum("n").alias("size")).where("low < high")
+    open_keys = checkpointed(open_keys.select("key", "m", "size"))
+
+    met = postings.join(open_keys.where(F.col("m") <= FEW).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("id", "component", "n")).alias("all"))
+    fits = lambda x, y: (x["id"] < y["id"]) & (x["component"] != y["component"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+    listed = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: fits(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    few = _confirmed(met.select(F.explode(listed).alias("p")).select("p.a", "p.b").distinct(), texts, width, percent)
+
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("size") / (block * 1024))).cast("int")
+    many = postings.drop("n").join(open_keys.where(F.col("m") > FEW).select("key", blocks.alias("blocks")), "key")
+    lines = many.groupBy("id").agg(F.collect_list("key").alias("line"))
+    rest = many.join(lines, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", F.slice("prefix", F.lit(1), F.col("at")).alias("before"))
-    return rest.join(texts, "id").groupBy("key", "p", "q").applyInArrow(_block_links(width, percent), "a long, b long")
+    rest = rest.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", F.filter("line", lambda x: x < F.col("key")).alias("before"))
+    return few.unionByName(rest.join(texts, "id").groupBy("key", "p", "q").applyInArrow(_block_links(width, percent), "a long, b long"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) are alike."""
+    held = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return held.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a long, b long")
 
 
 def sub_keys(percent: int, rows: int) -> int:
@@ -251,9 +268,7 @@ def _linked(docs: DataFrame, width: int, percent: int, tables: int | None, rows:
     wanted = classes.join(members, "id", "left_semi").select("id", F.col("first").alias("doc_id"), F.struct("n_shingles", "f1", "f2").alias("as"))
     texts = docs.join(wanted, "doc_id").where(_same_set(width)(F.coalesce("text", F.lit(""))) == F.col("as"))
     texts = checkpointed(texts.groupBy("id").agg(F.min("text").alias("text")))
-    pairs = stars.join(texts.withColumnRenamed("text", "text_b"), "id").select(F.col("lead").alias("a"), F.col("id").alias("b"), "text_b")
-    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    links = checkpointed(pairs.mapInArrow(_confirm(width, percent), "a long, b long"))
+    links = checkpointed(_confirmed(stars.select(F.col("lead").alias("a"), F.col("id").alias("b")), texts, width, percent))
     found = components(links)
 
     # Buckets whose members are not in one component: their members are joined by prefixes.

@@ -209,8 +209,9 @@ def test_components(spark):
     assert got == label
 
 
-@pytest.mark.parametrize("block", [4, 128])
-def test_near_duplicates_against_brute_force(spark, block):
+@pytest.mark.parametrize("block,few", [(4, 1), (128, 1), (128, 32)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, block, few):
+    monkeypatch.setattr(minhash, "FEW", few)
     rng = random.Random(8)
     texts, n = [], 0
     for _ in range(12):
