@@ -57,7 +57,7 @@ def text_hash(ja: Column, zh: Column) -> Column:
 
 
 def split_hash(zh: Column, ja: Column) -> Column:
-    return F.substring(F.sha1(F.concat_ws("\u0000", F.coalesce(zh, F.lit("")), F.coalesce(ja, F.lit(""))).cast("binary")), 1, 16)
+    return F.substring(F.sha1(F.concat_ws("\u001f", F.coalesce(zh, F.lit("")), F.coalesce(ja, F.lit(""))).cast("binary")), 1, 16)
 
 
 # Segmentation

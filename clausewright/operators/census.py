@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 
 def census(rows: DataFrame, codes: Column, members: Sequence[str]) -> DataFrame:
-    """code, n: rows of each member, 0 included, and of no value (code null). ``codes``: an array column."""
+    """code, n: rows of each member, and of no value (code null), 0 included. ``codes``: an array column."""
     spark = rows.sparkSession
     listed = spark.range(1).select(F.posexplode(F.array(*map(F.lit, members))).alias("_rank", "code"))
     counts = rows.select(F.explode_outer(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     known = listed.join(counts, "code", "left").select("code", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    none = counts.where("code IS NULL").select("code", "n")
+    none = counts.where("code IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(None).cast("string").alias("code"), "n")
     return known.unionByName(none)
 
 
@@ -34,3 +34,14 @@ def entities_per_kind(clauses: DataFrame, kinds: Sequence[str], shown: Column) -
 def duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, n of keys that are not unique."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def tally(rows: DataFrame, said: Column, wanted: str, excluded: Column) -> DataFrame:
+    """outcome, n: how a rule does on rows whose answer is ``wanted``: agree, disagree, or why it says nothing (``excluded``, a reason)."""
+    outcome = F.when(said.isNull(), excluded).when(said == wanted, "agree").otherwise("disagree")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def preview(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of a list, for a report."""
+    return rows.orderBy(*order).limit(n)

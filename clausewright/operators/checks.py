@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.functions import text as T
+from clausewright.functions import vocab as V
+
 
 def violations(rows: DataFrame, checks: Mapping[str, tuple[Column, Column]], key: str = "id") -> DataFrame:
     """check, id, detail: a row for each check (condition, detail) that a row fails; one pass over the rows."""
@@ -50,3 +53,127 @@ def require(found: DataFrame, most: int = 50) -> None:
     if counts:
         rows = found.orderBy("check", "id").limit(most).collect()
         raise CheckFailed("; ".join(f"{k}: {n}" for k, n in sorted(counts.items())) + "\n" + "\n".join(f"{r['check']} {r['id']} {r['detail']}" for r in rows))
+
+
+# The index
+
+
+# Heads of sections, which no clause holds, and the mark of an alias.
+SECTION_HEADS = ("【靈擺效果】", "【怪獸效果】", "【怪獸敘述】")
+ALIAS_MARK = "※"
+
+
+def gap_kind(gap: Column) -> Column:
+    """header or alias: what the clauses of a text may leave of it; null for anything else."""
+    rest = gap
+    for head in SECTION_HEADS:
+        rest = F.replace(rest, F.lit(head), F.lit(""))
+    rest = T.trimmed(rest)
+    return F.when(rest == "", "header").when(F.startswith(rest, F.lit(ALIAS_MARK)), "alias")
+
+
+def buttons(domains: Mapping[str, V.Domain] | None = None) -> dict[str, list[str]]:
+    """Codes of each domain that a client can choose."""
+    return {name: [i["code"] for i in one["items"]] for name, one in V.export(domains).items()}
+
+
+def pruned(exported: dict, counts: Mapping[str, int], domain: str = "kind") -> dict:
+    """An exported vocabulary without the buttons of codes that are counted as 0; a group without buttons goes, items stay for display."""
+    one = exported[domain]
+    groups = [{**g, "codes": kept} for g in one.get("groups", []) if (kept := [c for c in g["codes"] if counts.get(c, 1)])]
+    return {**exported, domain: {**one, "groups": groups}}
+
+
+def unexported(index: DataFrame, chosen: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """check, id, detail (column:code): codes of index rows that are no buttons."""
+    chosen = chosen or buttons()
+    side = F.col("cat")
+    single = {"cat": "cat", "attr": "attr", "race": "race", "rarity": "rarity", "region": "ot", "ban_o": "ban_o", "ban_t": "ban_t", "ban_m": "ban_m"}
+    coded = lambda column, codes, allowed: F.transform(F.filter(F.coalesce(codes, F.array().cast("array<string>")), lambda c: c.isNotNull() & (c != "") & ~c.isin(allowed)), lambda c: F.concat(F.lit(f"{column}:"), c))
+    found = [coded(c, F.array(F.col(c)), chosen[d]) for c, d in single.items()]
+    found += [coded("markers", F.col("markers"), chosen["lm"])]
+    found += [coded("subs", F.when(side == s, F.col("subs")), chosen[f"sub_{s}"]) for s in ("m", "s", "t")]
+    found += [coded(c, F.transform("clauses", lambda x, c=c: x[c]), chosen[d]) for c, d in (("kind", "kind"), ("opt", "optional"), ("role", "role"))]
+    return index.select("id", F.explode(F.concat(*found)).alias("detail")).select(F.lit("not_exported").alias("check"), "id", "detail")
+
+
+def optional_off_carriers(index: DataFrame, carriers: tuple[str, ...] = V.OPTIONAL.carriers) -> DataFrame:
+    """check, id, detail (label): clauses with a value on a kind that carries none."""
+    bad = F.filter("clauses", lambda c: c["opt"].isNotNull() & ~F.coalesce(c["kind"].isin(*carriers), F.lit(False)))
+    return index.select("id", F.explode(F.transform(bad, lambda c: c["label"])).alias("detail")).select(F.lit("optional_on_non_carrier").alias("check"), "id", "detail")
+
+
+def coverage_faults(index: DataFrame, flavor: Column | None = None) -> DataFrame:
+    """check, id, detail: text of ``body`` that clauses and flavour leave and that is no head and no alias, clauses that are not in it in their order, and an alias that is a gap and was not taken out, or the other way round.
+
+    Blanks do not count on either side.
+    """
+    bare = lambda c: T.without_blanks(F.coalesce(c, F.lit("")))
+    pieces = F.transform("clauses", lambda c: bare(c["text"]))
+    pieces = F.concat(pieces, F.array(bare(flavor))) if flavor is not None else pieces
+    rows = index.select("id", F.coalesce("alias", F.lit("")).alias("alias"), T.coverage(bare(F.col("body")), F.filter(pieces, lambda p: p != "")).alias("c"))
+    unknown = F.filter("c.gaps", lambda g: gap_kind(g).isNull())
+    has_alias = F.exists("c.gaps", lambda g: F.coalesce(gap_kind(g) == "alias", F.lit(False)))
+    named = lambda check, details: F.transform(details, lambda d: F.struct(F.lit(check).alias("check"), d.alias("detail")))
+    none = F.array().cast("array<string>")
+    found = F.concat(named("coverage_gaps", unknown), named("clauses_not_in_text", F.col("c.missing")), named("alias_gap_not_extracted", F.when(both_ways(has_alias, F.col("alias") != ""), F.array("alias")).otherwise(none)))
+    return rows.select("id", F.explode(found).alias("v")).select("v.check", "id", "v.detail")
+
+
+def index_problems(cards: DataFrame, index: DataFrame, clauses: DataFrame, flavor: Column | None = None) -> DataFrame:
+    """check, id, detail: everything that is wrong with an index.
+
+    ``cards``: decoded entities (id, type, race, attribute, level, atk, def); ``index``: ``entities.index_rows`` of them;
+    ``clauses``: id. An empty result is what lets an index be published (``require``).
+    """
+    said = lambda check, frame, detail: frame.select(F.lit(check).alias("check"), "id", detail.cast("string").alias("detail"))
+    monster = F.col("type").bitwiseAND(F.lit(1)) != 0
+    given = F.lit(False)
+    for c in ("race", "attribute", "level", "atk", "def"):
+        given = given | F.coalesce(F.col(c) != 0, F.lit(False))
+    whole = F.coalesce(F.col("race") != 0, F.lit(False)) & F.coalesce(F.col("attribute") != 0, F.lit(False))
+    bits = V.unexplained_type_bits(F.col("type"))
+    own = violations(cards, {"monster_without_parameters": (monster & ~whole, F.col("type")), "parameters_without_monster": (~monster & given, F.col("type")), "unexplained_type_bits": (bits != 0, F.hex(bits))})
+    unknown = {"attribute": V.ATTR, "race": V.RACE}
+    values = violations(cards, {f"unknown_{c}": (d.is_unknown(F.col(c)), F.col(c)) for c, d in unknown.items()})
+    untyped = index.select("id", F.explode(F.filter("clauses", lambda c: F.coalesce(c["kind"], F.lit("")) == "")).alias("c"))
+    return union(
+        own, values,
+        said("missing_from_index", cards.join(index.select("id"), "id", "left_anti"), F.lit(None)),
+        said("duplicate_id", cards.groupBy("id").count().where("count > 1"), F.col("count")),
+        said("without_clause_entry", cards.join(clauses.select("id").distinct(), "id", "left_anti"), F.lit(None)),
+        said("clause_without_kind", untyped, F.col("c.label")),
+        optional_off_carriers(index), unexported(index), coverage_faults(index, flavor),
+    )
+
+
+def vocabulary_problems(spark, problems: list[str]) -> DataFrame:
+    """The same table for what ``vocab.problems`` and ``rules.problems`` find, with no id."""
+    return spark.createDataFrame([("vocabulary", None, p) for p in problems], "check string, id long, detail string")
+
+
+def known_values(rows: DataFrame, columns: Mapping[str, V.Domain]) -> DataFrame:
+    """``rows``, unless one of the columns has a value that its domain does not know: then all such values are named in the error."""
+    require(violations(rows, {f"unknown_{c}": (d.is_unknown(F.col(c)), F.col(c)) for c, d in columns.items()}))
+    return rows
+
+
+def guarded_mapping(diff: DataFrame, force: bool = False) -> DataFrame:
+    """A mapping diff that only adds, or any with ``force``; else an error that names what was removed or changed."""
+    if not force:
+        require(diff.where("change <> 'added'").select(F.col("change").alias("check"), F.col(diff.columns[0]).alias("id"), F.concat_ws(" -> ", F.col("old").cast("string"), F.col("new").cast("string")).alias("detail")))
+    return diff
+
+
+#: Lists that must have stopped growing, and faults that must be none, before a sheet is sealed.
+CONVERGED = ("judgment_orphans", "judgment_rejudge_refused", "late_official_conflict", "pending")
+INTEGRITY = ("split_malformed", "split_stale", "split_coverage_failed", "split_quote_violations", "split_unused", "bullet_split_mismatch", "bullet_coverage_failed", "bullet_quote_violations", "kind_conflicts")
+
+
+def sealed(found: DataFrame, sheet: DataFrame, rerun: DataFrame, keys: list[str]) -> DataFrame:
+    """gate, ok, n of all gates: the lists above, keys that are not unique, and rows that a rerun on the sheet would change."""
+    lists = gates(found, [*CONVERGED, *INTEGRITY])
+    repeated = sheet.groupBy(*keys).count().where("count > 1")
+    changed = sheet.exceptAll(rerun).unionByName(rerun.exceptAll(sheet))
+    more = [f.agg(F.count("*").alias("n")).select(F.lit(g).alias("gate"), (F.col("n") == 0).alias("ok"), "n") for g, f in (("unique_keys", repeated), ("fixpoint", changed))]
+    return lists.unionByName(more[0]).unionByName(more[1])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,3 +135,72 @@ def alias_merge(entities: DataFrame, most_rounds: int = 60) -> tuple[DataFrame,
     gone = told.where("goes").select("id")
     merged = entities.join(gone, "id", "left_anti").drop("alt_ids").join(alts, "id", "left").withColumn("alt_ids", F.coalesce("alt_ids", F.array().cast("array<long>")))
     return merged, told.where("reason IS NOT NULL").select("id", "reason")
+
+
+def consuming_lookup(left: DataFrame, key: str, others: str, sources: Mapping[str, DataFrame], value: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, unmatched): ``left`` with a column for each source (id, value), by ``key``, else by the first of ``others``; unmatched: source, id of source rows that no row has used.
+
+    A value on an alternate id stays unused where the main id has one.
+    """
+    out, rest = left, None
+    for name, source in sources.items():
+        keys = left.select(F.col(key).alias("_row"), F.posexplode(F.concat(F.array(key), F.coalesce(others, F.array().cast(left.schema[others].dataType)))).alias("_pos", "_key")).distinct()
+        found = keys.join(source.select(F.col("id").alias("_key"), F.col(value).alias("_value")).where("_value IS NOT NULL"), "_key")
+        best = found.groupBy("_row").agg(F.min_by(F.struct("_value", "_key"), "_pos").alias("_b"))
+        out = out.join(best.select(F.col("_row").alias(key), F.col("_b._value").alias(name)), key, "left")
+        unused = source.join(best.select(F.col("_b._key").alias("id")), "id", "left_anti").select(F.lit(name).alias("source"), "id")
+        rest = unused if rest is None else rest.unionByName(unused)
+    return out, rest
+
+
+def split_by(rows: DataFrame, excluded: Column) -> tuple[DataFrame, DataFrame]:
+    """(rest, excluded): rows for which the condition does not hold (or is null), and rows for which it does."""
+    hit = F.coalesce(excluded, F.lit(False))
+    return rows.where(~hit), rows.where(hit)
+
+
+def missing_by_region(entities: DataFrame, covered: DataFrame, covered_key: str, region: str = "ot", elsewhere: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(missing, excluded): entities (id, alt_ids, region) that no covered key names; excluded: those of a region that the source does not serve."""
+    return split_by(not_covered(entities, "id", "alt_ids", covered, covered_key), F.col(region) == elsewhere)
+
+
+def resolved(entities: DataFrame, mapping: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """(targets, unresolved): entities with ``value`` of the mapping (id, value) by id or an alternate one, and those without."""
+    return split_by(lookup_with_fallback(entities, "id", "alt_ids", mapping, "id", value), F.col(value).isNull())
+
+
+def verified(entities: DataFrame, entries: DataFrame, key: str, filled: str) -> tuple[DataFrame, DataFrame]:
+    """(ok, bad): entities with an entry, by id or else an alternate one, whose ``filled`` is neither null nor empty.
+
+    The first id that has an entry counts, even where another's is filled.
+    """
+    marked = entries.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.coalesce(F.col(filled) != "", F.lit(False)).alias("_ok")).groupBy("_id").agg(F.max("_ok").alias("_ok"))
+    bad, ok = split_by(lookup_with_fallback(entities, "id", "alt_ids", marked, "_id", "_ok"), F.coalesce("_ok", F.lit(False)))
+    return ok.drop("_ok"), bad.drop("_ok")
+
+
+def newly_filled(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """key, gained: names of fields that a new crawl has and the old one had not, sorted; only rows that gained some."""
+    held = lambda p: F.array_compact(F.array(*(F.when(F.coalesce(F.col(f"{p}.{f}") != "", F.lit(False)), f) for f in sorted(fields))))
+    both = new.select(key, F.struct(*fields).alias("n")).join(old.select(key, F.struct(*fields).alias("o")), key, "left")
+    return both.select(key, F.array_except(held("n"), held("o")).alias("gained")).where("size(gained) > 0")
+
+
+def effective_mapping(dumps: DataFrame, overrides: DataFrame, key: str, value: str, order: Sequence[Column]) -> DataFrame:
+    """The mapping of all dumps, the first in order winning, with overrides over it."""
+    return overridden(one_per_key(dumps.select(key, value, *order), [key], order).select(key, value), overrides, key, value)
+
+
+def inverted(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """value, keys: a mapping turned round, the keys of each value sorted; null values are left out."""
+    return pairs.where(F.col(value).isNotNull()).groupBy(value).agg(F.array_sort(F.collect_set(key)).alias("keys"))
+
+
+def coverage_report(entities: DataFrame, entries: DataFrame | None, key: str, shown: int = 10) -> list[str]:
+    """Lines that say what official entries lack; where there are none yet, that this was passed over."""
+    if entries is None:
+        return ["no official entries yet: not compared"]
+    missing, excluded = missing_by_region(entities, entries, key)
+    lines = [f"without an entry: {missing.count()}; of another region: {excluded.count()}"]
+    lines += [f"  {r['id']}" for r in missing.orderBy("id").limit(shown).collect()]
+    return lines + (["  they can be fetched again"] if len(lines) > 1 else [])

@@ -110,3 +110,25 @@ def spread_review(clauses: DataFrame, by: str = "id") -> DataFrame:
 def upgraded_source(source: Column, kind: Column, predicted: Column) -> Column:
     """A judged value that a rule agrees with is llm_then_rule."""
     return F.when((source == "llm") & (kind == predicted), "llm_then_rule").otherwise(source)
+
+
+def judgment(kind: Column, optional: Column, role: Column) -> Column:
+    """The three values that a judgment gives, for comparing: nulls are equal."""
+    return F.struct(kind.alias("kind"), optional.alias("optional"), role.alias("role"))
+
+
+def judgment_text(kind: Column, optional: Column, role: Column) -> Column:
+    """A judgment to read: kind or a dash, role and value, those that there are."""
+    blank = lambda c: F.nullif(c, F.lit(""))
+    return F.concat_ws("/", F.coalesce(blank(kind), F.lit("—")), blank(role), blank(optional))
+
+
+def attested(clauses: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Clauses with the kinds that official statements give them, which make them official, and ``mandatory``.
+
+    ``assigned``: id, section, label, kind (may be null), mandatory, as ``attest.attest`` gives it.
+    """
+    told = assigned.select("id", "section", "label", F.col("kind").alias("_kind"), F.col("mandatory").alias("_must"))
+    rows = clauses.drop("mandatory").join(told, ["id", "section", "label"], "left")
+    kind, source = F.coalesce("_kind", "kind"), F.when(F.col("_kind").isNotNull(), "official").otherwise(F.col("source"))
+    return rows.withColumns({"kind": kind, "source": source, "mandatory": F.coalesce("_must", F.lit(False))}).drop("_kind", "_must")

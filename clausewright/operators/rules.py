@@ -141,3 +141,14 @@ def annotate(clauses: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Clauses with activation, hits and predicted."""
     led = bullet_leads(clauses).withColumn("activation", activation_clause(F.col("text_ja")))
     return predict(led.withColumn("hits", rule_hits(F.col("text_ja"), F.col("activation"), F.col("lead"), rules)), rules)
+
+
+def targets(clauses: DataFrame) -> DataFrame:
+    """Clauses that rules may speak of: with an original text, and no preambles."""
+    return clauses.where(~F.col("label").rlike(r"\A0(-.*)?\z") & (F.coalesce("text_ja", F.lit("")) != ""))
+
+
+def stated_digest(document: str) -> str | None:
+    """The registry's fingerprint that a generated document states; None where it states none."""
+    found = re.search(r"`([0-9a-f]{16,64})`", document)
+    return found[1] if found else None
