@@ -93,7 +93,7 @@ def unexported(index: DataFrame, chosen: Mapping[str, list[str]] | None = None)
     found = [coded(c, F.array(F.col(c)), chosen[d]) for c, d in single.items()]
     found += [coded("markers", F.col("markers"), chosen["lm"])]
     found += [coded("subs", F.when(side == s, F.col("subs")), chosen[f"sub_{s}"]) for s in ("m", "s", "t")]
-    found += [coded(c, F.transform("clauses", lambda x, c=c: x[c]), chosen[d]) for c, d in (("kind", "kind"), ("opt", "optional"), ("role", "role"))]
+    found += [coded(c, F.col(f"clauses.{c}"), chosen[d]) for c, d in (("kind", "kind"), ("opt", "optional"), ("role", "role"))]
     return index.select("id", F.explode(F.concat(*found)).alias("detail")).select(F.lit("not_exported").alias("check"), "id", "detail")
 
 
