@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def census(rows: DataFrame, codes: Column, members: Sequence[str]) -> DataFrame:
-    """code, n: rows of each member, and of no value (code null), 0 included. ``codes``: an array column."""
+def census(rows: DataFrame, codes: Column, members: Sequence[str], no_value: bool = False) -> DataFrame:
+    """code, n: rows of each member, 0 included, and of no value (code null) where there are any, or always with ``no_value``. ``codes``: an array column."""
     spark = rows.sparkSession
     listed = spark.range(1).select(F.posexplode(F.array(*map(F.lit, members))).alias("_rank", "code"))
     counts = rows.select(F.explode_outer(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     known = listed.join(counts, "code", "left").select("code", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    none = counts.where("code IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(None).cast("string").alias("code"), "n")
+    none = counts.where("code IS NULL").select("code", "n")
+    if no_value:
+        none = none.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(None).cast("string").alias("code"), "n")
     return known.unionByName(none)
 
 

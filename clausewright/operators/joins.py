@@ -105,32 +105,24 @@ def alias_merge(entities: DataFrame, most_rounds: int = 60) -> tuple[DataFrame,
     target = rows.select(F.col("id").alias("up"), F.col("name").alias("up_name"), F.lit(True).alias("here"))
     rows = checkpointed(rows.join(target, "up", "left").select("id", "up", "name", "up_name", F.coalesce("here", F.lit(False)).alias("here")))
 
-    def doubled(jump: DataFrame) -> DataFrame:
-        for _ in range(most_rounds):
+    def doubled(jump: DataFrame, rounds: int) -> DataFrame:
+        """Pointers followed to their ends; whether a round moved any is told by its own join."""
+        for _ in range(rounds):
             following = jump.select(F.col("id").alias("to"), F.col("to").alias("next"))
-            new = checkpointed(jump.join(following, "to", "left").select("id", F.coalesce("next", "to").alias("to")))
-            moved = new.join(jump.withColumnRenamed("to", "was"), "id").where("to <> was").isEmpty()
-            jump = new
-            if moved:
+            jump = checkpointed(jump.select("id", "to").join(following, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            if jump.where("moved").isEmpty():
                 break
-        return jump
+        return jump.select("id", "to")
 
     # A row resolves if its pointers end; ends point to themselves, rows on a cycle never reach one.
     ends = rows.where("up IS NULL OR NOT here").select(F.col("id").alias("end"))
     reach = checkpointed(rows.select("id", F.when(F.col("up").isNotNull() & F.col("here"), F.col("up")).otherwise(F.col("id")).alias("to")))
-    n = max(1, reach.count()).bit_length()
-    for _ in range(n):
-        following = reach.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        new = checkpointed(reach.join(following, "to").select("id", F.col("next").alias("to")))
-        still = new.join(reach.withColumnRenamed("to", "was"), "id").where("to <> was").isEmpty()
-        reach = new
-        if still:
-            break
+    reach = doubled(reach, max(1, reach.count()).bit_length())  # on a cycle pointers never end
     resolved = reach.join(ends, F.col("to") == F.col("end"), "left_semi").select("id", F.lit(True).alias("resolved"))
     told = rows.join(resolved, "id", "left")
     reason = F.when(F.col("resolved").isNull(), "unresolved").when(F.col("up").isNull(), None).when(~F.col("here"), "target_missing").when(~F.col("name").eqNullSafe(F.col("up_name")), "name_mismatch")
     told = checkpointed(told.withColumn("reason", reason).withColumn("goes", F.col("up").isNotNull() & reason.isNull()))
-    owner = doubled(told.select("id", F.when(F.col("goes"), F.col("up")).otherwise(F.col("id")).alias("to")))
+    owner = doubled(told.select("id", F.when(F.col("goes"), F.col("up")).otherwise(F.col("id")).alias("to")), most_rounds)
     alts = owner.where("id <> to").groupBy(F.col("to").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("alt_ids"))
     gone = told.where("goes").select("id")
     merged = entities.join(gone, "id", "left_anti").drop("alt_ids").join(alts, "id", "left").withColumn("alt_ids", F.coalesce("alt_ids", F.array().cast("array<long>")))

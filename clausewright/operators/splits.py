@@ -173,9 +173,9 @@ def synced_clauses(clauses: DataFrame, corrections: DataFrame) -> DataFrame:
     """Clauses (id, text_zh, text_ja, text_hash, ...) with the correction of their entity in the text, hashes made anew where it changed."""
     rows = clauses.join(corrections.select("id", F.col("from").alias("_from"), F.col("to").alias("_to")), "id", "left")
     hit = F.coalesce(F.contains("text_zh", F.col("_from")), F.lit(False))
-    rows = rows.withColumn("text_zh", F.when(hit, F.replace("text_zh", F.col("_from"), F.col("_to"))).otherwise(F.col("text_zh")))
-    changed = F.contains("text_zh", F.col("_to")) & F.col("_from").isNotNull()
-    return rows.withColumn("text_hash", F.when(F.coalesce(changed, F.lit(False)), T.text_hash(F.col("text_ja"), F.col("text_zh"))).otherwise(F.col("text_hash"))).select(*clauses.columns)
+    new = F.when(hit, F.replace("text_zh", F.col("_from"), F.col("_to"))).otherwise(F.col("text_zh"))
+    hashed = F.when(hit, T.text_hash(F.col("text_ja"), new)).otherwise(F.col("text_hash"))
+    return rows.withColumns({"text_zh": new, "text_hash": hashed}).select(*clauses.columns)
 
 
 # A rule for cuts, tried out against the official quotes
