@@ -49,9 +49,9 @@ def test_scans_are_linear(name):
     key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1 << 20))
     text = {"key": "the bearer is " + key, "words": "token password secret " * 50_000, "joined": "token" * 200_000, "before": ("x" * 20 + " ") * 50_000 + "token"}[name]
     scanner = secrets.Scanner(secrets.identifier_dictionary())
-    began = time.time()
+    began = time.process_time()
     spans = scanner.spans(text)
-    assert time.time() - began < 10
+    assert time.process_time() - began < 10
     assert name != "key" or (14, 3, 14 + len(key)) in spans
 
 
@@ -152,9 +152,9 @@ def test_long_words_are_merged_in_time_and_as_the_library_does(spark):
     for text in texts:
         wanted = library.encode(text, add_special_tokens=False).ids
         assert vocabulary.merge(text) == wanted and merger._long(text.encode()) == wanted
-    began = time.time()
+    began = time.process_time()
     assert len(merger._long("".join(rng.choices("etaoinshrdlu", k=1 << 20)).encode())) > 1 << 17
-    assert time.time() - began < 10
+    assert time.process_time() - began < 10
 
 
 def test_equal_lexicons_are_one_file(spark):
@@ -194,3 +194,38 @@ def test_filter_urls_keeps_clashing_columns_and_takes_a_table(spark):
     listed = spark.createDataFrame([("bad.net", 1), (None, 2), ("bad.net", 3)], "host string, n int")
     got = sorted(tuple(r[c] for c in ("page_id", "_keys", "_rule", "host", "verdict")) for r in url_filter.filter_urls(pages, queries.URL_RULES, listed).collect())
     assert got == [(1, 7, 7, "a.bad.net", "block")] * 2 + [(2, 7, 7, "good.org", "allow"), (3, 7, 7, "", "allow")]
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    """documents with nulls in any column, empty and very long texts, repeated rows and ids, and a column of its own; labels of few."""
+    folder = tmp_path_factory.mktemp("odd")
+    long = words(20_000, 1)
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, long), (6, long + " end"), (7, words(40, 2)), (7, words(40, 2)), (7, words(40, 3)), (8, words(40, 4)), (None, words(40, 5)), (None, None), (9, "x" * 5000)]
+    docs = docs_of(spark, rows, ("score", "_id", "ids", "draw")).withColumn("source", F.when(F.col("doc_id") > 3, F.lit("s")))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(4, 0, None), (7, 1, 0), (8, None, 1), (None, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("rows", ["all", "none"])
+def test_pipeline_with_odd_rows(spark, odd_folder, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    docs = docs if rows == "all" else docs.limit(0)
+    names = docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, odd_folder).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        assert docs.columns == names or name == "bpe"
+        assert rows == "all" or docs.count() == 0
+    if rows == "all":
+        assert docs.where("n_tokens <> size(ids)").count() == 0 and docs.count() > 0
+
+
+def test_queries_that_share_ids_keep_every_row(spark, odd_folder):
+    """Rows of one doc_id with different texts, and rows without one, are each scored, scanned, encoded and mixed."""
+    n = spark.read.parquet(f"{odd_folder}/documents.parquet").count()
+    for name in ("op1_compression_quality", "op5_mixing", "op6_host_rules", "op7_transducer_bpe", "op8_tensored_minhash", "op9_hidden_markov", "op10_secret_novelty", "op2_fm_substrings"):
+        assert queries.QUERIES[name](spark, odd_folder).count() == n, name
