@@ -69,13 +69,12 @@ def page(found: DataFrame, number: int, size: int, key: str | None = "dom", dire
 
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """Rows with their place from 1. The places come from a range partitioning and counts of its parts, not from one task; the parts are checkpointed, so that both see the same."""
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    cut = checkpointed(df.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    numbered = cut.withColumn("_in", F.row_number().over(inside))
-    before = cut.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    """Rows with their place from 1: one range sort, whose parts are checkpointed with the places in them, and what the parts before hold added up; no task sees more than a part."""
+    cut = checkpointed(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))  # part << 33 | place in it
+    part = F.shiftright("_at", 33)
+    sizes = cut.groupBy(part.alias("_part")).agg((F.max(F.col("_at").bitwiseAND(2**33 - 1)) + 1).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a part
+    return cut.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_at").bitwiseAND(2**33 - 1) + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 
 def page_numbers(count: int, current: int, width: int = 2) -> list[int | None]:
