@@ -80,6 +80,21 @@ def _same_set(width: int):
     return of
 
 
+def _matching(width: int):
+    """Rows (id, n_shingles, f1, f2, text) whose text has the fingerprint beside it. A map, so that it runs after the join and not on every text before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                sets = shingle_sets(part.column("text"), width)
+                n, f1, f2 = (part.column(c).to_numpy() for c in ("n_shingles", "f1", "f2"))
+                sums = _sums(sets)
+                same = (n == [len(s) for s in sets]) & (f1 == sums[:, 0]) & (f2 == sums[:, 1])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text")], ["id", "text"]).filter(pa.array(same, pa.bool_()))
+
+    return run
+
+
 def _sketcher(width: int, tables: int, rows: int):
     count = 2 * tables * rows
     drawn = np.random.default_rng(_SEED)
@@ -265,8 +280,8 @@ def _linked(docs: DataFrame, width: int, percent: int, tables: int | None, rows:
 
     # A class's text is one of its first doc_id's; where that has several, the one with the class's fingerprint.
     members = stars.select("id").unionByName(stars.select(F.col("lead").alias("id"))).distinct()
-    wanted = classes.join(members, "id", "left_semi").select("id", F.col("first").alias("doc_id"), F.struct("n_shingles", "f1", "f2").alias("as"))
-    texts = docs.join(wanted, "doc_id").where(_same_set(width)(F.coalesce("text", F.lit(""))) == F.col("as"))
+    wanted = classes.join(members, "id", "left_semi").select("id", F.col("first").alias("doc_id"), "n_shingles", "f1", "f2")
+    texts = docs.join(wanted, "doc_id").select("id", "n_shingles", "f1", "f2", "text").mapInArrow(_matching(width), "id long, text string")
     texts = checkpointed(texts.groupBy("id").agg(F.min("text").alias("text")))
     links = checkpointed(_confirmed(stars.select(F.col("lead").alias("a"), F.col("id").alias("b")), texts, width, percent))
     found = components(links)
