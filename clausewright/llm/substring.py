@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm._shared import in_small_batches, pieces
-from clausewright.llm._words import Words, mix, windows
+from clausewright.llm._words import _SPACE, Words, mix, windows
 
 GRAM = 5
 #: Windows in a piece at most.
@@ -69,11 +69,12 @@ class _Runs:
         self.at, self.key, self.doc = at[first], value[first], doc[first]
         self.length = np.diff(np.append(first, len(at)))
 
-    def whole(self) -> np.ndarray:
-        """A hash of all the words of each text, to tell rows with equal doc_id apart."""
-        total = np.zeros(len(self.hashes) + 1, np.uint64)
-        np.cumsum(mix(self.hashes + self.words.where().astype(np.uint64)), out=total[1:])
-        return (mix(total[self.words.first[1:]] - total[self.words.first[:-1]] + self.words.counts.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+def _whole(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """A hash of all the words of each text, to tell rows with equal doc_id apart."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes + words.where().astype(np.uint64)), out=total[1:])
+    return (mix(total[words.first[1:]] - total[words.first[:-1]] + words.counts.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +211,7 @@ def _places(width: int):
         for batch in batches:
             for part in _unpacked_texts(batch):
                 runs, doc, at, length, key = _cut(part, width)
-                whole = runs.whole()
+                whole = _whole(runs.words, runs.hashes)
                 h = _piece_hash(runs.hashes, at, length + width - 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), part.column("doc_id").take(pa.array(doc)), pa.array(whole[doc]), pa.array((at - runs.words.first[doc]).astype(np.int32))],
@@ -385,22 +386,32 @@ def _strip(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _unpacked_texts(batch):
-                runs = _Runs(part.column("text"), width)
-                words, whole = runs.words, runs.whole()
-                change = np.zeros(len(words.starts) + 1, np.int64)
-                for t, found in enumerate(part.column("found").to_pylist()):
-                    for x in found or ():
-                        if x["row"] == whole[t]:
-                            at = words.first[t] + np.array(x["at"])
-                            np.add.at(change, at, 1)
-                            np.add.at(change, at + width, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                lost = np.add.reduceat(np.append(gone, False), np.minimum(words.first[:-1], len(gone))).astype(np.int64) * (words.counts > 0)
-                data = words.data.tobytes()
+                words = Words(part.column("text"))
+                whole = _whole(words, words.hashes())
+                # All windows that go, of all texts of the slice at once; those of rows with the same doc_id and other words are passed over.
+                lists = part.column("found")
+                owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                flat = lists.flatten()
+                places = pc.struct_field(flat, "at")
+                sizes = pc.list_value_length(places).to_numpy()
+                mine = np.repeat(pc.struct_field(flat, "row").to_numpy() == whole[owner], sizes)
+                at = (words.first[np.repeat(owner, sizes)] + places.flatten().to_numpy())[mine]
+                n = len(words.starts)
+                gone = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + width, minlength=n + 1))[:n] > 0
+                kept = np.append(0, np.cumsum(~gone))
+                lost = words.counts - (kept[words.first[1:]] - kept[words.first[:-1]])
+                # A text that keeps all its words, with one blank of any kind between them, is a run of the bytes.
+                blank = words.data.copy()
+                blank[_SPACE[blank]] = 32
+                data = blank.tobytes()
+                wide = np.append(0, np.cumsum(np.append(words.starts[1:] - words.ends[:-1] != 1, True))) if n else np.zeros(1, np.int64)
                 texts = []
-                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-                    keep = np.flatnonzero(~gone[a:b]) + a
-                    texts.append(b" ".join([data[s:e] for s, e in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)]))
+                for t, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+                    if a < b and not lost[t] and wide[b - 1] == wide[a]:
+                        texts.append(data[words.starts[a] : words.ends[b - 1]])
+                    else:
+                        keep = np.flatnonzero(~gone[a:b]) + a
+                        texts.append(b" ".join([data[s:e] for s, e in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.counts), pa.array(lost), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     return run
