@@ -293,7 +293,8 @@ def score(docs: DataFrame, lm: LanguageModel, block_bytes: int = 8 << 20) -> Dat
         known, counts = known[order], right.column("n").to_numpy()[order]
         out = []
         for batch in left.to_batches():
-            for part in pieces(batch):
+            # As many texts as a batch has: a step of the recursion takes all of them along.
+            for part in pieces(batch, most=1 << 22):
                 tokens = Tokens(part.column("text"))
                 c = np.zeros(len(tokens.hashes))
                 if len(known):
