@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, hmm, host_rules, minhash, mixing, quality, quantisation, secrets, substring, url_filter
+from clausewright.llm import bpe, hmm, host_rules, minhash, mixing, planes, quality, quantisation, secrets, substring, url_filter
 from clausewright.llm._shared import table
 
 #: Rules of the op4 contract, host and path joined.
@@ -68,6 +68,10 @@ def op10_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", *secrets.digest_columns())
 
 
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.read(planes.write(table(spark, sf_dir, "documents"), VOCABULARY, end=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_quality, op2_fm_substrings, op3_product_quantisation, op4_url_filter, op5_mixing, op6_host_rules, op7_transducer_bpe, op8_tensored_minhash, op9_hidden_markov, op10_secret_novelty)
+    f.__name__: f for f in (op1_compression_quality, op2_fm_substrings, op3_product_quantisation, op4_url_filter, op5_mixing, op6_host_rules, op7_transducer_bpe, op8_tensored_minhash, op9_hidden_markov, op10_secret_novelty, op11_token_planes)
 }
