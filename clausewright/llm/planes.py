@@ -266,7 +266,9 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end:
 
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (crc32 of the ids as little-endian unsigned 32-bit integers), from the files."""
-    ranges = manifest.select("path", "begins", "n_chunks", F.explode(F.expr(f"sequence(0L, greatest(n_chunks - 1, 0L), {CHUNKS_A_READ}L)")).alias("first")).repartition("path", "first")
+    first = F.explode(F.expr(f"sequence(0L, greatest(n_chunks - 1, 0L), {CHUNKS_A_READ}L)"))
+    n = manifest.agg(F.sum(F.expr(f"n_chunks DIV {CHUNKS_A_READ} + 1"))).head()[0] or 1
+    ranges = manifest.select("path", "begins", "n_chunks", first.alias("first")).repartition(min(n, MOST_SHARDS), "path", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -113,4 +113,47 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN least l ON d.doc_id = l.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_fm_substrings": OP2, "op3_product_quantisation": OP3, "op4_url_filter": OP4, "op5_mixing": OP5, "op6_host_rules": OP6, "op8_tensored_minhash": OP8}
+def _crc(name: str, table: str, column: str) -> str:
+    """CTEs: ``name`` has each ``column`` and the crc32 of its decimal text, a bit a step."""
+    x = f"xor(v, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END)"
+    return f"""{name}_bits(id, s, i, v) AS (
+  SELECT DISTINCT {column}, {column}::VARCHAR, 0, 4294967295::BIGINT FROM {table} WHERE {column} IS NOT NULL
+  UNION ALL SELECT id, s, i + 1, xor({x} >> 1, 3988292384 * ({x} & 1)) FROM {name}_bits WHERE i < 8 * length(s)),
+{name} AS (SELECT id, xor(v, 4294967295)::BIGINT AS crc FROM {name}_bits WHERE i = 8 * length(s))"""
+
+
+def _framed(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs: ``name`` has all nodes of the trees of ``leaves`` (k, idx, h, cnt), ``name``_sides what stands left and right of each in its run."""
+    return f"""{name}(k, level, idx, h, cnt) AS (
+  SELECT k, 0, idx, h, cnt FROM {leaves}
+  UNION ALL SELECT k, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (cnt + 2) // 3 FROM {name} WHERE cnt > 1 GROUP BY k, level, idx // 3, cnt),
+{name}_sides AS (
+  SELECT a.k, a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {name} a JOIN {name} b ON a.k = b.k AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.cnt > 1 GROUP BY ALL)"""
+
+
+OP13 = f"""
+WITH RECURSIVE {_crc("crcs", "documents", "doc_id")},
+hashed AS (
+  SELECT coalesce('=' || source, '') AS k, doc_id, sha256({" || ".join(map(_framed, ("doc_id", "source", "lang", "n_chars", "text")))}) AS h,
+    sha256({" || ".join(map(_framed, ("doc_id", "source", "lang", "n_chars")))} || {_framed("CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS cut
+  FROM documents LEFT JOIN crcs ON doc_id = id),
+leaves AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, h, count(*) OVER (PARTITION BY k) AS cnt, doc_id, cut FROM hashed),
+{_tree("nodes", "leaves")},
+subs AS (SELECT k AS source, 'all' AS k, row_number() OVER (ORDER BY k) - 1 AS idx, h, count(*) OVER () AS cnt FROM nodes WHERE cnt = 1),
+{_tree("tops", "subs")},
+up(k, leaf_idx, level, idx, cnt, proof, f) AS (
+  SELECT k, idx, 0, idx, cnt, '', cut FROM leaves
+  UNION ALL SELECT u.k, leaf_idx, u.level + 1, u.idx // 3, (cnt + 2) // 3, proof || l || r, sha256(l || f || r) FROM up u JOIN nodes_sides s ON u.k = s.k AND u.level = s.level AND u.idx = s.idx WHERE cnt > 1),
+over_(source, leaf_idx, level, idx, cnt, proof, f) AS (
+  SELECT up.k, leaf_idx, 0, subs.idx, subs.cnt, proof, f FROM up JOIN subs ON up.k = subs.source WHERE up.cnt = 1
+  UNION ALL SELECT source, leaf_idx, o.level + 1, o.idx // 3, (cnt + 2) // 3, proof || l || r, sha256(l || f || r) FROM over_ o JOIN tops_sides s ON o.level = s.level AND o.idx = s.idx WHERE cnt > 1)
+SELECT doc_id, leaves.h AS leaf, subs.h AS subroot, (SELECT h FROM tops WHERE cnt = 1) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT h FROM tops WHERE cnt = 1) AS verified
+FROM over_ JOIN leaves ON over_.source = leaves.k AND leaf_idx = leaves.idx JOIN subs ON subs.source = leaves.k WHERE over_.cnt = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_fm_substrings": OP2, "op3_product_quantisation": OP3, "op4_url_filter": OP4, "op5_mixing": OP5, "op6_host_rules": OP6, "op8_tensored_minhash": OP8, "op13_merkle_manifest": OP13}
