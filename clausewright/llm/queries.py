@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, hmm, host_rules, merkle, minhash, mixing, planes, quality, quantisation, secrets, substring, url_filter
+from clausewright.llm import bpe, hmm, host_rules, merkle, minhash, mixing, planes, quality, quantisation, secrets, substring, trie, url_filter
 from clausewright.llm._shared import table
 
 #: Rules of the op4 contract, host and path joined.
@@ -72,10 +72,14 @@ def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read(planes.write(table(spark, sf_dir, "documents"), VOCABULARY, end=2))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_quality, op2_fm_substrings, op3_product_quantisation, op4_url_filter, op5_mixing, op6_host_rules, op7_transducer_bpe, op8_tensored_minhash, op9_hidden_markov, op10_secret_novelty, op11_token_planes, op13_merkle_manifest)
+    f.__name__: f for f in (op1_compression_quality, op2_fm_substrings, op3_product_quantisation, op4_url_filter, op5_mixing, op6_host_rules, op7_transducer_bpe, op8_tensored_minhash, op9_hidden_markov, op10_secret_novelty, op11_token_planes, op12_prefix_trie, op13_merkle_manifest)
 }

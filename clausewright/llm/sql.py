@@ -136,6 +136,31 @@ def _tree(name: str, leaves: str) -> str:
   FROM {name} a JOIN {name} b ON a.k = b.k AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.cnt > 1 GROUP BY ALL)"""
 
 
+OP12 = f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+    coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+{_crc("crcs", "turns", "c")},
+convs AS (SELECT id AS c, crc % 6 AS h, id - id % 100 AS b, (SELECT count(*) FROM turns t WHERE t.c = id) AS n, (SELECT count(*) FROM turns t WHERE t.c = id - id % 100) AS bn FROM crcs),
+built AS (
+  SELECT v.c, i AS d, r, x FROM convs v JOIN turns t ON t.c = v.b WHERE i <= h
+  UNION ALL SELECT v.c, least(h, bn) + i - h, r, x FROM convs v JOIN turns t ON t.c = v.c WHERE i > h),
+pre AS (
+  SELECT c, d, length(x) AS chars, md5(string_agg(length(r)::VARCHAR || ':' || r || ';' || length(x)::VARCHAR || ':' || x, '' ) OVER (PARTITION BY c ORDER BY d)) AS k FROM built
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+lens AS (SELECT c, max(d) AS len FROM pre GROUP BY c),
+nodes AS (
+  SELECT d, k, min(c) AS conv_id, min(chars) AS chars, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len), '') AS ends FROM pre JOIN lens USING (c) GROUP BY d, k),
+above AS (SELECT n.d, n.k, p.d AS pd, p.k AS pk FROM nodes n JOIN pre p ON p.c = n.conv_id AND p.d <= n.d),
+kids AS (SELECT pd AS d, pk AS k, count(*) AS n_children FROM above WHERE d = pd + 1 GROUP BY ALL),
+sums AS (
+  SELECT pd AS d, pk AS k, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+  FROM above a JOIN nodes n ON n.d = a.d AND n.k = a.k LEFT JOIN kids ON kids.d = a.d AND kids.k = a.k GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.d = n.d AND s.k = n.k LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k
+LEFT JOIN above a ON a.d = n.d AND a.k = n.k AND a.pd = n.d - 1 LEFT JOIN nodes p ON p.d = a.pd AND p.k = a.pk
+"""
+
 OP13 = f"""
 WITH RECURSIVE {_crc("crcs", "documents", "doc_id")},
 hashed AS (
@@ -156,4 +181,4 @@ SELECT doc_id, leaves.h AS leaf, subs.h AS subroot, (SELECT h FROM tops WHERE cn
 FROM over_ JOIN leaves ON over_.source = leaves.k AND leaf_idx = leaves.idx JOIN subs ON subs.source = leaves.k WHERE over_.cnt = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_fm_substrings": OP2, "op3_product_quantisation": OP3, "op4_url_filter": OP4, "op5_mixing": OP5, "op6_host_rules": OP6, "op8_tensored_minhash": OP8, "op13_merkle_manifest": OP13}
+ORACLE_SQL: dict[str, str] = {"op2_fm_substrings": OP2, "op3_product_quantisation": OP3, "op4_url_filter": OP4, "op5_mixing": OP5, "op6_host_rules": OP6, "op8_tensored_minhash": OP8, "op12_prefix_trie": OP12, "op13_merkle_manifest": OP13}
