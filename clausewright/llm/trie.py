@@ -131,29 +131,33 @@ def _followed(state: DataFrame, pointed: DataFrame, bound: int) -> DataFrame:
     """``state`` without its pointer, with the columns of ``pointed`` (one row a node, ``ptr``; n: how many point to it) where it leads."""
     facts = [c for c in pointed.columns if c not in ("ptr", "n")]
     hot = pointed.where(F.col("n") > bound).select("ptr", *facts, F.lit(True).alias("_hot"))  # fewer than HOT rows
+    if hot.isEmpty():
+        return state.join(pointed.drop("n"), "ptr", "left").drop("ptr")
     marked = state.join(F.broadcast(hot), "ptr", "left")
     rest = marked.where("_hot IS NULL AND ptr IS NOT NULL").drop("_hot", *facts).join(pointed.where(F.col("n") <= bound).drop("n"), "ptr", "left")
     return marked.where("_hot OR ptr IS NULL").drop("_hot").unionByName(rest).drop("ptr")
 
 
 def rolled_up(nodes: DataFrame) -> DataFrame:
-    """Adds n_children, parent_conv_id, n_leaves and saved_tokens to rows of (node, parent, conv_id, depth, chars, n_convs)."""
+    """Adds n_children, parent_conv_id, n_leaves and saved_tokens to checkpointed rows of (node, parent, conv_id, depth, chars, n_convs)."""
     size, deepest = nodes.agg(F.count("*"), F.max("depth")).head()
     bound = max(1000, size // HOT)
-    children = nodes.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
-    state = nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
-    state = state.withColumns({"n_leaves": (F.col("n_children") == 0).cast("long"), "saved_tokens": (F.col("n_convs") - 1) * F.col("chars")}).withColumnRenamed("parent", "ptr")
-    parents = state.where("n_children > 0").select(F.col("node").alias("ptr"), F.col("conv_id").alias("parent_conv_id"), F.col("node").alias("next"), F.col("n_children").alias("n"))
-    state = checkpointed(_followed(state, parents, bound).withColumnRenamed("next", "ptr"))
+    children = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
+    known = checkpointed(nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))))
+    named = _followed(known.withColumnRenamed("parent", "ptr"), known.where("n_children > 0").select(F.col("node").alias("ptr"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("n")), bound)
+
+    state = known.select("node", F.col("parent").alias("ptr"), (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens"))
     reach = 1
     while reach <= (deepest or 0):
         sums = state.where("ptr IS NOT NULL").groupBy("ptr").agg(F.count("*").alias("n"), F.sum("n_leaves").alias("more_leaves"), F.sum("saved_tokens").alias("more_saved"))
         pointed = checkpointed(sums.join(state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr"))
         gained = state.join(pointed.select(F.col("ptr").alias("node"), "more_leaves", "more_saved"), "node", "left")
-        gained = gained.withColumns({"n_leaves": F.col("n_leaves") + F.coalesce("more_leaves", F.lit(0)), "saved_tokens": F.col("saved_tokens") + F.coalesce("more_saved", F.lit(0))}).drop("more_leaves", "more_saved")
-        state = checkpointed(_followed(gained, pointed.select("ptr", "next", "n"), bound).withColumnRenamed("next", "ptr"))
+        gained = gained.select("node", "ptr", *((F.col(c) + F.coalesce(more, F.lit(0))).alias(c) for c, more in (("n_leaves", "more_leaves"), ("saved_tokens", "more_saved"))))
         reach *= 2
-    return state.drop("ptr")
+        if reach <= deepest:
+            gained = _followed(gained, pointed.select("ptr", "next", "n"), bound).withColumnRenamed("next", "ptr")
+        state = checkpointed(gained)
+    return named.join(state.drop("ptr"), "node")
 
 
 def prefix_trie(turns: DataFrame) -> DataFrame:
