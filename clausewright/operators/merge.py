@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausewright.functions import text as T
+from clausewright.functions.vocab import OPTIONAL
+
 KEYS = ("id", "section", "label")
 #: Sources whose values outlive a fresh run.
 KEPT = ("llm", "llm_then_rule", "manual", "official")
@@ -79,27 +82,75 @@ def orphans(prior: DataFrame, fresh: DataFrame, keys: Sequence[str] = KEYS) -> D
 
 
 def judged(clauses: DataFrame, judgments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Clauses with judgments (the last of each key by seq): an official value stands, and a judgment that contradicts it makes the row need review; blank ones are passed over."""
+    """Clauses with the last judgment of each key by seq, ``judged_optional`` (the optional value that it gives) and ``judgment``: what came of it.
+
+    A kind that official text gave is confirmed, or gives way to the judged one, which makes the row need review
+    (late_official_conflict): the likeliest cause is a wrong cut. A kind that a rule set stands (judgment_vs_rule where they
+    differ). Where there is none yet the judged kind and role are taken (judged), unless it is blank (judgment_blank).
+    The optional value counts beside an official kind and with a kind that is taken, and is dropped with the others.
+    """
     last = judgments.groupBy(*keys).agg(F.max_by(F.struct("kind", "optional", "role"), "seq").alias("j"))
     rows = clauses.join(last, list(keys), "left")
-    given = F.col("j")["kind"]
-    official = F.col("source") == "official"
-    conflict = F.coalesce(official & given.isNotNull() & F.col("kind").isNotNull() & (given != F.col("kind")), F.lit(False))
-    take = F.coalesce(given.isNotNull() & ~F.coalesce(official & F.col("kind").isNotNull(), F.lit(False)), F.lit(False))
+    kind, here, given = F.col("kind"), F.col("j").isNotNull(), F.nullif(F.col("j")["kind"], F.lit(""))
+    official = F.coalesce(F.col("source") == "official", F.lit(False))
+    outcome = (
+        F.when(here & official & given.isNotNull() & ~given.eqNullSafe(kind), "late_official_conflict")
+        .when(here & official, "judgment_confirmed")
+        .when(here & kind.isNotNull() & ~given.eqNullSafe(kind), "judgment_vs_rule")
+        .when(here & kind.isNull() & given.isNull(), "judgment_blank")
+        .when(here & kind.isNull(), "judged")
+    )
+    rows = rows.withColumn("judgment", outcome)
+    said = F.coalesce(F.col("judgment"), F.lit(""))
+    take, conflict = said == "judged", said == "late_official_conflict"
     return rows.withColumns(
         {
-            "kind": F.when(take, given).otherwise(F.col("kind")),
+            "kind": F.when(take | conflict, given).otherwise(kind),
             "role": F.when(take, F.col("j")["role"]).otherwise(F.col("role")),
-            "optional": F.coalesce("optional", F.col("j")["optional"]),
-            "source": F.when(take, "llm").otherwise(F.col("source")),
+            "source": F.when(take | conflict, "llm").otherwise(F.col("source")),
             "needs_review": F.coalesce("needs_review", F.lit(False)) | conflict,
+            "judged_optional": F.when(take | conflict | (said == "judgment_confirmed"), F.nullif(F.col("j")["optional"], F.lit(""))),
         }
     ).drop("j")
 
 
-def optional_value(kind: Column, attested: Column, judged_value: Column, by_rule: Column, carriers: Sequence[str], by_rule_kinds: Sequence[str]) -> Column:
-    """The value of a clause: attested, else judged, else by the rule where the kind allows it; kinds that carry none have none."""
-    return F.when(kind.isin(*carriers), F.coalesce(attested, judged_value, F.when(kind.isin(*by_rule_kinds), by_rule)))
+#: Kinds that are activated, which a rule may give an optional value; the other kinds that carry one take it from official text or a judgment alone.
+ACTIVATED = ("q", "t")
+CARRIED = tuple(k for k in OPTIONAL.carriers if k not in ACTIVATED)
+
+
+def optional_by_rule(text_ja: Column, unsplit: Column) -> Column:
+    """struct<value, reason>: the value by the activation clause, or why there is none: unsplit (the first sentence of a text that is not yet cut need not be one), no_text or no_activation."""
+    bare = F.coalesce(text_ja, F.lit("")) == ""
+    whole = F.coalesce(unsplit, F.lit(False))
+    value = F.when(~whole & ~bare, T.optional_by_rule(text_ja))
+    return F.struct(value.alias("value"), F.when(value.isNull(), F.when(whole, "unsplit").when(bare, "no_text").otherwise("no_activation")).alias("reason"))
+
+
+def optionals(clauses: DataFrame) -> DataFrame:
+    """Clauses (kind, text_ja, unsplit, mandatory, judged_optional) with ``optional``, and how it came about.
+
+    optional_by: official (text that says that it is mandatory), llm or rule; null where there is no value. pending: why an activated
+    clause has none. dropped: array of what is left out, mandatory_kind_unknown or mandatory_other_kind (official text says mandatory of
+    a clause without a kind, or of one that carries no value) and judgment_optional_dropped. validation: what the rule says where
+    official text says mandatory: agree, disagree, or why it says nothing.
+    """
+    kind, must, told = F.col("kind"), F.coalesce("mandatory", F.lit(False)), F.col("judged_optional")
+    rule = optional_by_rule(F.col("text_ja"), F.col("unsplit"))
+    activated, carried = (F.coalesce(kind.isin(*kinds), F.lit(False)) for kinds in (ACTIVATED, CARRIED))
+    value = F.when(activated | carried, F.when(must, "m").otherwise(F.coalesce(told, F.when(activated, F.col("_rule")["value"]))))
+    by = F.when(activated | carried, F.when(must, "official").when(told.isNotNull(), "llm").when(activated & F.col("_rule")["value"].isNotNull(), "rule"))
+    other = ~activated & ~carried
+    dropped = F.array_compact(F.array(F.when(other & must, F.when(kind.isNull(), "mandatory_kind_unknown").otherwise("mandatory_other_kind")), F.when(other & told.isNotNull(), "judgment_optional_dropped")))
+    outcome = F.when(must, F.when(F.col("_rule")["value"] == "m", "agree").when(F.col("_rule")["value"].isNotNull(), "disagree").otherwise(F.col("_rule")["reason"]))
+    out = clauses.withColumn("_rule", rule).withColumns({"optional": value, "optional_by": by, "dropped": dropped, "validation": outcome})
+    return out.withColumn("pending", F.when(activated & F.col("optional").isNull(), F.col("_rule")["reason"])).drop("_rule")
+
+
+def optional_tally(clauses: DataFrame) -> DataFrame:
+    """attested, predicted, agree, disagree, unsplit, no_text, no_activation: how far the rule reaches the values that official text gives, in one row."""
+    said = F.col("validation")
+    return clauses.agg(F.count(said).alias("attested"), F.count_if(said.isin("agree", "disagree")).alias("predicted"), *(F.count_if(said == n).alias(n) for n in ("agree", "disagree", "unsplit", "no_text", "no_activation")))
 
 
 def spread_review(clauses: DataFrame, by: str = "id") -> DataFrame:

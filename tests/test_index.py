@@ -24,14 +24,58 @@ def test_index_rows_are_searchable(spark):
     assert {r["id"]: r["rows"] for r in query.run(index, Condition(opt={"tm": 1}, dfq=1)).collect()} == {1: [1]}
 
 
-def test_judgments_yield_to_official_values(spark):
-    clauses = spark.createDataFrame([(1, "m", "1", "t", None, None, "official", False), (2, "m", "1", None, None, None, None, None), (3, "m", "1", None, None, None, None, False)], "id int, section string, label string, kind string, optional string, role string, source string, needs_review boolean")
-    judged = spark.createDataFrame([(1, "m", "1", "c", "m", None, 1), (2, "m", "1", "x", None, "mat", 1), (2, "m", "1", "q", "o", None, 2), (3, "m", "1", None, None, None, 1)], "id int, section string, label string, kind string, optional string, role string, seq int")
-    got = {r["id"]: (r["kind"], r["optional"], r["source"], r["needs_review"]) for r in merge.judged(clauses, judged).collect()}
-    assert got == {1: ("t", "m", "official", True), 2: ("q", "o", "llm", False), 3: (None, None, None, False)}
-    value = merge.optional_value(F.col("kind"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("m"), ["t", "sn"], ["t"])
-    df = spark.createDataFrame([("t",), ("sn",), ("c",)], "kind string")
-    assert [r[0] for r in df.select(value).collect()] == ["m", None, None]
+JUDGED = [
+    # kind, source of the row; kind, optional, role judged; kind, source, role, review, optional taken, outcome
+    (("t", "official"), ("c", "m", None), ("c", "llm", None, True, "m", "late_official_conflict")),
+    (("t", "official"), ("t", "o", None), ("t", "official", None, False, "o", "judgment_confirmed")),
+    (("t", "official"), (None, "o", None), ("t", "official", None, False, "o", "judgment_confirmed")),
+    (("x", "rule"), ("t", "o", None), ("x", "rule", None, False, None, "judgment_vs_rule")),
+    (("x", "rule"), (None, "o", None), ("x", "rule", None, False, None, "judgment_vs_rule")),
+    (("x", "rule"), ("x", None, "mat"), ("x", "rule", None, False, None, None)),
+    ((None, None), ("x", None, "mat"), ("x", "llm", "mat", False, None, "judged")),
+    ((None, None), ("q", "o", None), ("q", "llm", None, False, "o", "judged")),
+    ((None, None), ("", "o", None), (None, None, None, False, None, "judgment_blank")),
+    ((None, None), (None, "o", None), (None, None, None, False, None, "judgment_blank")),
+    ((None, None), None, (None, None, None, False, None, None)),
+]
+
+
+def test_judgments_by_what_gave_the_kind(spark):
+    clauses = spark.createDataFrame([(i, "m", "1", kind, None, source, None) for i, ((kind, source), *_) in enumerate(JUDGED)], "id int, section string, label string, kind string, role string, source string, needs_review boolean")
+    given = [(i, "m", "1", *said, 2) for i, (_, said, _) in enumerate(JUDGED) if said] + [(7, "m", "1", "x", None, None, 1)]  # an earlier one
+    judged = spark.createDataFrame(given, "id int, section string, label string, kind string, optional string, role string, seq int")
+    got = {r["id"]: (r["kind"], r["source"], r["role"], r["needs_review"], r["judged_optional"], r["judgment"]) for r in merge.judged(clauses, judged).collect()}
+    assert got == {i: wanted for i, (*_, wanted) in enumerate(JUDGED)}
+
+
+MAY, MUST, NONE = "①：発動できる。", "①：この効果は発動する。", "①：強くなる。"
+OPTIONALS = [
+    # kind, text, unsplit, mandatory, judged; optional, by, pending, dropped, validation
+    ("t", MAY, False, False, None, ("o", "rule", None, [], None)),
+    ("q", MUST, False, False, None, ("m", "rule", None, [], None)),
+    ("q", MUST, False, False, "o", ("o", "llm", None, [], None)),
+    ("t", NONE, False, False, None, (None, None, "no_activation", [], None)),
+    ("t", "", False, False, None, (None, None, "no_text", [], None)),
+    ("t", None, False, True, None, ("m", "official", None, [], "no_text")),
+    ("t", MAY, True, False, None, (None, None, "unsplit", [], None)),
+    ("t", MAY, True, True, None, ("m", "official", None, [], "unsplit")),
+    ("t", MUST, False, True, "o", ("m", "official", None, [], "agree")),
+    ("t", MAY, False, True, None, ("m", "official", None, [], "disagree")),
+    ("sn", MAY, False, False, None, (None, None, None, [], None)),
+    ("sn", MAY, False, False, "m", ("m", "llm", None, [], None)),
+    ("sn", NONE, False, True, None, ("m", "official", None, [], "no_activation")),
+    ("c", MAY, False, False, "o", (None, None, None, ["judgment_optional_dropped"], None)),
+    ("c", MUST, False, True, "o", (None, None, None, ["mandatory_other_kind", "judgment_optional_dropped"], "agree")),
+    (None, MUST, False, True, None, (None, None, None, ["mandatory_kind_unknown"], "agree")),
+    (None, MAY, False, False, None, (None, None, None, [], None)),
+]
+
+
+def test_optional_values_by_their_ladder(spark):
+    rows = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(OPTIONALS)], "id int, kind string, text_ja string, unsplit boolean, mandatory boolean, judged_optional string")
+    out = merge.optionals(rows)
+    assert {r["id"]: (r["optional"], r["optional_by"], r["pending"], r["dropped"], r["validation"]) for r in out.collect()} == {i: r[5] for i, r in enumerate(OPTIONALS)}
+    assert merge.optional_tally(out).head().asDict() == {"attested": 7, "predicted": 4, "agree": 3, "disagree": 1, "unsplit": 1, "no_text": 1, "no_activation": 1}
 
 
 def test_displays_and_corrections(spark):
