@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -127,37 +128,44 @@ def ends_digests(ends: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "node binary, ends_sha256 string")
 
 
-def _followed(state: DataFrame, pointed: DataFrame, bound: int) -> DataFrame:
-    """``state`` without its pointer, with the columns of ``pointed`` (one row a node, ``ptr``; n: how many point to it) where it leads."""
-    facts = [c for c in pointed.columns if c not in ("ptr", "n")]
-    hot = pointed.where(F.col("n") > bound).select("ptr", *facts, F.lit(True).alias("_hot"))  # fewer than HOT rows
+def _followed(rows: DataFrame, pointed: DataFrame, bound: int) -> DataFrame:
+    """``rows`` with the columns of ``pointed`` (one row a node, ``ptr``; n: how many point to it) in place of their pointer; rows that point to none of these go."""
+    facts = [c for c in pointed.columns if c != "n"]
+    hot = pointed.where(F.col("n") > bound).select(facts)  # fewer than HOT rows
     if hot.isEmpty():
-        return state.join(pointed.drop("n"), "ptr", "left").drop("ptr")
-    marked = state.join(F.broadcast(hot), "ptr", "left")
-    rest = marked.where("_hot IS NULL AND ptr IS NOT NULL").drop("_hot", *facts).join(pointed.where(F.col("n") <= bound).drop("n"), "ptr", "left")
-    return marked.where("_hot OR ptr IS NULL").drop("_hot").unionByName(rest).drop("ptr")
+        return rows.join(pointed.select(facts), "ptr").drop("ptr")
+    rest = rows.join(F.broadcast(hot.select("ptr")), "ptr", "left_anti").join(pointed.where(F.col("n") <= bound).select(facts), "ptr")
+    return rows.join(F.broadcast(hot), "ptr").unionByName(rest).drop("ptr")
 
 
 def rolled_up(nodes: DataFrame) -> DataFrame:
-    """Adds n_children, parent_conv_id, n_leaves and saved_tokens to checkpointed rows of (node, parent, conv_id, depth, chars, n_convs)."""
+    """Adds n_children, parent_conv_id, n_leaves and saved_tokens to checkpointed rows of (node, parent, conv_id, depth, chars, n_convs).
+
+    A round has the nodes that are deep enough to hand something up, and gives what others gain by it.
+    """
     size, deepest = nodes.agg(F.count("*"), F.max("depth")).head()
     bound = max(1000, size // HOT)
     children = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     known = checkpointed(nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long"))))
-    named = _followed(known.withColumnRenamed("parent", "ptr"), known.where("n_children > 0").select(F.col("node").alias("ptr"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("n")), bound)
+    parents = known.where("n_children > 0").select(F.col("node").alias("ptr"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("n"))
+    below = _followed(known.where("parent IS NOT NULL").withColumnRenamed("parent", "ptr"), parents, bound)
+    named = known.where("parent IS NULL").drop("parent").withColumn("parent_conv_id", F.lit(None).cast("long")).unionByName(below)
 
-    state = known.select("node", F.col("parent").alias("ptr"), (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens"))
+    own = [(F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens")]
+    gains = [known.select("node", *own)]
+    active = known.where("parent IS NOT NULL").select("node", F.col("parent").alias("ptr"), *own)
     reach = 1
     while reach <= (deepest or 0):
-        sums = state.where("ptr IS NOT NULL").groupBy("ptr").agg(F.count("*").alias("n"), F.sum("n_leaves").alias("more_leaves"), F.sum("saved_tokens").alias("more_saved"))
-        pointed = checkpointed(sums.join(state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr"))
-        gained = state.join(pointed.select(F.col("ptr").alias("node"), "more_leaves", "more_saved"), "node", "left")
-        gained = gained.select("node", "ptr", *((F.col(c) + F.coalesce(more, F.lit(0))).alias(c) for c, more in (("n_leaves", "more_leaves"), ("saved_tokens", "more_saved"))))
+        sums = active.groupBy("ptr").agg(F.count("*").alias("n"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
+        gained = checkpointed(sums.join(active.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr", "left"))
+        gains.append(gained.select(F.col("ptr").alias("node"), "n_leaves", "saved_tokens"))
         reach *= 2
         if reach <= deepest:
-            gained = _followed(gained, pointed.select("ptr", "next", "n"), bound).withColumnRenamed("next", "ptr")
-        state = checkpointed(gained)
-    return named.join(state.drop("ptr"), "node")
+            more = gained.select(F.col("ptr").alias("node"), F.col("n_leaves").alias("_leaves"), F.col("saved_tokens").alias("_saved"))
+            moved = _followed(active, gained.where("next IS NOT NULL").select("ptr", "next", "n"), bound).withColumnRenamed("next", "ptr").join(more, "node", "left")
+            active = checkpointed(moved.select("node", "ptr", (F.col("n_leaves") + F.coalesce("_leaves", F.lit(0))).alias("n_leaves"), (F.col("saved_tokens") + F.coalesce("_saved", F.lit(0))).alias("saved_tokens")))
+    total = reduce(DataFrame.unionByName, gains).groupBy("node").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
+    return named.join(total, "node")
 
 
 def prefix_trie(turns: DataFrame) -> DataFrame:
