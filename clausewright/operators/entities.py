@@ -45,15 +45,13 @@ def decoded(raw: DataFrame) -> DataFrame:
     )
 
 
-def index_rows(cards: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Entities as the search sees them: codes for stored values, faces by class, clauses as one array by place.
+def faces(cards: DataFrame) -> DataFrame:
+    """Entities as the search sees them, without clauses: codes for stored values, faces by class.
 
-    ``cards``: decoded entities with alt_ids, name_zh, name_ja, name_en, body, rarity, points, ban_o, ban_t, ban_m;
-    ``clauses``: id, pos, section, label, text, kind, opt, role.
+    ``cards``: decoded entities with alt_ids, name_zh, name_ja, name_en, body, rarity, points, ban_o, ban_t, ban_m.
     """
     cat, subs = V.subtypes(F.col("type"))
     link = F.col("type").bitwiseAND(LINK) != 0
-    nested = clauses.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "section", "label", "text", "kind", "opt", "role"))).alias("clauses"))
     faced = cards.withColumn("cat", cat).withColumn("subs", subs)
     return faced.select(
         "id", "alt_ids", "name_zh", "name_ja", "name_en", alias_line(F.col("body")).alias("alias"), "body", "cat", "subs",
@@ -62,7 +60,13 @@ def index_rows(cards: DataFrame, clauses: DataFrame) -> DataFrame:
         F.when(F.col("link_marker").isNotNull(), V.LINK_MARKER.codes_of(F.col("link_marker"))).alias("markers"),
         "scale", "atk", "def", V.RARITY.code_of(F.col("rarity")).alias("rarity"), V.OT.code_of(F.col("ot")).alias("region"),
         "ban_o", "ban_t", "ban_m", F.when(F.col("points") != 0, F.col("points")).alias("points"),
-    ).join(nested, "id", "left").withColumn("clauses", F.coalesce("clauses", F.array().cast(nested.schema["clauses"].dataType)))
+    )
+
+
+def index_rows(cards: DataFrame, clauses: DataFrame) -> DataFrame:
+    """``faces`` of ``cards``, with clauses (id, pos, section, label, text, kind, opt, role) as one array by place."""
+    nested = clauses.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "section", "label", "text", "kind", "opt", "role"))).alias("clauses"))
+    return faces(cards).join(nested, "id", "left").withColumn("clauses", F.coalesce("clauses", F.array().cast(nested.schema["clauses"].dataType)))
 
 
 def ban_display(code: Column, released: Column) -> Column:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions.vocab import ATTR, CAT, RACE, SUB_M, SUB_S, SUB_T
-from clausewright.plans.lineage import checkpointed
+from clausewright.plans.lineage import checkpoint_path, checkpointed
 
 #: Sort keys with the direction that they begin with; the domain order has none.
 KEYS = {"dom": "", "atk": "desc", "df": "desc", "lv": "desc", "n": "asc", "id": "asc"}
@@ -62,12 +67,62 @@ def pages(total: int, size: int) -> int:
     return max(1, -(-total // size))
 
 
+#: Rows up to the end of a page that are found by a top-k; later pages are sought in sorted parts.
+TOP = 10_000
+
+
 def page(found: DataFrame, number: int, size: int, key: str | None = "dom", direction: str | None = None) -> DataFrame:
-    """One page; a number out of bounds is the nearest page. Only the rows up to its end are ordered: a top-k in each task."""
+    """One page; a number out of bounds is the nearest page. An early page is a top-k in each task, a later one is read from the parts of a range sort that hold it."""
     number = min(max(1, number), pages(found.count(), size))
+    if number * size > TOP:
+        return Sorted.of(found, *ordering(key, direction)).page(number, size)
     return sort(found, key, direction).offset((number - 1) * size).limit(size)
 
 
+@dataclass(frozen=True)
+class Sorted:
+    """Rows in a total order, stored in the parts of one range sort; ``counts``: rows of each part, as many numbers as there are parts."""
+
+    spark: SparkSession
+    path: str
+    counts: dict[int, int]
+    columns: list[str]
+
+    @classmethod
+    def of(cls, found: DataFrame, *order: Column) -> Sorted:
+        """Sorts once and writes to the checkpoint folder, in a folder a part, with each row's place in its part."""
+        path = f"{checkpoint_path(found.sparkSession)}/sorted-{uuid.uuid4().hex}"
+        at = F.monotonically_increasing_id()
+        rows = found.orderBy(*order).withColumn("_at", at)
+        rows.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(2**33 - 1)}).drop("_at").write.partitionBy("_part").parquet(path)
+        spark = found.sparkSession
+        try:
+            stored = spark.read.parquet(path)
+        except AnalysisException:  # no rows, no files
+            return cls(spark, path, {}, found.columns)
+        return cls(spark, path, {r["_part"]: r["n"] for r in stored.groupBy("_part").agg(F.count("*").alias("n")).collect()}, found.columns)
+
+    @property
+    def total(self) -> int:
+        return sum(self.counts.values())
+
+    def rows(self, first: int, last: int) -> DataFrame:
+        """Rows ``first`` to ``last`` - 1, in order, from the parts that hold them."""
+        low, wanted = 0, []
+        for part, n in sorted(self.counts.items()):
+            a, b = max(first - low, 0), min(last - low, n)
+            wanted += [(F.col("_part") == part) & (F.col("_place") >= a) & (F.col("_place") < b)] if a < b else []
+            low += n
+        stored = self.spark.read.parquet(self.path)
+        held = stored.where(reduce(lambda x, y: x | y, wanted)) if wanted else stored.where("false")
+        return held.orderBy("_part", "_place").select(*self.columns)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """A page; a number out of bounds is the nearest one."""
+        number = min(max(1, number), pages(self.total, size))
+        return self.rows((number - 1) * size, number * size)
+
+
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Rows with their place from 1: one range sort, whose parts are checkpointed with the places in them, and what the parts before hold added up; no task sees more than a part."""
     cut = checkpointed(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))  # part << 33 | place in it

@@ -6,7 +6,7 @@ Orders with their line items stand for entities with clauses, as do conversation
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from clausewright.functions import predicates as P
 from clausewright.functions import text as T
 from clausewright.functions.vocab import Domain, Member
 from clausewright.operators import batches, census, checks, entities, joins, merge, rules, sampling, splits
+from clausewright.plans import index as stored
 from clausewright.plans import order
 from clausewright.plans import query as search
 from clausewright.sources import pages as page_source
@@ -239,8 +240,9 @@ def sort_nulls_last_desc(t):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 100")
 def page_slice(t):
-    """The third page of 50."""
-    return t("orders").orderBy(F.col("o_totalprice").desc_nulls_last(), "o_orderkey").offset(100).limit(50).select("o_orderkey", "o_totalprice")
+    """The third page of 50, sought in a sort of all orders."""
+    held = order.Sorted.of(t("orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey"))
+    return held.page(3, 50)
 
 
 @query("SELECT p_partkey, ceil(row_number() OVER (ORDER BY p_retailprice, p_partkey) / 300)::BIGINT AS batch FROM part")
@@ -664,18 +666,37 @@ ent AS (SELECT *, p_partkey IS NULL AS no FROM (SELECT *, id AS p_partkey, id %
 _CODE_OF_FLAG = {"A": "t", "R": "q", "N": "c"}
 
 
-def _index(t) -> DataFrame:
-    """The stand-in entities as the search sees them."""
-    cards = entities.decoded(_raw(t)).select(
+def _cards(t) -> DataFrame:
+    return entities.decoded(_raw(t)).select(
         "*", F.array(F.col("id") + 1_000_000).alias("alt_ids"), F.col("name").alias("name_zh"), F.lit(None).cast("string").alias("name_ja"), F.upper("name").alias("name_en"), F.concat("name", F.lit("\n※"), "desc").alias("body"),
         F.element_at(F.array(*map(F.lit, ("N", "R", "SR", "UR"))), (F.col("id") % 4 + 1).cast("int")).alias("rarity"), (F.col("id") % 6).alias("points"), F.when(F.col("id") % 10 == 0, "f").alias("ban_o"), F.when(F.col("id") % 15 == 0, "l").alias("ban_t"), F.lit(None).cast("string").alias("ban_m"),
     )
+
+
+def _clauses(t) -> DataFrame:
     kind = F.element_at(F.create_map(*(F.lit(x) for p in _CODE_OF_FLAG.items() for x in p)), F.col("l_returnflag"))
-    lines = t("lineitem").select(
+    return t("lineitem").select(
         F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("pos"), F.lit("main").alias("section"), F.col("l_linenumber").cast("string").alias("label"), F.concat_ws(" ", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string")).alias("text"),
         kind.alias("kind"), F.when(kind.isin("t", "q"), F.when(F.col("l_linestatus") == "F", "m").otherwise("o")).alias("opt"), F.when(F.col("l_linenumber") == 1, "mat").alias("role"),
     )
-    return entities.index_rows(cards, lines)
+
+
+def _index(t) -> DataFrame:
+    """The stand-in entities as the search sees them, with their clauses in one array."""
+    return entities.index_rows(_cards(t), _clauses(t))
+
+
+#: Stored indexes of this process, by session and folder of the tables.
+_STORED: dict[tuple[str, str], stored.Index] = {}
+
+
+def _stored(t) -> stored.Index:
+    """The stored index of the stand-in entities, written when it is first asked for."""
+    spark, folder = t.args
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        _STORED[key] = stored.write(entities.faces(_cards(t)), _clauses(t), 8)
+    return _STORED[key]
 
 
 @query(f"WITH {_RAW_SQL} x AS (SELECT 1) SELECT id, type, atk AS atk_raw, CASE WHEN t < 3 THEN atk END AS atk, CASE WHEN t IN (0, 2) THEN def END AS def, CASE WHEN t < 3 THEN level END AS level, CASE WHEN t = 2 THEN scale END AS scale, CASE WHEN t = 1 THEN def END AS link_marker FROM ent")
@@ -704,14 +725,14 @@ _SEARCH = search.Condition(cat={"m": 1}, attr={"dark": -1}, atk=(500, None), tex
 @query(f"WITH {_RAW_SQL} {_FOUND_SQL} SELECT id, rows FROM found WHERE rows IS NOT NULL")
 def search_entities(t):
     """Conditions on entities, and a keyword, a kind and a value that must hold on one clause; materials are passed over by the keyword."""
-    return search.run(_index(t), _SEARCH).select("id", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
+    return _stored(t).run(_SEARCH).select("id", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
 
 
 @query(f"WITH {_RAW_SQL} x AS (SELECT 1) SELECT id FROM ent WHERE (t < 2 OR t = 3) AND (contains(p_name, 'a') OR contains(p_type, 'a')) AND id % 10 = 0 AND id % 4 IN (1, 2)")
 def search_by_name_and_lists(t):
     """Subtypes qualified by their category, a name or alias, a list and a rarity; no clause condition, so no rows."""
     q = search.Condition(name="a", sub={"m:normal": 1, "m:effect": 1, "s:quick": 1, "m:fusion": -1}, ban_o={"f": 1}, rarity={"R": 1, "SR": 1})
-    return search.run(_index(t), q).where("rows IS NULL").select("id")
+    return _stored(t).run(q).where("rows IS NULL").select("id")
 
 
 _FRAME_SQL = "CASE t WHEN 0 THEN 1 WHEN 1 THEN 6 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 2 END"
@@ -721,14 +742,41 @@ _DOMAIN_SQL = f"CASE WHEN t < 3 THEN 0 WHEN t = 3 THEN 1 ELSE 2 END, {_FRAME_SQL
 
 @query(f"WITH {_RAW_SQL} x AS (SELECT 1) SELECT id, row_number() OVER (ORDER BY {_DOMAIN_SQL})::BIGINT AS rank FROM ent")
 def search_domain_order(t):
-    """The domain order of seven levels over all entities."""
-    return order.ranked(_index(t).drop("clauses", "body"), *order.domain_key()).select("id", _long("rank").alias("rank"))
+    """The domain order of seven levels over all entities, as the index stores it."""
+    return _stored(t).entities.select("id", _long("rank").alias("rank"))
 
 
 @query(f"WITH {_RAW_SQL} x AS (SELECT 1) SELECT id, CASE WHEN t < 3 THEN atk END AS atk FROM ent ORDER BY CASE WHEN t < 3 AND atk >= 0 THEN atk END DESC NULLS LAST, {_DOMAIN_SQL} LIMIT 50 OFFSET 100")
 def search_page(t):
     """The third page of 50 by a statistic; unknown and absent ones last."""
-    return order.page(_index(t).drop("clauses", "body"), 3, 50, "atk", "desc").select("id", "atk")
+    return order.page(_stored(t).entities.drop("body"), 3, 50, "atk", "desc").select("id", "atk")
+
+
+@query(f"WITH {_RAW_SQL} x AS (SELECT 1) SELECT 'entities' AS part, count(*) AS n FROM ent UNION ALL SELECT 'clauses', count(*) FROM lineitem WHERE l_partkey % 97 <> 0 UNION ALL SELECT 'postings', count(DISTINCT (g, l_partkey)) FROM (SELECT l_partkey, unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) AS g FROM (SELECT l_partkey, l_returnflag || ' ' || l_linestatus || ' ' || l_quantity::INT AS x FROM lineitem WHERE l_partkey % 97 <> 0))")
+def search_index(t):
+    """Writing the index anew: rows of its tables, and ids in its postings."""
+    made = stored.write(entities.faces(_cards(t)), _clauses(t), 8)
+    counts = [("entities", made.entities.agg(F.count("*").alias("n"))), ("clauses", made.clauses.agg(F.count("*").alias("n"))), ("postings", made.postings.agg(F.sum(F.size("ids")).cast("long").alias("n")))]
+    _STORED[t.args[0].sparkContext.applicationId, t.args[1]] = made
+    return reduce(DataFrame.unionByName, [n.select(F.lit(part).alias("part"), "n") for part, n in counts])
+
+
+@query("SELECT l_partkey AS id, string_agg((l_orderkey * 10 + l_linenumber)::VARCHAR, ',' ORDER BY l_orderkey * 10 + l_linenumber) AS rows FROM lineitem WHERE l_partkey % 97 <> 0 AND regexp_matches(l_returnflag || ' ' || l_linestatus || ' ' || l_quantity::INT, 'N O.*3') GROUP BY l_partkey")
+def search_postings(t):
+    """A keyword of two parts on all clauses, materials too: the postings of its first part say which entities are looked at."""
+    found = _stored(t).run(search.Condition(text="N O%3", text_materials=True))
+    return found.select("id", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
+
+
+_LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (ORDER BY l_quantity DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS r, count(*) OVER () AS n FROM lineitem"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM ({_LINES}) WHERE r // 100 = (n * 9 // 10) // 100")
+def late_page(t):
+    """A page of 100 after nine tenths of all lines, which many share a quantity with, read from the parts of the sort that hold it."""
+    rows = t("lineitem").select("l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = order.Sorted.of(rows, F.col("l_quantity").desc_nulls_last(), *map(F.col, rows.columns[1:]))
+    return lines.page(lines.total * 9 // 10 // 100 + 1, 100).drop("l_quantity")
 
 
 @query(f"WITH {_RAW_SQL} x AS (SELECT 1) SELECT id, CASE WHEN id % 10 = 0 THEN 'f' WHEN ot = 2 THEN 'unreleased' ELSE 'free' END AS ban_o, CASE WHEN id % 15 = 0 THEN 'l' WHEN ot = 1 THEN 'unreleased' ELSE 'free' END AS ban_t, 'free' AS ban_m FROM ent WHERE id % 10 = 0 OR id % 15 = 0")
