@@ -6,9 +6,9 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clausewright.functions.vocab import ATTR, CAT, RACE, SUB_M, SUB_S, SUB_T
 from clausewright.plans.lineage import checkpoint_path, checkpointed
@@ -86,7 +86,7 @@ class Sorted:
     spark: SparkSession
     path: str
     counts: dict[int, int]
-    columns: list[str]
+    schema: StructType
 
     @classmethod
     def of(cls, found: DataFrame, *order: Column) -> Sorted:
@@ -94,13 +94,13 @@ class Sorted:
         path = f"{checkpoint_path(found.sparkSession)}/sorted-{uuid.uuid4().hex}"
         at = F.monotonically_increasing_id()
         rows = found.orderBy(*order).withColumn("_at", at)
-        rows.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(2**33 - 1)}).drop("_at").write.partitionBy("_part").parquet(path)
-        spark = found.sparkSession
-        try:
-            stored = spark.read.parquet(path)
-        except AnalysisException:  # no rows, no files
-            return cls(spark, path, {}, found.columns)
-        return cls(spark, path, {r["_part"]: r["n"] for r in stored.groupBy("_part").agg(F.count("*").alias("n")).collect()}, found.columns)
+        rows = rows.withColumns({"_place": F.col("_at").bitwiseAND(2**33 - 1), "_part": F.shiftright("_at", 33)}).drop("_at")
+        rows.write.partitionBy("_part").parquet(path)
+        counts = cls(found.sparkSession, path, {}, rows.schema).stored().groupBy("_part").agg(F.count("*").alias("n")).collect()
+        return cls(found.sparkSession, path, {r["_part"]: r["n"] for r in counts}, rows.schema)
+
+    def stored(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     @property
     def total(self) -> int:
@@ -113,9 +113,8 @@ class Sorted:
             a, b = max(first - low, 0), min(last - low, n)
             wanted += [(F.col("_part") == part) & (F.col("_place") >= a) & (F.col("_place") < b)] if a < b else []
             low += n
-        stored = self.spark.read.parquet(self.path)
-        held = stored.where(reduce(lambda x, y: x | y, wanted)) if wanted else stored.where("false")
-        return held.orderBy("_part", "_place").select(*self.columns)
+        held = self.stored().where(reduce(lambda x, y: x | y, wanted) if wanted else F.lit(False))
+        return held.orderBy("_part", "_place").drop("_part", "_place")
 
     def page(self, number: int, size: int) -> DataFrame:
         """A page; a number out of bounds is the nearest one."""
