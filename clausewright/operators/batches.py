@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as T
 from clausewright.operators.entities import card_type
+from clausewright.plans.lineage import checkpointed
 from clausewright.plans.order import ranked
+from clausewright.sources import json_array
 
 #: Entities of a batch, for clauses alone and for texts to be split.
 BATCH_SIZES = {"kind": 300, "split": 200}
@@ -28,7 +30,7 @@ def only(rows: DataFrame, ids: Sequence[int], key: str = "id") -> DataFrame:
     unknown = [r["_id"] for r in listed.join(rows.select(F.col(key).alias("_id")), "_id", "left_anti").distinct().orderBy("_id").collect()]  # of the list
     if unknown:
         raise KeyError(f"not among the rows: {', '.join(map(str, unknown))}")
-    return rows.join(F.broadcast(listed.distinct()), F.col(key) == F.col("_id"), "left_semi")
+    return rows.join(listed.distinct(), F.col(key) == F.col("_id"), "left_semi")
 
 
 def numbered_batches(rows: DataFrame, size: int, *order: Column, name: str = "batch") -> DataFrame:
@@ -100,3 +102,54 @@ def rejudgments(clauses: DataFrame, context: DataFrame, keys: Iterable[tuple[int
         raise KeyError("; ".join(f"{r['id']}:{r['section']}:{r['label']}: {r['why']}" for r in wrong))
     row = F.struct("pos", *_ROW, F.lit(True).alias("rejudge"), F.struct("kind", "optional", "role", "source").alias("current"))
     return rows.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("clauses")).join(context, "id", "left")
+
+
+class BatchRefused(ValueError):
+    """Why no batch is written."""
+
+
+def chosen_batches(payload: DataFrame, series: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """``batched`` payloads of the asked series (all, where none is named), the first ``limit`` batches of each, with ``remaining``: how many more its series has."""
+    unknown = sorted(set(series) - set(BATCH_SIZES))
+    if unknown:
+        raise BatchRefused(f"no such series: {', '.join(unknown)}")
+    rows = batched(payload.where(F.col("series").isin(*(series or BATCH_SIZES))))
+    rows = rows.withColumn("remaining", F.max("batch").over(Window.partitionBy("series")) - F.col("batch"))
+    return rows if limit is None else rows.where(F.col("batch") <= limit)
+
+
+def write_batches(payload: DataFrame, folder: str, series: Sequence[str] = (), limit: int | None = None, start: int = 1, name: str | None = None) -> list[str]:
+    """Writes each batch as a JSON array of its entities, ``<series>-<number>.json`` from ``start`` on, and returns the names.
+
+    ``name`` is for exactly one batch. A file that is there already is not overwritten: then, as where ``name`` meets more than one
+    batch, nothing is written at all.
+    """
+    rows = checkpointed(chosen_batches(payload, series, limit))
+    found = [(r["series"], r["batch"]) for r in rows.select("series", "batch").distinct().orderBy("series", "batch").collect()]  # a row a file
+    if name is not None and len(found) != 1:
+        raise BatchRefused(f"{name} names one batch, and there are {len(found)}")
+    files = {(s, n): f"{name or f'{s}-{n + start - 1:03d}'}.json" for s, n in found}
+    taken = [f for f in files.values() if json_array.exists(f"{folder}/{f}")]
+    if taken:
+        raise BatchRefused(f"there already: {', '.join(sorted(taken))}")
+    for (s, n), file in files.items():
+        part = rows.where((F.col("series") == s) & (F.col("batch") == n)).drop("batch", "series", "remaining").orderBy("id")
+        json_array.write(part, f"{folder}/{file}")
+    return sorted(files.values())
+
+
+def write_rejudgments(clauses: DataFrame, context: DataFrame, keys: str, folder: str, name: str | None, **others) -> str:
+    """Writes the batch of clauses that are to be judged again; ``keys``: ``id:section:label,...``. It goes by no series, so it needs a name and takes none of the flags of the others."""
+    if not name:
+        raise BatchRefused("a batch of rejudgments needs a name")
+    flags = sorted(k for k, v in others.items() if v)
+    if flags:
+        raise BatchRefused(f"clauses are named one by one, so these do not go with it: {', '.join(flags)}")
+    parsed = parse_keys(keys)
+    if parsed is None:
+        raise BatchRefused("keys are id:section:label, joined by commas")
+    path = f"{folder}/{name}.json"
+    if json_array.exists(path):
+        raise BatchRefused(f"there already: {name}.json")
+    json_array.write(rejudgments(clauses, context, parsed).orderBy("id"), path)
+    return f"{name}.json"

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.operators import versions
 from clausewright.plans.lineage import checkpointed
 
 
@@ -53,7 +54,8 @@ def overridden(base: DataFrame, overrides: DataFrame, key: str, value: str) -> D
 
 
 def mapping_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """key, old, new, change: added, removed or changed; nothing for equal values."""
+    """key, old, new, change: added, removed or changed; nothing for equal values. Only the buckets whose digests differ are joined."""
+    old, new = versions.narrowed(old.select(key, value), new.select(key, value), [key]) or (old.limit(0), new.limit(0))
     both = old.select(key, F.col(value).alias("old"), F.lit(True).alias("_o")).join(new.select(key, F.col(value).alias("new"), F.lit(True).alias("_n")), key, "full")
     change = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return both.withColumn("change", change).where("change IS NOT NULL").select(key, "old", "new", "change")
@@ -65,8 +67,12 @@ def only_grew(diff: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str] | None = None) -> DataFrame:
-    """key, change (added or changed), fields: sorted names of fields that differ. Rows that are gone are passed over."""
+    """key, change (added or changed), fields: sorted names of fields that differ. Rows that are gone are passed over.
+
+    Digests of buckets are compared first; only the rows of buckets that differ are joined.
+    """
     fields = [f for f in (fields or new.columns) if f != key]
+    old, new = versions.narrowed(old.select(key, *fields), new.select(key, *fields), [key]) or (old.limit(0), new.limit(0))
     before = old.select(F.col(key).alias("_key"), *(F.col(f).alias(f"_{f}") for f in fields))
     both = new.select(key, *fields).join(before, F.col(key) == F.col("_key"), "left")
     differing = F.array_sort(F.array_compact(F.array(*(F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), f) for f in fields))))
