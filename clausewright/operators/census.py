@@ -44,7 +44,7 @@ def index_census(index: DataFrame) -> DataFrame:
     domains["cat"] = (of("cat"), [m.code for m in DOMAINS["cat"].members])
     domains["lm"] = (F.col("markers"), [m.code for m in DOMAINS["lm"].members])
     subs = {f"sub_{s}": (F.when(F.col("cat") == s, F.col("subs")), [m.code for m in DOMAINS[f"sub_{s}"].members]) for s in ("m", "s", "t")}
-    clauses = {name: (F.array_compact(F.transform("clauses", lambda c, c_=c: c[c_])), [m.code for m in DOMAINS[name].members]) for name, c in (("kind", "kind"), ("optional", "opt"), ("role", "role"))}
+    clauses = {name: (F.array_compact(F.col(f"clauses.{c}")), [m.code for m in DOMAINS[name].members]) for name, c in (("kind", "kind"), ("optional", "opt"), ("role", "role"))}
     return census_all(index, domains | subs | clauses)
 
 

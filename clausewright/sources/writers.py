@@ -68,7 +68,8 @@ def write_index(checked: DataFrame, path: str) -> int:
     """
     spark = checked.sparkSession
     told = Observation()
-    counts = {n: F.sum(F.size(F.filter("problems", lambda p, n=n: p["check"] == n))) for n in INDEX_CHECKS}
+    of = lambda name: F.sum(F.size(F.filter("problems", lambda p: p["check"] == name)))
+    counts = {n: of(n) for n in INDEX_CHECKS}
     seen = checked.observe(told, F.count("id").alias("rows"), *(c.alias(n) for n, c in counts.items()))
     staged = f"{path}.tmp-{uuid.uuid4().hex}"
     seen.where("id IS NOT NULL").drop("card_id", "problems").write.parquet(staged)
