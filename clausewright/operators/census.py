@@ -22,30 +22,33 @@ def census(rows: DataFrame, codes: Column, members: Sequence[str], no_value: boo
     return known.unionByName(none)
 
 
+def or_none(codes: Column) -> Column:
+    """An array of codes; one null where there are none, so that the row counts as one without a value."""
+    return F.when(F.coalesce(F.size(codes), F.lit(0)) > 0, codes).otherwise(F.array(F.lit(None).cast("string")))
+
+
 def census_all(rows: DataFrame, domains: Mapping[str, tuple[Column, Sequence[str]]]) -> DataFrame:
     """domain, code, n for every member of every domain, 0 included, and of no value (code null) for each domain: one pass over the rows and one sum.
 
-    ``domains``: name: (codes, members); ``codes``: an array column; a row whose array is null or empty has no value.
+    ``domains``: name: (codes, members); ``codes``: an array column, whose nulls are counted as no value. Codes that are no members are not counted.
     """
     spark = rows.sparkSession
-    listed = spark.createDataFrame([(name, k, code) for name, (_, members) in domains.items() for k, code in enumerate([*members, None])], "domain string, rank int, code string")
-    one = lambda name, codes: F.transform(F.when(F.coalesce(F.size(codes), F.lit(0)) > 0, codes).otherwise(F.array(F.lit(None).cast("string"))), lambda c: F.struct(F.lit(name).alias("domain"), c.alias("code")))
-    pairs = rows.select(F.explode(F.concat(*(one(name, codes.cast("array<string>")) for name, (codes, _) in domains.items()))).alias("p"))
-    counts = pairs.groupBy("p.domain", "p.code").agg(F.count("*").alias("n"))
-    there = listed.join(counts.withColumnsRenamed({"domain": "_domain", "code": "_code"}), (F.col("domain") == F.col("_domain")) & F.col("code").eqNullSafe(F.col("_code")), "left")
+    listed = spark.createDataFrame([(name, code) for name, (_, members) in domains.items() for code in [*members, None]], "domain string, code string")
+    one = lambda name, codes: F.transform(codes.cast("array<string>"), lambda c: F.struct(F.lit(name).alias("domain"), c.alias("code")))
+    empty = F.array().cast("array<struct<domain:string,code:string>>")
+    pairs = rows.select(F.explode(F.concat(*(F.coalesce(one(name, codes), empty) for name, (codes, _) in domains.items()))).alias("p"))
+    counts = pairs.groupBy("p.domain", "p.code").agg(F.count("*").alias("n")).withColumnsRenamed({"domain": "_domain", "code": "_code"})
+    there = listed.join(counts, (F.col("domain") == F.col("_domain")) & F.col("code").eqNullSafe(F.col("_code")), "left")
     return there.select("domain", "code", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def index_census(index: DataFrame) -> DataFrame:
-    """domain, code, n of index rows (``entities.index_rows``): entities by their codes, clauses by theirs; unknown codes are no members and do not count as no value."""
-    single = {"attr": "attr", "race": "race", "rarity": "rarity", "ot": "region", "ban_o": "ban_o", "ban_t": "ban_t", "ban_m": "ban_m"}
-    of = lambda c: F.array_compact(F.array(F.col(c)))
-    domains = {name: (of(c), [m.code for m in DOMAINS[name].members]) for name, c in single.items()}
-    domains["cat"] = (of("cat"), [m.code for m in DOMAINS["cat"].members])
-    domains["lm"] = (F.col("markers"), [m.code for m in DOMAINS["lm"].members])
-    subs = {f"sub_{s}": (F.when(F.col("cat") == s, F.col("subs")), [m.code for m in DOMAINS[f"sub_{s}"].members]) for s in ("m", "s", "t")}
-    clauses = {name: (F.array_compact(F.col(f"clauses.{c}")), [m.code for m in DOMAINS[name].members]) for name, c in (("kind", "kind"), ("optional", "opt"), ("role", "role"))}
-    return census_all(index, domains | subs | clauses)
+    """domain, code, n of index rows (``entities.index_rows``): entities by their own codes, clauses by theirs. No value: entities without a code of an axis, and clauses without one of theirs; subtypes have none."""
+    single = {"cat": "cat", "attr": "attr", "race": "race", "rarity": "rarity", "ot": "region", "ban_o": "ban_o", "ban_t": "ban_t", "ban_m": "ban_m"}
+    codes = {name: or_none(F.array_compact(F.array(F.col(c)))) for name, c in single.items()} | {"lm": or_none(F.col("markers"))}
+    codes |= {f"sub_{s}": F.when(F.col("cat") == s, F.col("subs")) for s in ("m", "s", "t")}
+    codes |= {name: F.col(f"clauses.{c}") for name, c in (("kind", "kind"), ("optional", "opt"), ("role", "role"))}
+    return census_all(index, {name: (c, [m.code for m in DOMAINS[name].members]) for name, c in codes.items()})
 
 
 def bucketed(rows: DataFrame, column: str, missing: str = "null") -> DataFrame:
