@@ -95,15 +95,24 @@ def sections(body: Column) -> Column:
     return F.when(F.instr(body, HEAD_PENDULUM) == 0, F.array(one("main", body))).when(kind == "", F.array(one("pendulum", pend))).when(kind.isin(*FLAVOR_HEADS), F.array(one("pendulum", F.get(parts, 0)))).otherwise(both)
 
 
-def deduplicated_labels(labels: Column) -> Column:
-    """Labels in order, repeated ones with the next free -k, k from 2."""
+def _free(labels: list[str]) -> list[str]:
+    seen: set[str] = set()
+    tried: dict[str, int] = {}
+    out = []
+    for label in labels:
+        name = label
+        while name in seen:
+            tried[label] = tried.get(label, 1) + 1
+            name = f"{label}-{tried[label]}"
+        seen.add(name)
+        out.append(name)
+    return out
 
-    def step(done: Column, label: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(2), F.size(done) + 2), lambda k: F.concat(label, F.lit("-"), k.cast("string")))
-        free = F.get(F.filter(tries, lambda t: ~F.array_contains(done, t)), 0)
-        return F.concat(done, F.array(F.when(F.array_contains(done, label), free).otherwise(label)))
 
-    return F.aggregate(labels, F.array().cast("array<string>"), step)
+@F.pandas_udf(ArrayType(StringType()))
+def deduplicated_labels(labels: pd.Series) -> pd.Series:
+    """Labels in order, repeated ones with the next free -k, k from 2."""
+    return labels.map(lambda x: None if x is None else _free(list(x)))
 
 
 # Coverage

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as T
+from clausewright.plans.lineage import checkpointed
 
 # The words that state a kind, and marks of statements that do not count.
 KIND_WORDS = {"誘発即時効果": "q", "誘発効果": "t", "起動効果": "i", "永続効果": "c"}
@@ -151,6 +152,7 @@ def attest(supplements: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataF
     silent = F.struct(F.transform(passages, lambda c: c["label"]).alias("labels"), F.when(F.size(passages) > 0, "non_effect").alias("ladder"), F.when(F.size(passages) == 0, "non_effect_outside_preamble").alias("note"))
     unclear = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("ladder"), F.lit("kind_ambiguous").alias("note"))
     rows = rows.withColumn("t", F.when(F.col("no_effect"), silent).when(F.size("kinds") > 1, unclear).otherwise(_targets()))
+    rows = checkpointed(rows.select("id", "section", "pos", "line", "kinds", "mandatory", "no_effect", "t"))  # both results are made of it
     kind = F.when(F.col("no_effect"), "x").otherwise(F.get("kinds", 0))
     deferred = F.when((F.size("kinds") == 0) & ~F.col("no_effect"), "mandatory_deferred").otherwise(F.col("t")["note"])
     notes = rows.where("t.note IS NOT NULL").select("id", "section", "pos", deferred.alias("note"), "line")
