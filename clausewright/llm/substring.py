@@ -183,7 +183,7 @@ def _indexed_pieces(width: int):
                 same = key ^ _piece_hash(runs.hashes, at, words)
                 order = np.argsort(same, kind="stable")
                 first = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1]))) if len(order) else order
-                owner = part.column("doc_id").to_numpy(zero_copy_only=False)[doc][order]
+                owner = pc.fill_null(part.column("doc_id"), 0).to_numpy()[doc][order]  # rows without an id have no pieces
                 low, high = ((f.reduceat(owner, first) if len(first) else owner).astype(np.int64) for f in (np.minimum, np.maximum))
                 keep = order[first]
                 key, at, words = key[keep].view(np.int64), at[keep], words[keep]
