@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from clausewright.functions import predicates as P
 from clausewright.functions.vocab import KIND, OPTIONAL
 from clausewright.plans import order
+from clausewright.plans.lineage import checkpoint_path
 from clausewright.plans.query import Condition, entity_predicate
 
 #: Ids that one row of postings may hold.
 BLOCK = 4096
 SIGNS = 3
+PARTS = ("entities", "clauses", "postings")
 
 
 def triples(text: Column) -> Column:
@@ -43,6 +45,8 @@ class Index:
 
     spark: SparkSession
     name: str
+    folder: str
+    buckets: int
 
     @property
     def entities(self) -> DataFrame:
@@ -57,7 +61,8 @@ class Index:
         return self.spark.table(f"{self.name}_postings")
 
     def drop(self) -> None:
-        for part in ("entities", "clauses", "postings"):
+        """Takes the tables out of the session's catalog; their files stay."""
+        for part in PARTS:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
 
     def candidates(self, keyword: str) -> DataFrame | None:
@@ -106,15 +111,34 @@ def posted(clauses: DataFrame) -> DataFrame:
     return each.groupBy("gram", F.expr(f"floor(id / {BLOCK})").alias("block")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def write(entities: DataFrame, clauses: DataFrame, buckets: int = 64, name: str | None = None) -> Index:
-    """Writes the tables. ``entities``: ``entities.faces`` of all entities; ``clauses``: id, pos, section, label, text, kind, opt, role; a clause of no entity is left out."""
+def write(entities: DataFrame, clauses: DataFrame, buckets: int = 64, folder: str | None = None) -> Index:
+    """Writes the tables under ``folder`` (by default one of its own in the checkpoint folder, which all executors share).
+
+    ``entities``: ``entities.faces`` of all entities; ``clauses``: id, pos, section, label, text, kind, opt, role; a clause of no
+    entity is left out.
+    """
     spark = entities.sparkSession
-    index = Index(spark, name or f"index_{uuid.uuid4().hex}")
-    ranked = order.ranked(entities, *order.domain_key())
-    ranked.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").format("parquet").saveAsTable(f"{index.name}_entities")
+    name = f"index_{uuid.uuid4().hex}"
+    index = Index(spark, name, folder or f"{checkpoint_path(spark)}/{name}", buckets)
+
+    def save(rows: DataFrame, part: str, bucketed: bool = True) -> None:
+        out = rows.write.format("parquet").option("path", f"{index.folder}/{part}")
+        (out.bucketBy(buckets, "id").sortBy("id") if bucketed else out).saveAsTable(f"{name}_{part}")
+
+    save(order.ranked(entities, *order.domain_key()).repartition(buckets, "id"), "entities")
     typed = clauses.join(index.entities.select("id", "cat", "subs"), "id")
     shown = P.kind_at(F.col("kind"), F.col("cat"), F.col("subs"), KIND.own)
     rows = typed.select("id", "pos", "section", "label", "text", "kind", "opt", "role", shown.alias("shown"), P.optional_at(F.col("kind"), F.col("opt"), OPTIONAL.combos).alias("codes"))
-    rows.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").format("parquet").saveAsTable(f"{index.name}_clauses")
-    posted(index.clauses).repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.format("parquet").saveAsTable(f"{index.name}_postings")
+    save(rows.repartition(buckets, "id"), "clauses")
+    save(posted(index.clauses).repartitionByRange("gram", "block").sortWithinPartitions("gram", "block"), "postings", False)
+    return index
+
+
+def opened(spark: SparkSession, folder: str, buckets: int) -> Index:
+    """The index that another session has written to ``folder`` with so many buckets."""
+    index = Index(spark, f"index_{uuid.uuid4().hex}", folder, buckets)
+    for part in PARTS:
+        columns = spark.read.parquet(f"{folder}/{part}")._jdf.schema().toDDL()
+        dealt = "" if part == "postings" else f"CLUSTERED BY (id) SORTED BY (id) INTO {buckets} BUCKETS"
+        spark.sql(f"CREATE TABLE {index.name}_{part} ({columns}) USING parquet {dealt} LOCATION '{folder}/{part}'")
     return index

@@ -61,6 +61,16 @@ def test_clause_texts_do_not_move(both, spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_an_index_is_opened_again(both, spark):
+    _, made = both
+    again = stored.opened(spark, made.folder, made.buckets)
+    q = Condition(text="abc", kind={"t": 1})
+    assert sorted(r["id"] for r in again.run(q).collect()) == sorted(r["id"] for r in made.run(q).collect())
+    assert "Bucketed: true" in again.run(q)._jdf.queryExecution().executedPlan().toString()
+    again.drop()
+    assert made.entities.count() == 301
+
+
 def test_rank_is_the_domain_order(both):
     nested, made = both
     want = [r["id"] for r in order.sort(nested).select("id").collect()]
