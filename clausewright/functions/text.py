@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,7 +74,9 @@ def segments(text: Column) -> Column:
     parts = F.filter(F.transform(F.split(text, cut), trimmed), lambda p: p != "")
     numbered = text.rlike(rf"(?:\A|\n)[{NUMERALS}]|[{NUMERALS}]：")
     starts = lambda p: F.substring(p, 1, 1).isin(list(NUMERALS))
-    return F.transform(parts, lambda p, i: F.struct(i.alias("pos"), F.when(~numbered, "1").when(starts(p), F.substring(p, 1, 1)).otherwise("0").alias("label"), p.alias("text")))
+    one = lambda label: F.transform(parts, lambda p, i: F.struct(i.alias("pos"), label(p).alias("label"), p.alias("text")))
+    # Asked once a text: inside the lambda it would be asked of the whole text for every part.
+    return F.when(numbered, one(lambda p: F.when(starts(p), F.substring(p, 1, 1)).otherwise("0"))).when(~numbered, one(lambda p: F.lit("1")))
 
 
 def lines(text: Column) -> Column:
@@ -193,26 +197,48 @@ def _outside(text: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def outside_parentheses(text: pd.Series) -> pd.Series:
-    """What lies in no parentheses; a closing one without its opening is kept."""
+def _outside_each(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else _outside(t))
 
 
+def _opens(text: Column) -> Column:
+    return F.contains(text, F.lit(_OPEN[0])) | F.contains(text, F.lit(_OPEN[1]))
+
+
+def _where_open(counted: Callable[[Column], Column], text: Column, plain: Column) -> Column:
+    """``counted`` of texts with an opening parenthesis, which alone are handed to Python; ``plain`` of the others."""
+    return F.when(_opens(text), counted(F.when(_opens(text), text))).otherwise(plain)
+
+
+def outside_parentheses(text: Column | str) -> Column:
+    """What lies in no parentheses; a closing one without its opening is kept."""
+    text = F.col(text) if isinstance(text, str) else text
+    return _where_open(_outside_each, text, text)
+
+
+_MARK = re.compile(f"[{_OPEN}{_CLOSE}。]")
+
+
 def _sentence(text: str) -> str:
     depth = 0
-    for at, sign in enumerate(text):
-        depth += (sign in _OPEN) - (sign in _CLOSE and depth > 0)
-        if sign == "。" and not depth:
-            return text[:at]
+    for m in _MARK.finditer(text):
+        depth += (m[0] in _OPEN) - (m[0] in _CLOSE and depth > 0)
+        if m[0] == "。" and not depth:
+            return text[: m.start()]
     return text
 
 
 @F.pandas_udf(StringType())
-def first_sentence(text: pd.Series) -> pd.Series:
-    """Up to the first full stop that lies in no parentheses."""
+def _sentence_each(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else _sentence(t))
 
 
+def first_sentence(text: Column | str) -> Column:
+    """Up to the first full stop that lies in no parentheses."""
+    text = F.col(text) if isinstance(text, str) else text
+    return _where_open(_sentence_each, text, F.substring_index(text, "。", 1))
+
+
 def activation_clause(text_ja: Column) -> Column:
     """The first sentence of a clause, without its label and without remarks in parentheses at its end; null where nothing is left."""
     bare = F.regexp_replace(trimmed(text_ja), rf"\A(?:[{NUMERALS}][：:]*|{BULLET})(?U)\s*", "")
@@ -220,9 +246,9 @@ def activation_clause(text_ja: Column) -> Column:
     return F.nullif(trimmed(head), F.lit(""))
 
 
-def optional_by_rule(text_ja: Column) -> Column:
-    """o (the player may) or m (mandatory) by the end of the activation clause; null where it tells nothing."""
-    clause = activation_clause(text_ja)
+def optional_by_rule(text_ja: Column, activation: Column | None = None) -> Column:
+    """o (the player may) or m (mandatory) by the end of the activation clause, which is made of the text if it is not given; null where it tells nothing."""
+    clause = activation_clause(text_ja) if activation is None else activation
     return F.when(clause.rlike(r"(できる|できます)\z"), "o").when(clause.rlike(r"(?<!た)事で"), "o").when(F.contains(clause, F.lit("発動")), "m")
 
 

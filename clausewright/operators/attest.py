@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as T
-from clausewright.plans.lineage import checkpointed
+from clausewright.plans.lineage import stored
 
 # The words that state a kind, and marks of statements that do not count.
 KIND_WORDS = {"誘発即時効果": "q", "誘発効果": "t", "起動効果": "i", "永続効果": "c"}
@@ -134,15 +134,17 @@ def attest(supplements: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataF
     assigned: id, section, label, kind (null where only the flag is stated), ladder, mandatory; notes: id, section, pos,
     note, line. Clauses labelled 0 or 0-k are preambles, which only statements that a passage is no effect reach.
     """
+    lines = statements(supplements)
+    lines = lines.withColumns({"kinds": stated_kinds(F.col("line")), "mandatory": states_mandatory(F.col("line")), "outside": T.outside_parentheses("line"), "quoted_raw": T.quotes(F.col("line")), "heading_raw": T.quotes(F.coalesce("heading", F.lit("")))})
+    lines = lines.withColumns({"quoted": T.normalised_each(F.col("quoted_raw")), "heading_quotes": T.normalised_each(F.col("heading_raw")), "no_effect": F.col("outside").rlike(NON_EFFECT)})
+    lines = stored(lines.where("no_effect OR mandatory OR size(kinds) > 0"))
+    clauses = clauses.join(lines.select("id", "section").distinct(), ["id", "section"], "left_semi")  # no others are spoken of
     grant = F.when(F.contains("text_ja", F.lit(T.BULLET)) & F.split("text_ja", T.BULLET)[0].rlike(GRANT), F.split("text_ja", T.BULLET)[0]).otherwise("")
     told = clauses.select("id", "section", F.struct("pos", "label", T.normalised(F.coalesce("text_ja", F.lit(""))).alias("norm"), F.coalesce("unsplit", F.lit(False)).alias("unsplit"), T.normalised(grant).alias("lead")).alias("c"))
     preamble = lambda c: c["label"].rlike(r"\A0(-.*)?\z")
     nested = told.groupBy("id", "section").agg(F.array_sort(F.collect_list("c")).alias("all"))
     nested = nested.select("id", "section", F.filter("all", lambda c: ~preamble(c)).alias("effects"), F.filter("all", preamble).alias("preambles"))
-    rows = statements(supplements).join(nested, ["id", "section"])
-    rows = rows.withColumns({"kinds": stated_kinds(F.col("line")), "mandatory": states_mandatory(F.col("line")), "outside": T.outside_parentheses("line"), "quoted_raw": T.quotes(F.col("line")), "heading_raw": T.quotes(F.coalesce("heading", F.lit("")))})
-    rows = rows.withColumns({"quoted": T.normalised_each(F.col("quoted_raw")), "heading_quotes": T.normalised_each(F.col("heading_raw")), "no_effect": F.col("outside").rlike(NON_EFFECT)})
-    rows = rows.where("no_effect OR mandatory OR size(kinds) > 0")
+    rows = lines.join(nested, ["id", "section"])
 
     said = F.when(F.size("quoted") > 0, F.col("quoted")).otherwise(F.col("heading_quotes"))
     hit = F.filter("preambles", lambda c: F.exists(said, lambda q: (q != "") & F.contains(c["norm"], q)))
@@ -152,7 +154,7 @@ def attest(supplements: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataF
     silent = F.struct(F.transform(passages, lambda c: c["label"]).alias("labels"), F.when(F.size(passages) > 0, "non_effect").alias("ladder"), F.when(F.size(passages) == 0, "non_effect_outside_preamble").alias("note"))
     unclear = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("ladder"), F.lit("kind_ambiguous").alias("note"))
     rows = rows.withColumn("t", F.when(F.col("no_effect"), silent).when(F.size("kinds") > 1, unclear).otherwise(_targets()))
-    rows = checkpointed(rows.select("id", "section", "pos", "line", "kinds", "mandatory", "no_effect", "t"))  # both results are made of it
+    rows = stored(rows.select("id", "section", "pos", "line", "kinds", "mandatory", "no_effect", "t"))  # both results are made of it
     kind = F.when(F.col("no_effect"), "x").otherwise(F.get("kinds", 0))
     deferred = F.when((F.size("kinds") == 0) & ~F.col("no_effect"), "mandatory_deferred").otherwise(F.col("t")["note"])
     notes = rows.where("t.note IS NOT NULL").select("id", "section", "pos", deferred.alias("note"), "line")

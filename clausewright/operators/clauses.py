@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from clausewright.functions import spans as S
 from clausewright.functions import text as T
@@ -215,15 +215,15 @@ def bullet_authority(clauses: DataFrame, supplements: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
-def split_bullets(clauses: DataFrame, supplements: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_bullets(clauses: DataFrame, supplements: DataFrame, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(clauses, problems): bullets that official texts allow cut off as clauses label-●1, label-●2 and so on.
 
     A clause stays whole, with a problem (id, section, label, problem), where both languages do not have as many bullets, where the
-    parts are not the text, or where a quote would be cut apart.
+    parts are not the text, or where a quote would be cut apart. ``allowed``: the keys by ``bullet_authority``, where they are known.
     """
-    allowed = bullet_authority(clauses, supplements).select("id", "section", "label").distinct().withColumn("allowed", F.lit(True))
-    rows = clauses.join(allowed, ["id", "section", "label"], "left").join(supplements.select("id", "section", "supplement"), ["id", "section"], "left")
-    rows = rows.withColumn("b", F.when(F.col("allowed"), _bullet_parts("text_zh", "text_ja", "supplement")))
+    allowed = bullet_authority(clauses, supplements).select("id", "section", "label").distinct() if allowed is None else allowed
+    rows = clauses.join(allowed.withColumn("allowed", F.lit(True)), ["id", "section", "label"], "left").join(supplements.select("id", "section", "supplement"), ["id", "section"], "left")
+    rows = rows.withColumn("b", F.when(F.col("allowed"), _bullet_parts(*(F.when(F.col("allowed"), F.col(c)) for c in ("text_zh", "text_ja", "supplement")))))
     problems = rows.where("b.problem IS NOT NULL").select("id", "section", "label", "b.problem")
     whole = F.array(F.struct(F.lit(0).alias("k"), F.col("text_zh").alias("zh"), F.col("text_ja").alias("ja")))
     parts = F.filter(F.transform("b.parts", lambda x, k: F.struct(k.alias("k"), x["zh"].alias("zh"), x["ja"].alias("ja"))), lambda x: (x["zh"] != "") | (x["ja"] != ""))
@@ -234,7 +234,26 @@ def split_bullets(clauses: DataFrame, supplements: DataFrame) -> tuple[DataFrame
     return cut.select("id", "section", label.alias("label"), F.col("x.zh").alias("text_zh"), F.col("x.ja").alias("text_ja"), *hashed, *others), problems
 
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def _lacks(body: pd.Series, parts: pd.Series) -> pd.Series:
+    """Of each part whether the text lacks it; each is sought from the end of the one before, then from the start, so parts in order take one pass."""
+
+    def one(text: str | None, parts) -> list[bool | None]:
+        at, out = 0, []
+        for p in parts:
+            found = None if text is None or p is None else max(text.find(p, at), text.find(p) if text.find(p, at) < 0 else -1)
+            out.append(None if found is None else found < 0)
+            at = at if found is None or found < 0 else found + len(p)
+        return out
+
+    return pd.Series([one(t, p) for t, p in zip(body, parts, strict=True)], dtype=object)
+
+
 def substring_faults(clauses: DataFrame, entities: DataFrame) -> DataFrame:
-    """Clauses whose text is not a part of the entity's text, blanks aside."""
-    joined = clauses.join(entities.select("id", "body"), "id")
-    return joined.where(~F.contains(T.without_blanks(F.col("body")), T.without_blanks(F.col("text_zh")))).drop("body")
+    """Clauses whose text is not a part of the entity's text, blanks aside. An entity's text is looked at once for all its clauses."""
+    held = clauses.select("id", F.struct(*clauses.columns).alias("c"), T.without_blanks(F.col("text_zh")).alias("t"))
+    nested = held.groupBy("id").agg(F.collect_list(F.struct("c", "t")).alias("all"))
+    joined = nested.join(entities.select("id", T.without_blanks(F.col("body")).alias("body")), "id")
+    lacking = joined.select("all", _lacks("body", F.transform("all", lambda x: x["t"])).alias("lacks"))
+    each = lacking.select(F.explode(F.arrays_zip("all", "lacks")).alias("x")).where("x.lacks")
+    return each.select("x.all.c.*")

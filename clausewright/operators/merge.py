@@ -119,16 +119,16 @@ ACTIVATED = ("q", "t")
 CARRIED = tuple(k for k in OPTIONAL.carriers if k not in ACTIVATED)
 
 
-def optional_by_rule(text_ja: Column, unsplit: Column) -> Column:
+def optional_by_rule(text_ja: Column, unsplit: Column, activation: Column | None = None) -> Column:
     """struct<value, reason>: the value by the activation clause, or why there is none: unsplit (the first sentence of a text that is not yet cut need not be one), no_text or no_activation."""
     bare = F.coalesce(text_ja, F.lit("")) == ""
     whole = F.coalesce(unsplit, F.lit(False))
-    value = F.when(~whole & ~bare, T.optional_by_rule(text_ja))
+    value = F.when(~whole & ~bare, T.optional_by_rule(text_ja, activation))
     return F.struct(value.alias("value"), F.when(value.isNull(), F.when(whole, "unsplit").when(bare, "no_text").otherwise("no_activation")).alias("reason"))
 
 
-def optionals(clauses: DataFrame) -> DataFrame:
-    """Clauses (kind, text_ja, unsplit, mandatory, judged_optional) with ``optional``, and how it came about.
+def optionals(clauses: DataFrame, rule: Column | None = None) -> DataFrame:
+    """Clauses (kind, text_ja, unsplit, mandatory, judged_optional; no texts where ``optional_by_rule`` is given as ``rule``) with ``optional``, and how it came about.
 
     optional_by: official (text that says that it is mandatory), llm or rule; null where there is no value. pending: why an activated
     clause has none. dropped: array of what is left out, mandatory_kind_unknown or mandatory_other_kind (official text says mandatory of
@@ -136,7 +136,7 @@ def optionals(clauses: DataFrame) -> DataFrame:
     official text says mandatory: agree, disagree, or why it says nothing.
     """
     kind, must, told = F.col("kind"), F.coalesce("mandatory", F.lit(False)), F.col("judged_optional")
-    rule = optional_by_rule(F.col("text_ja"), F.col("unsplit"))
+    rule = optional_by_rule(F.col("text_ja"), F.col("unsplit")) if rule is None else rule
     activated, carried = (F.coalesce(kind.isin(*kinds), F.lit(False)) for kinds in (ACTIVATED, CARRIED))
     value = F.when(activated | carried, F.when(must, "m").otherwise(F.coalesce(told, F.when(activated, F.col("_rule")["value"]))))
     by = F.when(activated | carried, F.when(must, "official").when(told.isNotNull(), "llm").when(activated & F.col("_rule")["value"].isNotNull(), "rule"))

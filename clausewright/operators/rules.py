@@ -105,12 +105,12 @@ def covered(df: DataFrame, hits: str = "hits") -> DataFrame:
     return df.select(F.explode(hits).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-def predict(df: DataFrame, rules: Sequence[Rule] = RULES, least: int = MIN_COVERAGE, hits: str = "hits") -> DataFrame:
+def predict(df: DataFrame, rules: Sequence[Rule] = RULES, least: int = MIN_COVERAGE, hits: str = "hits", over: DataFrame | None = None) -> DataFrame:
     """``df`` with ``predicted``: the kind that all met rules of enough coverage agree on; null where there is none or they differ.
 
-    Coverage is a count over all clauses; which rules have enough of it is at most one id a rule, so it goes into the plan.
+    Coverage is a count over all clauses (``over``, where these are to be read without their texts); which rules have enough of it is at most one id a rule, so it goes into the plan.
     """
-    enough = {r["rule"] for r in covered(df, hits).where(F.col("n") >= least).collect()}
+    enough = {r["rule"] for r in covered(df if over is None else over, hits).where(F.col("n") >= least).collect()}
     said = F.array_compact(F.array(*(F.when(F.array_contains(hits, r.id), r.kind) for r in active(rules) if r.id in enough))) if enough else F.array().cast("array<string>")
     said = F.array_distinct(said)
     return df.withColumn("predicted", F.when(F.size(said) == 1, F.get(said, 0)))

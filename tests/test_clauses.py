@@ -29,3 +29,11 @@ def test_build(spark):
     assert clauses.substring_faults(out, entities).count() == 0
     assigned, _ = attest.attest(said, out)
     assert [(r["label"], r["kind"]) for r in assigned.collect()] == [("①-●1", "c")]
+
+
+def test_faults_in_any_order(spark):
+    body = "甲 乙\n丙丁。戊"
+    parts = ["丙丁。", "甲乙", "乙丙", "無", "", "戊", None]
+    rows = spark.createDataFrame([(1, str(i), p) for i, p in enumerate(parts)] + [(2, "0", "甲"), (3, "0", "甲")], "id long, label string, text_zh string")
+    entities = spark.createDataFrame([(1, body), (2, None)], "id long, body string")
+    assert [tuple(r) for r in clauses.substring_faults(rows, entities).collect()] == [(1, "3", "無")]
