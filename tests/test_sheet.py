@@ -1,5 +1,7 @@
 """The whole sheet in one build, and later runs that make only changed entities anew."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,19 @@ def test_rules_speak_of_stored_rows_again(spark):
 def test_no_entities(spark):
     built = sheet.build_sheet(**frames(spark, [], [], []))
     assert built.clauses.count() == 0 and built.clauses.columns == list(sheet.COLUMNS)
+
+
+def test_texts_are_stored_once(spark, tmp_path):
+    """Of both languages' texts, a build leaves about what they take, not a copy a step."""
+    entities = [(i, EFFECT, "".join(f"①：{hashlib.sha256(f'{i} {k}'.encode()).hexdigest()}\n" for k in range(300)), "名") for i in range(20)]
+    supplements = [(i, "main", b.replace("a", "g"), "『①』は誘発効果です。") for i, _, b, _ in entities]
+    size = sum(len(e[2]) for e in entities) + sum(len(s[2]) for s in supplements)
+    context = spark.sparkContext
+    before = context._jsc.sc().getCheckpointDir().get()
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        built = sheet.build_sheet(**(frames(spark, entities, supplements, []) | {"records": None}))
+        assert built.clauses.count() == 6000
+    finally:
+        context._jsc.sc().setCheckpointDir(before)
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < 1.5 * size
