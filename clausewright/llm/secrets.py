@@ -3,7 +3,7 @@
 A candidate is a run of 16 or more key characters, shortly after or before a sensitive word. Its novelty is the
 marginal compressed size: the bytes that zstandard needs for the surrounding text (``context`` characters on each side)
 with the candidate in it, less those for that text alone, both primed with a dictionary of identifiers: common ones by
-rule, and those that documents of the corpus share, counted by Spark over a sample of about ``SAMPLE`` documents. Other
+rule, and those that documents of the corpus share, counted by Spark over all documents. Other
 places of the candidate are cut from the text after it, and a string that occurs again gets the verdict of its first
 place, so a repeated key is reported each time. Ordinary identifiers cost little; keys cost nearly their entropy. What
 a key would cost is measured too: by random strings of the candidate's length and alphabet in the same text (of at most
@@ -47,21 +47,18 @@ _DRAWS, LONGEST = 6, 1024
 LEAST_BITS, LEAST_SIGNS = 2.0, 10
 _VERBS = "get set is has make create update delete read write load save open close send parse find check add remove init test run".split()
 _NOUNS = "name value key user file path data type id index list map config token secret password client server request response session url host port message error result".split()
-#: Documents over which identifiers are counted, about, and identifiers that are taken.
-SAMPLE, IDENTIFIERS = 8192, 2048
+#: Identifiers of the corpus that are taken.
+IDENTIFIERS = 2048
 
 
 def corpus_identifiers(docs: DataFrame) -> list[str]:
-    """At most ``IDENTIFIERS`` names of 4 to 15 letters and underscores that most documents of the sample have, and two at least.
+    """At most ``IDENTIFIERS`` names of 4 to 15 letters and underscores that most documents have, and two at least.
 
-    Shorter than any candidate and without digits, so that no key that many copies hold becomes known. The sample is
-    the documents whose texts have the least hashes; it stays in Spark.
+    Shorter than any candidate and without digits, so that no key that many copies hold becomes known. Each text is
+    searched once, in Spark; what is shuffled are a task's counts.
     """
-    texts = docs.select("text").where("text IS NOT NULL")
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    some = texts.where(draw < F.lit((SAMPLE << 40) // max(1, texts.count())))
     name = F.lit(r"(?<![A-Za-z0-9+/=_-])[A-Za-z][A-Za-z_]{3,14}(?![A-Za-z0-9+/=_-])")
-    names = some.select(F.explode(F.array_distinct(F.regexp_extract_all("text", name, F.lit(0)))).alias("word"))
+    names = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", name, F.lit(0)))).alias("word"))
     counts = names.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     return sorted(r["word"] for r in most_frequent(checkpointed(counts), IDENTIFIERS).collect())
 

@@ -4,6 +4,7 @@ import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clausewright.llm import bpe, queries, secrets, substring
@@ -70,3 +71,10 @@ def test_any_sample_gives_the_same_ids(spark, monkeypatch):
     want = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, queries.VOCABULARY).collect()}
     monkeypatch.setattr(bpe, "SAMPLE", 20)
     assert {r["doc_id"]: r["ids"] for r in bpe.encode(docs, queries.VOCABULARY).collect()} == want
+
+
+def test_identifiers_are_counted_over_all_documents(spark):
+    rare = F.concat(F.lit("pair_"), F.translate((F.col("id") % 50).cast("string"), "0123456789", "abcdefghij"))
+    docs = spark.range(20_000).select(F.when(F.col("id") % 10_000 < 50, rare).otherwise(F.sha1(F.col("id").cast("string"))).alias("text"))
+    letters = [str(i).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(50)]
+    assert secrets.corpus_identifiers(docs) == sorted(f"pair_{x}" for x in letters)
