@@ -24,14 +24,17 @@ from clausewright.plans.query import Condition, entity_predicate
 
 #: Ids that one row of postings may hold.
 BLOCK = 4096
+#: Clauses that one bucket holds, about, and the fewest buckets: a task sorts one bucket, whatever the size of the whole.
+BUCKET_ROWS, LEAST_BUCKETS = 250_000, 8
 SIGNS = 3
 PARTS = ("entities", "clauses", "postings")
 
 
-def triples(text: Column) -> Column:
-    """The distinct runs of three signs of a text, each from one part between line ends as it stands; an empty array where there are none."""
-    size = F.coalesce(F.char_length(text), F.lit(0))
-    return F.when(size >= SIGNS, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - SIGNS + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(SIGNS))))).otherwise(F.array().cast("array<string>"))
+def grams(clauses: DataFrame, *others: str) -> DataFrame:
+    """others, gram: a row for every run of three signs of a text as it stands, line ends included; none where it is shorter. Runs are cut by compiled code, a place at a time."""
+    long = clauses.where(F.char_length("text") >= SIGNS)
+    places = long.select(*others, "text", F.explode(F.sequence(F.lit(1), F.char_length("text") - SIGNS + 1)).alias("_at"))
+    return places.select(*others, F.substring(F.col("text"), F.col("_at"), F.lit(SIGNS)).alias("gram"))
 
 
 def asked(keyword: str | None) -> list[str]:
@@ -107,16 +110,22 @@ def clause_test(q: Condition) -> Column | None:
 
 def posted(clauses: DataFrame) -> DataFrame:
     """gram, block, ids: the ids of a block of ``BLOCK`` whose clauses have the three signs; so a triple that every clause has is many rows."""
-    each = clauses.select("id", F.explode(triples(F.col("text"))).alias("gram"))
-    return each.groupBy("gram", F.expr(f"floor(id / {BLOCK})").alias("block")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    each = grams(clauses, "id").distinct()
+    return each.groupBy("gram", F.expr(f"floor(id / {BLOCK})").alias("block")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def write(entities: DataFrame, clauses: DataFrame, buckets: int = 64, folder: str | None = None) -> Index:
+def bucket_count(rows: int) -> int:
+    """Buckets for so many clauses."""
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+
+
+def write(entities: DataFrame, clauses: DataFrame, buckets: int | None = None, folder: str | None = None) -> Index:
     """Writes the tables under ``folder`` (by default one of its own in the checkpoint folder, which all executors share).
 
     ``entities``: ``entities.faces`` of all entities; ``clauses``: id, pos, section, label, text, kind, opt, role; a clause of no
-    entity is left out.
+    entity is left out. ``buckets``: by default as many as the clauses need (``bucket_count``).
     """
+    buckets = bucket_count(clauses.count()) if buckets is None else buckets
     spark = entities.sparkSession
     name = f"index_{uuid.uuid4().hex}"
     index = Index(spark, name, folder or f"{checkpoint_path(spark)}/{name}", buckets)

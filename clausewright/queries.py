@@ -695,7 +695,7 @@ def _stored(t) -> stored.Index:
     spark, folder = t.args
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STORED:
-        _STORED[key] = stored.write(entities.faces(_cards(t)), _clauses(t), 8)
+        _STORED[key] = stored.write(entities.faces(_cards(t)), _clauses(t))
     return _STORED[key]
 
 
@@ -755,7 +755,7 @@ def search_page(t):
 @query(f"WITH {_RAW_SQL} x AS (SELECT 1) SELECT 'entities' AS part, count(*) AS n FROM ent UNION ALL SELECT 'clauses', count(*) FROM lineitem WHERE l_partkey % 97 <> 0 UNION ALL SELECT 'postings', count(DISTINCT (g, l_partkey)) FROM (SELECT l_partkey, unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) AS g FROM (SELECT l_partkey, l_returnflag || ' ' || l_linestatus || ' ' || l_quantity::INT AS x FROM lineitem WHERE l_partkey % 97 <> 0))")
 def search_index(t):
     """Writing the index anew: rows of its tables, and ids in its postings."""
-    made = stored.write(entities.faces(_cards(t)), _clauses(t), 8)
+    made = stored.write(entities.faces(_cards(t)), _clauses(t))
     counts = [("entities", made.entities.agg(F.count("*").alias("n"))), ("clauses", made.clauses.agg(F.count("*").alias("n"))), ("postings", made.postings.agg(F.sum(F.size("ids")).cast("long").alias("n")))]
     _STORED[t.args[0].sparkContext.applicationId, t.args[1]] = made
     return reduce(DataFrame.unionByName, [n.select(F.lit(part).alias("part"), "n") for part, n in counts])

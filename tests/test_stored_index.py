@@ -116,3 +116,16 @@ def test_late_and_early_pages_agree(both, monkeypatch):
     early = [r["id"] for r in order.page(nested, 3, 50, "atk", "desc").collect()]
     monkeypatch.setattr(order, "TOP", 0)
     assert [r["id"] for r in order.page(nested, 3, 50, "atk", "desc").collect()] == early and len(early) == 50
+
+
+def test_buckets_follow_the_clauses(spark, monkeypatch):
+    """What a task sorts is a bucket, so their number grows with the clauses; postings are the same with any number."""
+    clauses = spark.range(400).select((F.col("id") % 40).alias("id"), F.col("id").cast("int").alias("pos"), F.lit("main").alias("section"), F.lit("1").alias("label"), F.concat(F.lit("x y"), F.col("id") % 7).alias("text"), F.lit("t").alias("kind"), F.lit(None).cast("string").alias("opt"), F.lit(None).cast("string").alias("role"))
+    clauses = clauses.unionByName(clauses.limit(3).withColumn("text", F.lit("ab")))
+    monkeypatch.setattr(stored, "BUCKET_ROWS", 40)
+    rows = spark.createDataFrame([(i, "m", ["effect"]) for i in range(40)], "id long, cat string, subs array<string>")
+    faces = rows.withColumns({c: F.lit(None).cast("int") for c in ("level", "link")} | {c: F.lit(None).cast("string") for c in ("attr", "race")})
+    made = stored.write(faces, clauses)
+    assert made.buckets == 11 and made.clauses.count() == 403
+    want = {(t[i : i + 3], k) for k, t in ((r["id"], r["text"]) for r in clauses.collect()) for i in range(len(t) - 2)}
+    assert sorted((r["gram"], i) for r in made.postings.collect() for i in r["ids"]) == sorted(want)
