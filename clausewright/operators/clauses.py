@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 from clausewright.functions import spans as S
 from clausewright.functions import text as T
 from clausewright.operators.attest import BULLET_HEADING, GRANT, stated_kinds, statements
+from clausewright.plans.lineage import in_small_batches
 
 # Class bits whose first line may name materials, and the wording of conditions and limits.
 MONSTER, MATERIAL_CLASSES = 0x1, 0x40 | 0x80 | 0x2000 | 0x800000 | 0x4000000
@@ -44,8 +46,9 @@ _PARTS = StructType().add("parts", ArrayType(StructType().add("zh", StringType()
 _ROLES = (("mat", MATERIAL), ("cond", SUMMON), ("limit", USAGE))
 
 
+@lru_cache(1024)
 def _role(unit: str) -> str | None:
-    """The same of one text."""
+    """The same of one text; units recur."""
     return next((role for part in re.split("[\n。，]", unit) for role, pattern in _ROLES if re.search(pattern, part)), None)
 
 
@@ -122,7 +125,7 @@ def preamble_parts(zh: pd.Series, ja: pd.Series, supplement: pd.Series) -> pd.Da
 
 def preambles(texts: DataFrame) -> DataFrame:
     """id, section, pos, label (0, 0-1 and so on), text_zh, text_ja, role, reason of preambles (id, section, type, text_zh, text_ja, supplement)."""
-    rows = texts.withColumn("p", preamble_parts("text_zh", "text_ja", "supplement"))
+    rows = in_small_batches(texts).withColumn("p", preamble_parts("text_zh", "text_ja", "supplement"))
     whole = F.array(F.struct(F.col("text_zh").alias("zh"), F.col("text_ja").alias("ja")))
     rows = rows.select("id", "section", "type", F.col("p.reason").alias("reason"), F.posexplode(F.coalesce("p.parts", whole)).alias("pos", "x"))
     label = F.when(F.col("pos") == 0, "0").otherwise(F.concat(F.lit("0-"), F.col("pos").cast("string")))

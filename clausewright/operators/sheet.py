@@ -25,7 +25,7 @@ from clausewright.functions import text as T
 from clausewright.operators import clauses as C
 from clausewright.operators import merge, rules, splits
 from clausewright.operators.attest import attest
-from clausewright.plans.lineage import stored
+from clausewright.plans.lineage import in_small_batches, stored
 
 SECTION = ("id", "section")
 KEYS = merge.KEYS
@@ -142,7 +142,7 @@ def cut(texts: DataFrame, supplements: DataFrame, records: DataFrame | None = No
     sentences, and where they are, their parts are 0-1, 0-2 and so on. Preambles are no effect (x), by rule. Texts are stored once;
     clauses whose bullets are cut off are stored beside them.
     """
-    parts = _parts(texts)
+    parts = _parts(in_small_batches(texts))
     stays = F.col("part").isNotNull()
     told = None
     if records is not None:

@@ -19,6 +19,7 @@ from clausewright.functions import text as T
 from clausewright.operators.attest import NON_EFFECT
 from clausewright.operators.checks import violations
 from clausewright.operators.clauses import preamble_role
+from clausewright.plans.lineage import in_small_batches
 
 #: Labels that a part may have, and the problems that a record can have, in the order in which they are looked for.
 _LABEL = re.compile(r"0(-[2-9][0-9]*)?|[1-9][0-9]*")
@@ -95,7 +96,7 @@ def judged_splits(records: DataFrame, texts: DataFrame) -> DataFrame:
     without its text, or of effects where the text is numbered, is ``split_unused``.
     """
     text = texts.select(*KEYS, F.coalesce("text_zh", F.lit("")).alias("zh"), F.coalesce("text_ja", F.lit("")).alias("ja"), "supplement", "numbered", "type", F.lit(True).alias("here"))
-    rows = records.join(text, list(KEYS), "left")
+    rows = in_small_batches(records).join(text, list(KEYS), "left")
     fits = F.col("here") & (~F.coalesce("numbered", F.lit(False)) | (F.forall("segments", lambda s: is_preamble(F.coalesce(s["label"], F.lit("")))) & (F.size("segments") > 0)))
     now = T.split_hash(F.col("zh"), F.col("ja"))
     found = checked("segments", "text_hash", "ja_order", F.coalesce("zh", F.lit("")), F.coalesce("ja", F.lit("")), now, T.quotes(F.coalesce("supplement", F.lit(""))), denied_quotes(F.col("supplement")))

@@ -170,3 +170,14 @@ def test_a_cut_rule_against_quotes(spark, exception, n):
     df = spark.createDataFrame([(1, "main", "甲できる。乙する。丙できる。", "『甲できる。乙する』"), (2, "main", "無し", None)], "id long, section string, text_ja string, supplement string")
     got = splits.cut_rule_violations(df, "乙|丙", exception).select("id", "n_cuts", F.array_join("quotes", "|").alias("q")).collect()
     assert [tuple(r) for r in got] == [(1, n, "甲できる。乙する")]
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    from clausewright.plans import lineage
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(1 << 30))
+    records = spark.createDataFrame([], "id long, section string, text_hash string, segments array<struct<label:string,text_zh:string,text_ja:string>>, ja_order array<int>")
+    texts = spark.createDataFrame([], "id long, section string, text_zh string, text_ja string, supplement string, numbered boolean, type long")
+    splits.judged_splits(records, texts)
+    assert int(spark.conf.get(name)) == lineage.BATCH
