@@ -125,7 +125,8 @@ def preamble_parts(zh: pd.Series, ja: pd.Series, supplement: pd.Series) -> pd.Da
 
 def preambles(texts: DataFrame) -> DataFrame:
     """id, section, pos, label (0, 0-1 and so on), text_zh, text_ja, role, reason of preambles (id, section, type, text_zh, text_ja, supplement)."""
-    rows = in_small_batches(texts).withColumn("p", preamble_parts("text_zh", "text_ja", "supplement"))
+    texts = in_small_batches(texts).repartition("id", "section")  # a file of few row groups would leave the work to few tasks
+    rows = texts.withColumn("p", preamble_parts("text_zh", "text_ja", "supplement"))
     whole = F.array(F.struct(F.col("text_zh").alias("zh"), F.col("text_ja").alias("ja")))
     rows = rows.select("id", "section", "type", F.col("p.reason").alias("reason"), F.posexplode(F.coalesce("p.parts", whole)).alias("pos", "x"))
     label = F.when(F.col("pos") == 0, "0").otherwise(F.concat(F.lit("0-"), F.col("pos").cast("string")))

@@ -37,3 +37,9 @@ def test_faults_in_any_order(spark):
     rows = spark.createDataFrame([(1, str(i), p) for i, p in enumerate(parts)] + [(2, "0", "甲"), (3, "0", "甲")], "id long, label string, text_zh string")
     entities = spark.createDataFrame([(1, body), (2, None)], "id long, body string")
     assert [tuple(r) for r in clauses.substring_faults(rows, entities).collect()] == [(1, "3", "無")]
+
+
+def test_preambles_are_dealt_to_all_tasks(spark):
+    texts = spark.createDataFrame([(1, "main", 0x21, "甲。", "甲。", None)], "id long, section string, type long, text_zh string, text_ja string, supplement string").coalesce(1)
+    cut = clauses.preambles(texts)
+    assert "REPARTITION_BY_COL" in cut._jdf.queryExecution().toString() and cut.count() == 1
