@@ -2,9 +2,10 @@
 
 Leaves are put in order by one range sort. Each part of it is read as a stream with a mountain-range stack: a node waits on
 its level until its run of ``FANOUT`` is whole, whose hash is then carried a level up, so a part of any size leaves only
-some nodes a level at its two ends. Those whose runs reach into other parts are merged level by level by Spark, and a
-source's last run is shorter, without padding. Node records from ``BLOCK`` levels up are kept; a leaf's proof is made of
-the lower levels, from the leaves of its block, and of its block's path, which goes down from the root a level a join.
+some nodes a level at its two ends. Those whose runs reach into other parts are merged by Spark, ``BLOCK`` levels at once, and
+a source's last run is shorter, without padding. Nodes of every ``BLOCK``-th level are kept; a leaf's proof is made of the
+lower levels, from the leaves of its block, and of its block's path, which is made in the same way from the block's own
+neighbours. So neither the number of jobs nor the size of their plans grows with each level of a tree.
 
 Defined results: a null doc_id comes first and is not tampered with; rows of one doc_id stand in the order of their leaf
 hashes, repeated rows each count; a null source comes first and is none of the others; null fields are hashed as ``-``;
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,11 +26,13 @@ from pyspark.sql import functions as F
 from clausewright.llm._shared import checkpointed
 
 FANOUT = 3
-#: Levels whose nodes are not kept but made again from a block's leaves.
+#: Levels of a block: of those between its nodes and its root none is kept, they are made again.
 BLOCK = 5
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 _LAID = "grp string, level int, idx long, total long, digest binary, open boolean, leaf boolean, doc_id long, changed binary"
+_NODES = ("grp", "level", "idx", "total", "digest")
+_NODE = "grp string, level int, idx long, total long, digest binary"
 _SCHEMA = pa.schema([("grp", pa.string()), ("level", pa.int32()), ("idx", pa.int64()), ("total", pa.int64()), ("digest", pa.binary()), ("open", pa.bool_()), ("leaf", pa.bool_()), ("doc_id", pa.int64()), ("changed", pa.binary())])
 
 
@@ -95,7 +99,7 @@ class Mountains:
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees of groups. ``leaves``: grp, idx, digest, doc_id, changed; ``nodes``: grp, level, idx, total, digest of nodes from ``BLOCK`` levels up and of roots; ``roots``: grp, total, digest."""
+    """Trees of groups. ``leaves``: grp, idx, digest, doc_id, changed; ``nodes``: grp, level, idx, total, digest of every ``BLOCK``-th level and of roots; ``roots``: grp, total, digest."""
 
     leaves: DataFrame
     nodes: DataFrame
@@ -111,13 +115,31 @@ def _height(total: Column, most: int) -> Column:
     return out
 
 
+def merging(low: int):
+    """Of the open nodes (grp, level, idx, total, digest) under one node ``BLOCK`` levels above ``low``, that node, or the root."""
+
+    def merge(nodes: pa.Table) -> pa.Table:
+        rows = nodes.to_pylist()
+        grp, total = rows[0]["grp"], rows[0]["total"]
+        top = min(low + BLOCK, height(total))
+        up: list[tuple[int, bytes]] = []
+        for level in range(low, top):
+            pool = sorted(up + [(r["idx"], r["digest"]) for r in rows if r["level"] == level])
+            up = [(above, joined([d for _, d in run])) for above, run in groupby(pool, key=lambda n: n[0] // FANOUT)]
+        n = len(up)
+        columns = ([grp] * n, [top] * n, [i for i, _ in up], [total] * n, [d for _, d in up])
+        return pa.table([pa.array(c, _SCHEMA.field(name).type) for c, name in zip(columns, _NODES, strict=True)], names=list(_NODES))
+
+    return merge
+
+
 def forest(leaves: DataFrame, *order: str) -> Forest:
     """Trees over rows of (grp, doc_id, digest, changed), grp never null, in the order of ``order``, nulls first."""
     cut = checkpointed(leaves.orderBy("grp", *(F.col(c).asc_nulls_first() for c in order)).withColumn("_at", F.monotonically_increasing_id()))
     counts = cut.groupBy("grp", F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n"))
     by_group = Window.partitionBy("grp")
     before = by_group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.withColumn("total", F.sum("n").over(by_group)).withColumn("begins", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = checkpointed(counts.withColumn("total", F.sum("n").over(by_group)).withColumn("begins", F.coalesce(F.sum("n").over(before), F.lit(0))))
     cut_groups = parts.where(F.col("total") > F.col("n")).collect()  # a part's first and last group at most
     most = parts.agg(F.max("total")).head()[0] or 0
     shared = cut.sparkSession.sparkContext.broadcast({(r["part"], r["grp"]): (r["begins"], r["total"]) for r in cut_groups})
@@ -154,44 +176,36 @@ def forest(leaves: DataFrame, *order: str) -> Forest:
             yield out()
 
     laid = checkpointed(cut.mapInArrow(run, _LAID))
-    nodes = laid.where("NOT leaf").select("grp", "level", "idx", "total", "digest", "open")
-    made = []
+    nodes = checkpointed(laid.where("NOT leaf").select("grp", "level", "idx", "total", "digest", "open"))
+    kept = nodes.drop("open")
     below = None
-    for level in range(height(max((r["total"] for r in cut_groups), default=0))):
-        pool = nodes.where(F.col("open") & (F.col("level") == level)).select("grp", "idx", "total", "digest")
-        pool = pool if below is None else pool.unionByName(below.where(_height(F.col("total"), most) > level))
-        run_of = F.transform(F.sort_array(F.collect_list(F.struct("idx", "digest"))), lambda n: F.lower(F.hex(n["digest"])))
-        up = pool.groupBy("grp", F.expr(f"idx DIV {FANOUT}").alias("above"), "total").agg(F.unhex(F.sha2(F.array_join(run_of, "").cast("binary"), 256)).alias("digest"))
-        below = checkpointed(up.select("grp", F.col("above").alias("idx"), "total", "digest"))
-        made.append(below.select("grp", F.lit(level + 1).alias("level"), "idx", "total", "digest"))
-    nodes = nodes.drop("open")
-    for m in made:
-        nodes = nodes.unionByName(m)
+    for low in range(0, height(max((r["total"] for r in cut_groups), default=0)), BLOCK):
+        pool = nodes.where(F.col("open") & F.col("level").between(low, low + BLOCK - 1)).drop("open")
+        pool = pool if below is None else pool.unionByName(below.where((F.col("level") == low) & (_height(F.col("total"), most) > low)))
+        above = F.expr(f"idx DIV CAST(POW({FANOUT}, {low + BLOCK} - level) AS BIGINT)")
+        below = checkpointed(pool.groupBy("grp", above.alias("above")).applyInArrow(merging(low), _NODE))
+        kept = kept.unionByName(below)
     top = _height(F.col("total"), most)
-    roots = nodes.where(F.col("level") == top).select("grp", "total", "digest")
-    return Forest(laid.where("leaf").select("grp", "idx", "digest", "doc_id", "changed"), nodes.where((F.col("level") >= BLOCK) | (F.col("level") == top)), roots, most)
-
-
-def _sides(run: Column, place: Column) -> Column:
-    """A step of a path: the place in the run, and the other nodes of the run."""
-    others = F.array_join(F.transform(F.filter(run, lambda n: n["idx"] != place), lambda n: F.lower(F.hex(n["digest"]))), "")
-    return F.concat((place % FANOUT).cast("string"), others)
+    kept = checkpointed(kept.where((F.col("level") == top) | ((F.col("level") > 0) & (F.col("level") % BLOCK == 0))))
+    return Forest(laid.where("leaf").select("grp", "idx", "digest", "doc_id", "changed"), kept, kept.where(F.col("level") == top).select("grp", "total", "digest"), most)
 
 
 def block_paths(trees: Forest, above: DataFrame) -> DataFrame:
-    """grp, blk, total, path, subroot, root: the steps from each block to the root of all; ``above`` has (grp, path, subroot, root) for each tree's own root. Steps are joined by commas."""
+    """grp, blk, total, path, subroot, root: the steps from each block of leaves to the root of all; ``above`` has (grp, path, subroot, root) for each tree's own root. Steps are joined by commas.
+
+    The nodes of every ``BLOCK``-th level are the leaves of a layer of blocks; each layer's paths begin the next one's.
+    """
+    roots = trees.roots.join(above, "grp").select("grp", F.lit(0).cast("long").alias("blk"), "total", "path", "subroot", "root")
     top = _height(F.col("total"), trees.most)
-    roots = trees.roots.withColumn("level", top).join(above, "grp").select("grp", "level", F.lit(0).cast("long").alias("idx"), "total", "path", "subroot", "root")
-    runs = trees.nodes.where(F.col("level") < top).groupBy("grp", "level", F.expr(f"idx DIV {FANOUT}").alias("above")).agg(F.sort_array(F.collect_list(F.struct("idx", "digest"))).alias("run"))
+    layer_of = F.greatest(F.lit(0), F.floor((top - 1) / BLOCK))
     here = None
-    for level in range(height(trees.most) - 1, BLOCK - 1, -1):
-        parents = roots.where(F.col("level") == level + 1).drop("level")
-        parents = parents if here is None else parents.unionByName(here)
-        kids = runs.where(F.col("level") == level).drop("level").join(parents.withColumnRenamed("idx", "above"), ["grp", "above"])
-        each = kids.select("grp", "total", "run", "path", "subroot", "root", F.explode("run.idx").alias("idx"))
-        here = each.select("grp", "idx", "total", F.concat_ws(",", _sides(F.col("run"), F.col("idx")), F.when(F.col("path") != "", F.col("path"))).alias("path"), "subroot", "root")
-    low = roots.where(F.col("level") <= BLOCK).drop("level")
-    return (low if here is None else low.unionByName(here)).withColumnRenamed("idx", "blk")
+    for layer in range(max(0, height(trees.most) - 1) // BLOCK, -1, -1):
+        heads = roots.where(layer_of == layer)
+        here = heads if here is None else heads.unionByName(here)
+        if layer:
+            nodes = trees.nodes.where((F.col("level") == layer * BLOCK) & (top > layer * BLOCK)).select("grp", "idx", "digest")
+            here = _by_block(nodes, here).mapInArrow(block_steps(layer), "grp string, blk long, total long, path string, subroot binary, root binary")
+    return here
 
 
 def climb(digest: bytes, path: str) -> bytes:
@@ -219,13 +233,10 @@ def local_paths(digests: list[bytes], levels: int) -> list[list[str]]:
     return out
 
 
-def _by_block(trees: Forest, above: DataFrame) -> DataFrame:
-    """Leaves with, before those of each block, a row of the block's path; blocks whole and in order in a part."""
-    block = FANOUT**BLOCK
-    nothing = {"total": "long", "path": "string", "subroot": "binary", "root": "binary"}
-    leaves = trees.leaves.withColumn("blk", F.expr(f"idx DIV {block}L")).withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
-    paths = block_paths(trees, above).withColumns({c: F.lit(None).cast(t) for c, t in {"idx": "long", "digest": "binary", "doc_id": "long", "changed": "binary"}.items()})
-    return leaves.unionByName(paths).repartition("grp", "blk").sortWithinPartitions("grp", "blk", F.col("idx").asc_nulls_first())
+def _by_block(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """Leaves (or nodes) with, before those of each block, a row of the block's path; blocks whole and in order in a part."""
+    both = rows.withColumn("blk", F.expr(f"idx DIV {FANOUT**BLOCK}L")).unionByName(paths, allowMissingColumns=True)
+    return both.repartition("grp", "blk").sortWithinPartitions("grp", "blk", F.col("idx").asc_nulls_first())
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[dict]]]:
@@ -244,8 +255,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[dict
         yield head, rows
 
 
-def _levels(total: int) -> int:
-    return min(BLOCK, height(total))
+def _paths(head: dict, rows: list[dict], layer: int = 0) -> list[str]:
+    """The path of each leaf of a block, or of each node of one of a layer above."""
+    steps = local_paths([r["digest"] for r in rows], min(BLOCK, height(head["total"]) - layer * BLOCK))
+    return [",".join([*s, *([head["path"]] if head["path"] else [])]) for s in steps]
+
+
+def block_steps(layer: int):
+    """Paths of the nodes of a layer, which are the blocks of the layer below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for head, rows in _blocks(batches):
+            n = len(rows)
+            columns = ([head["grp"]] * n, [r["idx"] for r in rows], [head["total"]] * n, _paths(head, rows, layer), [head["subroot"]] * n, [head["root"]] * n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["grp", "blk", "total", "path", "subroot", "root"])
+
+    return run
 
 
 def _top_paths(trees: Forest) -> DataFrame:
@@ -254,11 +279,9 @@ def _top_paths(trees: Forest) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, rows in _blocks(batches):
-            steps = local_paths([r["digest"] for r in rows], _levels(head["total"]))
-            paths = [",".join([*s, *([head["path"]] if head["path"] else [])]) for s in steps]
-            yield pa.RecordBatch.from_arrays([pa.array([r["changed"].decode() for r in rows]), pa.array(paths, pa.string()), pa.array([head["root"]] * len(rows), pa.binary())], ["grp", "path", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array([r["changed"].decode() for r in rows]), pa.array(_paths(head, rows), pa.string()), pa.array([head["root"]] * len(rows), pa.binary())], ["grp", "path", "root"])
 
-    return _by_block(trees, above).mapInArrow(run, "grp string, path string, root binary")
+    return _by_block(trees.leaves, block_paths(trees, above)).mapInArrow(run, "grp string, path string, root binary")
 
 
 def tampered(doc_id: str = "doc_id") -> Column:
@@ -284,12 +307,11 @@ def prove(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, rows in _blocks(batches):
-            tail = [head["path"]] if head["path"] else []
-            paths = [",".join([*s, *tail]) for s in local_paths([r["digest"] for r in rows], _levels(head["total"]))]
+            paths = _paths(head, rows)
             proofs = [hashlib.sha256("".join([s[1:] for s in p.split(",")]).encode()).hexdigest() for p in paths]
             folded = [climb(r["changed"] or r["digest"], p) for r, p in zip(rows, paths, strict=True)]
             n, root = len(rows), head["root"]
             columns = [[r["doc_id"] for r in rows], [r["digest"].hex() for r in rows], [head["subroot"].hex()] * n, [root.hex()] * n, proofs, [f.hex() for f in folded], [f == root for f in folded]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.string()] * 5, pa.bool_()), strict=True)], ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
 
-    return _by_block(sources, above).mapInArrow(run, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    return _by_block(sources.leaves, block_paths(sources, above)).mapInArrow(run, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")

@@ -130,3 +130,25 @@ def test_stacks_over_any_cuts_leave_what_merges_to_the_root(seed):
             (pool if level + 1 < merkle.height(total) else closed)[level + 1, idx] = up
     assert closed[merkle.height(total), 0].hex() == whole[-1][0]
     assert {k for k in (*pool, *closed) if k[0] >= merkle.BLOCK} == {(level, i) for level in range(merkle.BLOCK, len(whole)) for i in range(len(whole[level]))} | {k for k in closed if k[0] >= merkle.BLOCK}
+
+
+def test_tall_trees_take_no_more_steps_than_low_ones(spark):
+    """A tree of three layers of blocks over many parts: right, and by a plan and jobs that do not grow with each level."""
+    rows = [(i, "tall" if i % 50 else "low", None, None, f"{i}\n") for i in range(62000)]
+    docs = docs_of(spark, rows).repartition(7)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.sparkContext.setJobGroup("tall tree", "")
+        got = merkle.prove(docs)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("tall tree"))
+        exchanges = got._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+        assert proved(got) == plain(rows)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert merkle.height(len(rows)) > 2 * merkle.BLOCK
+    assert exchanges <= 20, exchanges
+    assert jobs <= 30, jobs
