@@ -138,9 +138,12 @@ def attest(supplements: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataF
     lines = lines.withColumns({"kinds": stated_kinds(F.col("line")), "mandatory": states_mandatory(F.col("line")), "outside": T.outside_parentheses("line"), "quoted_raw": T.quotes(F.col("line")), "heading_raw": T.quotes(F.coalesce("heading", F.lit("")))})
     lines = lines.withColumns({"quoted": T.normalised_each(F.col("quoted_raw")), "heading_quotes": T.normalised_each(F.col("heading_raw")), "no_effect": F.col("outside").rlike(NON_EFFECT)})
     lines = stored(lines.where("no_effect OR mandatory OR size(kinds) > 0"))
-    clauses = clauses.join(lines.select("id", "section").distinct(), ["id", "section"], "left_semi")  # no others are spoken of
+    by_label = F.col("heading").isNull() & F.col("line").rlike(rf"『[{T.NUMERALS}]』") & ~F.coalesce(F.startswith(F.get("quoted_raw", 0), F.lit(T.BULLET)), F.lit(False)) & ~F.col("no_effect")
+    spoken_of = lines.groupBy("id", "section").agg(F.bool_or(~by_label).alias("by_text"))  # texts of the others need not move
+    clauses = clauses.join(spoken_of, ["id", "section"])
     grant = F.when(F.contains("text_ja", F.lit(T.BULLET)) & F.split("text_ja", T.BULLET)[0].rlike(GRANT), F.split("text_ja", T.BULLET)[0]).otherwise("")
-    told = clauses.select("id", "section", F.struct("pos", "label", T.normalised(F.coalesce("text_ja", F.lit(""))).alias("norm"), F.coalesce("unsplit", F.lit(False)).alias("unsplit"), T.normalised(grant).alias("lead")).alias("c"))
+    norm = F.when(F.col("by_text") | (T.normalised(grant) != ""), T.normalised(F.coalesce("text_ja", F.lit(""))))
+    told = clauses.select("id", "section", F.struct("pos", "label", norm.alias("norm"), F.coalesce("unsplit", F.lit(False)).alias("unsplit"), T.normalised(grant).alias("lead")).alias("c"))
     preamble = lambda c: c["label"].rlike(r"\A0(-.*)?\z")
     nested = told.groupBy("id", "section").agg(F.array_sort(F.collect_list("c")).alias("all"))
     nested = nested.select("id", "section", F.filter("all", lambda c: ~preamble(c)).alias("effects"), F.filter("all", preamble).alias("preambles"))

@@ -8,7 +8,7 @@ Every entity has a stamp, a hash of all that its clauses are made from. A later
 the entities whose stamps are new; the others' rows go on as they are. What depends on all rows, which rules cover enough
 and what they predict, is made again from the stored hits of each clause and reads no texts.
 
-Texts are shuffled once, where both languages of a section meet, and stored once; all that is read from them is stored beside
+Texts are shuffled once, packed, where both languages of a section meet, and stored once; all that is read from them is stored beside
 them, and every step after that joins and sorts without them.
 """
 
@@ -86,9 +86,9 @@ def sections(entities: DataFrame, supplements: DataFrame) -> DataFrame:
     rows = entities.where(~plain).select("id", kind.alias("type"), "body", F.explode(T.sections(F.regexp_replace(F.coalesce("body", F.lit("")), FOOTNOTE, ""))).alias("s"))
     rows = rows.select("id", "type", "body", "s.section", F.coalesce(F.col("s")["text"], F.lit("")).alias("zh"))
     part = (F.col("body") == F.col("zh")) | F.contains(T.without_blanks(F.col("body")), T.without_blanks(F.col("zh")))
-    rows = rows.withColumn("sound", F.coalesce(part, F.lit(True))).drop("body")  # nothing is held against no body
-    told = supplements.select(*SECTION, F.coalesce("text_ja", F.lit("")).alias("ja"), "supplement")
-    return rows.join(told, list(SECTION), "left").withColumn("ja", F.coalesce("ja", F.lit("")))
+    rows = rows.withColumn("sound", F.coalesce(part, F.lit(True))).drop("body").withColumn("zh", T.packed("zh"))  # nothing is held against no body
+    told = supplements.select(*SECTION, T.packed(F.coalesce("text_ja", F.lit(""))).alias("ja"), "supplement")
+    return rows.join(told, list(SECTION), "left").withColumns({"zh": T.unpacked("zh"), "ja": F.coalesce(T.unpacked("ja"), F.lit(""))})
 
 
 def _parts(texts: DataFrame) -> DataFrame:

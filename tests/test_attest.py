@@ -1,5 +1,7 @@
 """The ladder of attributions, a step at a time."""
 
+import hashlib
+
 import pytest
 
 from clausewright.operators import attest
@@ -60,3 +62,18 @@ def test_both_bullets_and_conflicts(spark):
     assigned, notes = attest.attest(spark.createDataFrame([(3, "main", "x", said.split("\n【")[0] + "\n１つ目の『●』は誘発効果です。")], "id long, section string, name_ja string, supplement string"), clauses)
     assert [(r["label"], r["kind"]) for r in assigned.collect()] == [("①-●2", "c")]
     assert [(r["note"], r["line"]) for r in notes.collect()] == [("kind_conflicts", "①-●1")]
+
+
+def test_texts_of_clauses_that_are_named_by_label_are_not_shuffled(spark):
+    """Statements by label take labels alone through the shuffle; those by quote still find the texts."""
+    text = lambda i, k: "".join(hashlib.sha256(f"{i} {k} {n}".encode()).hexdigest() for n in range(60))
+    clauses = [(i, "main", label, k, f"{label}：{text(i, k)}", False) for i in range(100) for k, label in enumerate("①②③")]
+    told = [(i, "main", "名", "『②』は誘発効果です。" if i else f"『{text(0, 2)[:40]}』は起動効果です。\n『①』は誘発効果です。") for i in range(100)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    rows = spark.createDataFrame(clauses, "id long, section string, label string, pos long, text_ja string, unsplit boolean")
+    assigned, notes = attest.attest(spark.createDataFrame(told, "id long, section string, name_ja string, supplement string"), rows)
+    got = {(r["id"], r["label"]): (r["kind"], r["ladder"]) for r in assigned.collect()}
+    moved = written() - before
+    assert got == {(0, "③"): ("i", "quote"), (0, "①"): ("t", "seq")} | {(i, "②"): ("t", "seq") for i in range(1, 100)} and notes.count() == 0
+    assert moved < sum(len(c[4]) for c in clauses) / 4

@@ -159,3 +159,22 @@ def test_texts_are_stored_once(spark, tmp_path):
     finally:
         context._jsc.sc().setCheckpointDir(before)
     assert sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()) < 1.5 * size
+
+
+def test_texts_are_packed_where_both_languages_meet(spark):
+    """Of the two texts of each section, the shuffle takes what they take compressed; odd texts come out as they went in."""
+    body = lambda i: "".join(f"①：{hashlib.sha256(f'{i} {k}'.encode()).hexdigest()}\n" for k in range(200))
+    odd = ["", "\x00", "é😀", " \n "]
+    entities = spark.createDataFrame([(i, EFFECT, odd[i] if i < 4 else body(i)) for i in range(60)] + [(99, EFFECT, None)], "id long, type long, body string")
+    told = spark.createDataFrame([(i, "main", odd[i] if i < 4 else body(-i), None) for i in range(59)], "id long, section string, text_ja string, supplement string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written()
+        got = {r["id"]: (r["zh"].strip(), r["ja"]) for r in sheet.sections(entities, told).collect()}
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == {i: ((odd[i] if i < 4 else body(i)).strip(), (odd[i] if i < 4 else body(-i)) if i < 59 else "") for i in range(60)} | {99: ("", "")}
+    assert moved < 0.75 * sum(len(body(i)) for i in range(4, 60)) * 2
