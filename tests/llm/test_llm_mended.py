@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clausewright.llm import bpe, queries, secrets, substring
+from clausewright.llm._shared import most_frequent
 
 
 def docs_of(spark, rows):
@@ -78,3 +79,13 @@ def test_identifiers_are_counted_over_all_documents(spark):
     docs = spark.range(20_000).select(F.when(F.col("id") % 10_000 < 50, rare).otherwise(F.sha1(F.col("id").cast("string"))).alias("text"))
     letters = [str(i).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(50)]
     assert secrets.corpus_identifiers(docs) == sorted(f"pair_{x}" for x in letters)
+
+
+def test_identifiers_are_the_most_frequent_ones_exactly(spark):
+    """Counts that lie close together are told apart, and of equal ones as many are taken as there is room for."""
+    counts = spark.range(900).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"), F.when(F.col("id") < 300, 101).when(F.col("id") < 600, 100).otherwise(2).cast("long").alias("n"))
+    for size, wanted in ((300, {101: 300}), (400, {101: 300, 100: 100}), (750, {101: 300, 100: 300, 2: 150})):
+        got = most_frequent(counts, size).groupBy("n").count().collect()
+        assert {r["n"]: r["count"] for r in got} == wanted
+    words = [{r["word"] for r in most_frequent(counts.repartition(k), 750).collect()} for k in (1, 7)]
+    assert words[0] == words[1]
